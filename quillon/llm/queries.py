@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import chat, line_dedup, mixing, quality, urls
+from quillon.llm import chat, decontamination, langid, line_dedup, mixing, mtree, ngram_join, quality, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,24 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
+def op4_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.offending(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -35,11 +53,17 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.LineStore.empty(spark).insert(docs).dedup(docs.select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_mixing, op7_chat_format, op8_quality, op9_line_dedup)}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_pairs(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_language_mixture, op4_mtree_topk, op5_toxicity, op6_decontamination, op7_chat_format, op8_quality, op9_line_dedup, op10_ngram_jaccard)}
 
 ORACLES: dict[str, str] = {
     "op1_url_filter": urls.ORACLE,
     "op2_mixing": mixing.oracle(),
+    "op4_mtree_topk": mtree.oracle(),
+    "op6_decontamination": decontamination.oracle(),
     "op7_chat_format": chat.ORACLE,
     "op9_line_dedup": f"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
@@ -47,4 +71,5 @@ k AS (SELECT *, lower(trim(line)) AS k FROM l),
 o AS (SELECT *, length(k) >= {line_dedup.MIN_CHARS} AND row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 AS gone FROM k)
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text, count(*) FILTER (WHERE gone)::BIGINT AS removed FROM o GROUP BY doc_id
 """,
+    "op10_ngram_jaccard": ngram_join.oracle(),
 }
