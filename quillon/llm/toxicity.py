@@ -23,9 +23,12 @@ from pyspark.sql import functions as F
 
 from quillon.llm.bytetext import Hasher, U, buffers, fold, slices, words
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
+#: Features of fewer training documents than this stay at weight 0, so that rare words aren't learned by heart.
+MIN_DOCS = 12
+RATE, L1 = 0.5, 3e-4
 #: The fit uses at most so many labelled documents (those with the smallest hash of doc_id), none longer than MAX_BYTES.
-MAX_DOCS, MAX_BYTES, EPOCHS, BATCH = 4000, 16384, 12, 64
+MAX_DOCS, MAX_BYTES, EPOCHS, BATCH = 6000, 16384, 30, 64
 THRESHOLD, SENTENCE_THRESHOLD = 0.5, 0.3
 _ENDS = np.zeros(256, bool)
 _ENDS[[46, 33, 63, 10]] = True
@@ -62,7 +65,13 @@ def bags(data: np.ndarray, offsets: np.ndarray) -> Bags:
     new = np.ones(len(starts), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (stops[starts[1:]] > stops[ends[:-1]])
     first = np.concatenate([np.flatnonzero(new), [len(starts)]])
-    return Bags(features, first, doc[first[:-1]], starts[first[:-1]], ends[first[1:] - 1])
+    # A word counts once in a sentence, however often it is repeated.
+    sentence = np.cumsum(new) - 1
+    order = np.lexsort((kinds[0], sentence))
+    again = np.zeros(len(starts), bool)
+    again[order[1:]] = (kinds[0][order[1:]] == kinds[0][order[:-1]]) & (sentence[order[1:]] == sentence[order[:-1]])
+    once = np.concatenate([[0], np.cumsum(~again)])
+    return Bags(features[~again], once[first], doc[first[:-1]], starts[first[:-1]], ends[first[1:] - 1])
 
 
 def _scores(model: Model, b: Bags) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +80,7 @@ def _scores(model: Model, b: Bags) -> tuple[np.ndarray, np.ndarray]:
     return z, np.logaddexp(0, z)
 
 
-def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 5, weight: float = 2.0) -> Model:
+def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 5, weight: float = 3.0) -> Model:
     """Adagrad on the negative log-likelihood of the noisy-or; toxic documents count ``weight`` times."""
     labels = np.asarray(labels, float)
     model = Model(np.zeros(BUCKETS), -4.0)
@@ -81,7 +90,14 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     rng = np.random.default_rng(seed)
     own = [bags(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in texts]
     usable = np.array([i for i, b in enumerate(own) if len(b.doc)])
-    seen, seen_bias = np.full(BUCKETS, 1e-2), 1.0
+    docs_with = np.bincount(np.concatenate([np.unique(own[i].features) for i in usable]), minlength=BUCKETS) if len(usable) else np.zeros(BUCKETS, int)
+    known = np.flatnonzero(docs_with >= MIN_DOCS)
+    place = np.zeros(BUCKETS, np.int64)
+    place[known] = np.arange(1, len(known) + 1)
+    for b in own:
+        b.features = place[b.features]
+    small = Model(np.zeros(len(known) + 1), model.bias)
+    seen, seen_bias = np.full(len(known) + 1, 0.1), 10.0
     for _ in range(epochs):
         order = rng.permutation(usable)
         for at in range(0, len(order), BATCH):
@@ -92,18 +108,21 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int
             shift = np.cumsum(n_words) - n_words
             first = np.concatenate([own[i].first[:-1] + s for i, s in zip(rows, shift)] + [[len(features)]])
             bag = np.repeat(np.arange(len(rows)), n_sent)
-            z, soft = _scores(model, Bags(features, first, bag, bag, bag))
+            z, soft = _scores(small, Bags(features, first, bag, bag, bag))
             total = np.bincount(bag, soft, len(rows))
             y = labels[rows]
             slope = np.where(y > 0, -weight / np.maximum(np.expm1(np.minimum(total, 50)), 1e-6), 1.0)
             slope = np.clip(slope, -50, 50)
             dz = slope[bag] / (1 + np.exp(-np.clip(z, -40, 40))) / len(rows)
-            grad = np.bincount(features.ravel(), np.repeat(np.repeat(dz, np.diff(first)), 3), BUCKETS)
+            grad = np.bincount(features.ravel(), np.repeat(np.repeat(dz, np.diff(first)), 3), len(small.weights))
+            grad += L1 * np.sign(small.weights)
+            grad[0] = 0
             seen += grad * grad
-            model.weights -= 0.3 * grad / np.sqrt(seen)
+            small.weights -= RATE * grad / np.sqrt(seen)
             g = dz.sum()
             seen_bias += g * g
-            model.bias -= 0.3 * g / np.sqrt(seen_bias)
+            small.bias -= RATE * g / np.sqrt(seen_bias)
+    model.weights[known], model.bias = small.weights[1:], small.bias
     return model
 
 
