@@ -3,14 +3,16 @@
 A document's set holds the hashes of its word n-grams (see bytetext for words; a document of fewer
 words than n has one gram, all its words). The result is exact:
 
-1. A sketch of fixed size counts in how many documents each gram occurs, over the whole corpus, and
-   so gives all grams one global order, rare ones first. (Collisions only make it a worse order.)
+1. A sketch counts in how many documents each gram occurs, over the whole corpus, and so gives all
+   grams one global order, rare ones first. It has a counter for every few grams, up to MAX_SKETCH
+   (a byte each, broadcast); collisions and full counters only make the order worse, never the result.
 2. Two sets that reach the threshold share a gram among the first few of that order (prefix filter).
    These prefixes are dealt to tiles by gram. Within a tile, documents are sorted by size, and a
    document only meets the band of sizes that can reach the threshold.
    A pair is passed on where it meets first: at a gram before which both have different grams.
-3. Candidate pairs are grouped, by the smallest gram of either document, in blocks that receive each
-   set once. There, hashed bitmap signatures bound the overlap from above by their bit counts: of A,
+3. Candidate pairs are grouped in blocks, by the smallest neighbour of their documents, so that a
+   group of similar documents shares blocks and each block receives a set once; a large group is cut
+   in a grid of blocks. There, hashed bitmap signatures bound the overlap from above by their bit counts: of A,
    at most |A| - bits(A and not B) grams can be in B. Pairs that pass are intersected exactly.
 
 Documents with equal sets are one set for all of this, so a group of thousands of copies costs one;
@@ -34,12 +36,12 @@ from pyspark.sql import functions as F
 from quillon.llm.bytetext import Hasher, U, buffers, fold, mix, slices, words
 from quillon.llm.scratch import written
 
-N, THRESHOLD = 2, 0.7
-#: Counters of the frequency sketch (a power of two), and how many of them travel in one row.
-SKETCH, SEGMENT = 1 << 22, 1 << 17
-#: Postings that a tile is meant to hold, and documents that a block is meant to hold.
-TILE_POSTINGS, BLOCK_DOCS = 1_000_000, 1500
-_GRAM_BITS, _LEVEL_BITS, _DOC_BITS = 44, 6, 14
+N, THRESHOLD = 2, 0.65
+#: Bytes of text for one counter of the frequency sketch, the least and most counters (powers of two), and how many travel in one row.
+SKETCH_SHARE, MIN_SKETCH, MAX_SKETCH, SEGMENT = 24, 1 << 16, 1 << 26, 1 << 17
+#: Postings that a tile, documents that a block, and pairs that a block of one group are meant to hold.
+TILE_POSTINGS, BLOCK_DOCS, GRID_PAIRS = 1_000_000, 1500, 400_000
+_GRAM_BITS, _LEVEL_BITS, _DOC_BITS = 44, 7, 13
 _GRAM = U((1 << _GRAM_BITS) - 1)
 _BITMAP_WORDS = 16
 
@@ -88,15 +90,23 @@ def _bounds(doc: np.ndarray, docs: int) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=docs))])
 
 
-def _set_ids(doc: np.ndarray, g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit id of each set and its smallest hashed gram (0 for empty sets)."""
-    sid, anchor = np.zeros(len(at) - 1, U), np.zeros(len(at) - 1, np.uint32)
+def _set_ids(g: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit id of each set (0 for empty sets)."""
+    sid = np.zeros(len(at) - 1, U)
     has = np.flatnonzero(np.diff(at) > 0)
     if len(has):
         h = mix(g + U(0x51ED2701))
         sid[has] = mix(np.add.reduceat(h, at[has]) ^ mix(np.bitwise_xor.reduceat(mix(h), at[has])))
-        anchor[has] = np.minimum.reduceat((h >> U(32)).astype(np.uint32), at[has])
-    return sid, anchor
+    return sid
+
+
+def _packed(g: np.ndarray) -> bytes:
+    return (g & U(0xFFFFFFFF)).astype(np.uint32).tobytes() + (g >> U(32)).astype(np.uint16).tobytes()
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    n = len(b) // 6
+    return np.frombuffer(b, np.uint32, n).astype(U) | (np.frombuffer(b, np.uint16, n, 4 * n).astype(U) << U(32))
 
 
 def _each(batches: Iterator[pa.RecordBatch], column: str = "text"):
@@ -106,31 +116,36 @@ def _each(batches: Iterator[pa.RecordBatch], column: str = "text"):
             yield batch, lo, hi, data, own
 
 
-def frequency_levels(docs: DataFrame, n: int, sketch: int = SKETCH) -> np.ndarray:
-    """For each counter of the sketch three times the binary logarithm of its count, over all documents; ``sketch`` bytes."""
+def frequency_levels(docs: DataFrame, n: int, sketch: int) -> np.ndarray:
+    """For each counter of the sketch six times the binary logarithm of its count, over all documents; ``sketch`` bytes."""
     segment = min(SEGMENT, sketch)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, size = np.zeros(sketch, np.int64), [], 0
+        total, held, size = np.zeros(sketch, np.uint8), [], 0
+
+        def add() -> None:
+            at, times = np.unique(np.concatenate(held), return_counts=True)
+            total[at] = np.minimum(255, total[at] + times).astype(np.uint8)
+
         for _, _, _, data, own in _each(batches):
             _, g = sets(data, own, n)
-            held.append((g & U(sketch - 1)).astype(np.int64))
+            held.append((g & U(sketch - 1)).astype(np.uint32))
             size += len(g)
-            if size > sketch // 2:
-                total += np.bincount(np.concatenate(held), minlength=sketch)
+            if size > 1 << 20:
+                add()
                 held, size = [], 0
         if held:
-            total += np.bincount(np.concatenate(held), minlength=sketch)
+            add()
         for s in range(sketch // segment):
             part = total[s * segment : (s + 1) * segment]
             if part.any():
-                yield pa.RecordBatch.from_pydict({"s": pa.array([s], pa.int32()), "c": pa.array([zlib.compress(part.astype(np.uint32).tobytes(), 1)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"s": pa.array([s], pa.int32()), "c": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(segment, np.int64)
         for c in rows["c"]:
-            total += np.frombuffer(zlib.decompress(c), np.uint32)
-        level = np.minimum((1 << _LEVEL_BITS) - 1, (3 * np.log2(1 + total)).astype(np.int64)).astype(np.uint8)
+            total += np.frombuffer(zlib.decompress(c), np.uint8)
+        level = np.minimum((1 << _LEVEL_BITS) - 1, (6 * np.log2(1 + total)).astype(np.int64)).astype(np.uint8)
         return pd.DataFrame({"s": [int(rows["s"].iloc[0])], "c": [level.tobytes()]})
 
     out = np.zeros(sketch, np.uint8)
@@ -143,7 +158,7 @@ def _prefix(size: np.ndarray, share: float) -> np.ndarray:
     return (size - np.ceil(share * size - 1e-9) + 1).astype(np.int64)
 
 
-_POSTING = np.dtype([("gram", np.uint32), ("before", np.uint32), ("sid", U), ("size", np.uint32), ("anchor", np.uint32)])
+_POSTING = np.dtype([("gram", np.uint32), ("before", np.uint32), ("sid", U), ("size", np.uint32)])
 
 
 def _emit(n: int, threshold: float, tiles: int, levels):
@@ -166,7 +181,7 @@ def _emit(n: int, threshold: float, tiles: int, levels):
             if not len(g):
                 continue
             at = _bounds(doc, len(own) - 1)
-            sid, anchor = _set_ids(doc, g, at)
+            sid = _set_ids(g, at)
             size = np.diff(at)
             take = np.where(size > 0, _prefix(size, threshold), 0)
             index = np.where(size > 0, _prefix(size, 2 * threshold / (1 + threshold)), 0)
@@ -178,7 +193,7 @@ def _emit(n: int, threshold: float, tiles: int, levels):
             low = (x & U(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
             p["before"][1:] = low[:-1]
             p["before"][r == 0] = 0
-            p["sid"], p["anchor"] = sid[d], anchor[d]
+            p["sid"] = sid[d]
             p["size"] = size[d].astype(np.uint32) * np.uint32(2) + (r < index[d])
             held.append(p)
             of.append((x % U(tiles)).astype(np.int32))
@@ -204,16 +219,16 @@ def _decoded(blobs) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def _unique_pairs(a: np.ndarray, b: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((b, a))
-    a, b, k = a[order], b[order], k[order]
+    a, b = a[order], b[order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[new], b[new], k[new]
+    return a[new], b[new]
 
 
-def tile_pairs(p: np.ndarray, threshold: float, step: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate pairs (smaller set id, larger set id, block) of a tile's postings."""
+def tile_pairs(p: np.ndarray, threshold: float, step: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs (smaller set id, larger set id) of a tile's postings."""
     size = p["size"] >> np.uint32(1)
     order = np.lexsort((p["sid"], size, p["gram"]))
     p, size = p[order], size[order].astype(U)
@@ -225,7 +240,7 @@ def tile_pairs(p: np.ndarray, threshold: float, step: int = 1_000_000) -> tuple[
     lo = np.searchsorted(key, gram | np.ceil(threshold * size - 1e-9).astype(U), side="left")
     many = np.maximum(np.arange(len(p)) - lo, 0)
     ends = np.cumsum(many)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     at = 0
     while at < len(p):
         base = ends[at - 1] if at else 0
@@ -239,10 +254,10 @@ def tile_pairs(p: np.ndarray, threshold: float, step: int = 1_000_000) -> tuple[
             i, j = i[ok], j[ok]
             if len(i):
                 x, y = p["sid"][i], p["sid"][j]
-                found.append(_unique_pairs(np.minimum(x, y), np.maximum(x, y), np.minimum(p["anchor"][i], p["anchor"][j])))
+                found.append(_unique_pairs(np.minimum(x, y), np.maximum(x, y)))
         at = to
     if not found:
-        return np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.uint32)
+        return np.zeros(0, U), np.zeros(0, U)
     return _unique_pairs(*(np.concatenate(x) for x in zip(*found)))
 
 
@@ -282,40 +297,51 @@ def overlaps(arrays: list[np.ndarray], a: np.ndarray, b: np.ndarray, threshold:
     return good[ok], out[ok]
 
 
-def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, sketch: int = SKETCH, id_col: str = "doc_id", text_col: str = "text", tile_postings: int = TILE_POSTINGS, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, sketch: int | None = None, id_col: str = "doc_id", text_col: str = "text", tile_postings: int = TILE_POSTINGS, block_docs: int = BLOCK_DOCS, grid_pairs: int = GRID_PAIRS) -> DataFrame:
     """(doc_a, doc_b, jaccard), doc_a < doc_b; see the module for copies."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
     texts = own.select("text")
+    if sketch is None:
+        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        sketch = min(MAX_SKETCH, max(MIN_SKETCH, 1 << int(size // SKETCH_SHARE).bit_length()))
     levels = spark.sparkContext.broadcast(frequency_levels(texts, n, sketch))
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, lo, hi, data, offsets in _each(batches):
             doc, g = sets(data, offsets, n)
             at = _bounds(doc, hi - lo)
-            sid, _ = _set_ids(doc, g, at)
-            size = np.diff(at)
+            sid, size = _set_ids(g, at), np.diff(at)
             has = size > 0
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).filter(pa.array(has)), pa.array(sid[has].view(np.int64)), pa.array(size[has].astype(np.int64))], ["doc_id", "sid", "size"])
 
     known = written(own.mapInArrow(ids, "doc_id long, sid long, size long"), "join-ids")
-    totals = known.agg(F.count("*").alias("d"), F.sum("size").alias("g")).first()
+    grams = known.agg(F.sum("size")).first()[0] or 0
     groups = known.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"))
     copies = known.join(groups.select("sid", "rep"), "sid").where("doc_id != rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
-    tiles = max(1, -(-int((totals["g"] or 0) * (1 - threshold)) // tile_postings))
-    blocks = max(1, -(-totals["d"] // block_docs))
+    tiles = max(1, -(-int(grams * (1 - threshold)) // tile_postings))
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b, k = tile_pairs(_decoded(rows["p"]), threshold)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64), "k": (k % np.uint32(blocks)).astype(np.int32)})
+        a, b = tile_pairs(_decoded(rows["p"]), threshold)
+        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     postings = texts.mapInArrow(_emit(n, threshold, tiles, levels), "tile int, p binary")
-    pairs = written(postings.groupBy("tile").applyInPandas(meet, "a long, b long, k int").dropDuplicates(["a", "b"]), "join-pairs")
+    met = written(postings.groupBy("tile").applyInPandas(meet, "a long, b long").distinct(), "join-met")
+
+    # The smallest neighbour is a label that similar documents share; pairs go to the block of their smaller label.
+    label = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l"))
+    label = written(label.select(F.col("a").alias("x"), "l"), "join-labels")
+    blocks = max(1, -(-label.count() // block_docs))
+    pairs = met.join(label.select(F.col("x").alias("a"), F.col("l").alias("la")), "a").join(label.select(F.col("x").alias("b"), F.col("l").alias("lb")), "b")
+    pairs = written(pairs.select("a", "b", F.least("la", "lb").alias("l")), "join-labelled")
+    large = pairs.groupBy("l").agg(F.count("*").alias("c")).where(F.col("c") > grid_pairs).select("l", F.ceil(F.sqrt(F.col("c") / grid_pairs)).cast("long").alias("g"))
+    cell = lambda x: F.pmod(F.xxhash64(x), F.coalesce("g", F.lit(1)))
+    pairs = pairs.join(large, "l", "left").select(F.pmod(F.xxhash64("l", cell("a"), cell("b")), F.lit(blocks)).cast("int").alias("k"), "a", "b")
 
     # Sets travel to the blocks that ask for them; a bitmap of fixed size spares most other documents the work.
     wanted = pairs.select("k", F.explode(F.array("a", "b")).alias("sid")).distinct()
     bits = 1 << 22
-    needed = wanted.select("sid").distinct().join(groups.select("sid", "rep"), "sid").select(F.pmod(F.xxhash64("rep"), F.lit(bits)).alias("bit"))
+    needed = label.select(F.col("x").alias("sid")).join(groups.select("sid", "rep"), "sid").select(F.pmod(F.xxhash64("rep"), F.lit(bits)).alias("bit"))
     filled = np.zeros(bits // 64, U)
     for w, v in needed.groupBy(F.expr("bit div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("v")).collect():
         filled[w] = U(v & 0xFFFFFFFFFFFFFFFF)
@@ -329,9 +355,9 @@ def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, ske
             for _, lo, hi, data, offsets in _each([batch]):
                 doc, g = sets(data, offsets, n)
                 at = _bounds(doc, hi - lo)
-                sid, _ = _set_ids(doc, g, at)
+                sid = _set_ids(g, at)
                 has = np.flatnonzero(np.diff(at) > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(sid[has].view(np.int64)), pa.array([g[at[i] : at[i + 1]].tobytes() for i in has], pa.binary())], ["sid", "g"])
+                yield pa.RecordBatch.from_arrays([pa.array(sid[has].view(np.int64)), pa.array([_packed(g[at[i] : at[i + 1]]) for i in has], pa.binary())], ["sid", "g"])
 
     found = own.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("bit")).mapInArrow(gather, "sid long, g binary")
     sent = wanted.join(found, "sid").select(F.col("k").alias("block"), "sid", "g")
@@ -342,7 +368,7 @@ def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, ske
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "overlap": np.zeros(0, np.int64)})
         place = pd.Series(np.arange(len(s)), index=s["sid"].to_numpy())
         a, b = place.loc[p["a"]].to_numpy(), place.loc[p["b"]].to_numpy()
-        i, overlap = overlaps([np.frombuffer(x, U) for x in s["g"]], a, b, threshold)
+        i, overlap = overlaps([_unpacked(x) for x in s["g"]], a, b, threshold)
         return pd.DataFrame({"a": p["a"].to_numpy()[i], "b": p["b"].to_numpy()[i], "overlap": overlap})
 
     near = pairs.groupBy("k").cogroup(sent.groupBy("block")).applyInPandas(verify, "a long, b long, overlap long")
