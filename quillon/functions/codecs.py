@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,7 +39,11 @@ def residual(v: Column, approximation: Column) -> Column:
     return F.zip_with(v, approximation, lambda x, y: x - y)
 
 
-@F.pandas_udf("array<double>")
-def half(v):
+def half(v: Column | str) -> Column:
     """Vectors as half precision keeps them."""
-    return v.map(lambda x: np.asarray(x, np.float16).astype(float))
+
+    @F.pandas_udf("array<double>")
+    def rounded(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: np.asarray(x, np.float16).astype(float))
+
+    return rounded(v)
