@@ -2,33 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Where it is unset and Spark runs in one process (tests), a temporary folder is set once;
-    on a cluster an unset folder is an error, since a machine-local path would not be shared.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path
-    found = getattr(spark.sparkContext, "_quillon_scratch", None)
-    if found is None:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="quillon-")
-        spark.sparkContext._quillon_scratch = found
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+from quillon.sources.scratch import scratch_dir
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
