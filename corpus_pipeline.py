@@ -8,13 +8,15 @@ null or empty. Extra columns of documents are carried along unchanged.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import decontamination, line_dedup, mixing, ngram_join, quality
-from quillon.llm.scratch import written
+from quillon.llm.scratch import collecting, delete, written
+from quillon.session import ship
 
 QUALITY_THRESHOLD = 0.5
 
@@ -54,12 +56,27 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+_in_use: list[str] = []
+
+
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """Since a stage's docs have been written, the scratch tables of the stage before are read no more and go first."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        delete(spark, _in_use)
+        with collecting(_in_use):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality classifier", quality_classifier),
-    ("line dedup", line_deduplication),
-    ("n-gram Jaccard join", ngram_jaccard_join),
-    ("benchmark decontamination", benchmark_decontamination),
-    ("mixing sources to target weights", mixture),
+    ("quality classifier", _stage(quality_classifier)),
+    ("line dedup", _stage(line_deduplication)),
+    ("n-gram Jaccard join", _stage(ngram_jaccard_join)),
+    ("benchmark decontamination", _stage(benchmark_decontamination)),
+    ("mixing sources to target weights", _stage(mixture)),
 ]
 
 #: The network's decisions can't be put in SQL; tests/llm compares each stage with a brute-force version.
@@ -67,7 +84,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    """All stages over documents; of the stages' results only the last is left."""
+    ship(spark)
+    docs, results = _table(spark, sf_dir, "documents"), []
     for i, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{i}")
+        with collecting(mine := []):
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{i}")
+        delete(spark, results)
+        results = mine
     return docs

@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.sources.scratch import scratch_dir
+from quillon.sources.store import Files
+
+_collector: ContextVar[list[str] | None] = ContextVar("collector", default=None)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -18,4 +24,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    if (held := _collector.get()) is not None:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def collecting(into: list[str]) -> Iterator[None]:
+    """Notes the tables written inside, so that their maker can delete them when nothing reads them any more."""
+    token = _collector.set(into)
+    try:
+        yield
+    finally:
+        _collector.reset(token)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    files = Files(spark)
+    while paths:
+        files.delete(paths.pop())
