@@ -74,19 +74,26 @@ class Best:
     def bound(self) -> np.ndarray:
         return self.d[:, -1] + _EPS
 
-    def add(self, rows: np.ndarray, ids: np.ndarray, d: np.ndarray) -> None:
+    def add(self, rows: np.ndarray, own: np.ndarray, ids: np.ndarray, d: np.ndarray, limit: np.ndarray) -> None:
+        """Takes in distances d (rows x ids) within each row's limit, leaving out a query's own id."""
         k = self.d.shape[1]
-        if d.shape[1] > 4 * k:  # what can't be among the k smallest, ties included
-            limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-            keep = (d <= limit).any(axis=0)
-            ids, d = ids[keep], d[:, keep]
-        all_d = np.concatenate([self.d[rows], d], axis=1)
-        all_i = np.concatenate([self.ids[rows], np.broadcast_to(ids, d.shape)], axis=1)
-        order = np.lexsort((all_i, all_d), axis=1)[:, :k]
-        self.d[rows], self.ids[rows] = np.take_along_axis(all_d, order, axis=1), np.take_along_axis(all_i, order, axis=1)
-
-
-def search_node(node: dict, ids: np.ndarray, queries: np.ndarray, bound: np.ndarray, k: int, block: int = 64) -> tuple[Best, int]:
+        r, c = np.nonzero(d <= limit[:, None])
+        other = ids[c] != own[r]
+        r, c = r[other], c[other]
+        if not len(r):
+            return
+        u, at = np.unique(r, return_inverse=True)
+        row = np.concatenate([np.repeat(np.arange(len(u)), k), at])
+        all_d = np.concatenate([self.d[rows[u]].ravel(), np.round(d[r, c], 6)])
+        all_i = np.concatenate([self.ids[rows[u]].ravel(), ids[c]])
+        order = np.lexsort((all_i, all_d, row))
+        size = np.bincount(row)
+        first = np.cumsum(size) - size
+        keep = order[(np.arange(len(order)) - np.repeat(first, size)) < k]
+        self.d[rows[u]], self.ids[rows[u]] = all_d[keep].reshape(-1, k), all_i[keep].reshape(-1, k)
+
+
+def search_node(node: dict, ids: np.ndarray, queries: np.ndarray, bound: np.ndarray, k: int, block: int = 128) -> tuple[Best, int]:
     """The k nearest of each query among the node's vectors (others than itself) within its bound, and how many distances were computed."""
     out, computed = Best(len(ids), k), 0
     to_pivot = distances(queries, node["pivot"][None])[:, 0]
@@ -112,11 +119,9 @@ def search_node(node: dict, ids: np.ndarray, queries: np.ndarray, bound: np.ndar
             near = (np.abs(d[go, j][:, None] - page["parent"][None]) <= limit[go][:, None]).any(axis=0)
             if not near.any():
                 continue
-            pd_ = distances(q[go], page["vectors"][near])
-            computed += pd_.size
-            pd_ = np.round(pd_, 6)
-            pd_[ids[rows[go]][:, None] == page["ids"][near][None]] = np.inf
-            b.add(go, page["ids"][near], pd_)
+            found = distances(q[go], page["vectors"][near])
+            computed += found.size
+            b.add(go, ids[rows[go]], page["ids"][near], found, limit[go])
         out.d[rows], out.ids[rows] = b.d, b.ids
     return out, computed
 
