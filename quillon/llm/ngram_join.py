@@ -8,12 +8,15 @@ words than n has one gram, all its words). The result is exact:
    (a byte each, broadcast); collisions and full counters only make the order worse, never the result.
 2. Two sets that reach the threshold share a gram among the first few of that order (prefix filter).
    These prefixes are dealt to tiles by gram. Within a tile, documents are sorted by size, and a
-   document only meets the band of sizes that can reach the threshold.
-   A pair is passed on where it meets first: at a gram before which both have different grams.
+   document only meets the band of sizes that can reach the threshold. A pair meets at many grams and
+   is passed on at few: where both have the same marked gram (the least hash among their index grams)
+   only there, else where it may meet first, at a gram before which both have different grams.
 3. Candidate pairs are grouped in blocks, by the smallest neighbour of their documents, so that a
-   group of similar documents shares blocks and each block receives a set once; a large group is cut
-   in a grid of blocks. There, hashed bitmap signatures bound the overlap from above by their bit counts: of A,
-   at most |A| - bits(A and not B) grams can be in B. Pairs that pass are intersected exactly.
+   group of similar documents shares blocks. Pairs across groups and in small groups, many of them
+   false, must first pass a bound from hashed bitmap signatures, whose length follows the set's size:
+   of A, at most |A| - bits(A and not B) grams can be in B.
+4. Each block receives its sets once (a large group is cut in a grid of blocks), bounds the overlaps
+   by bit counts and intersects the sorted sets of the pairs that are left exactly.
 
 Documents with equal sets are one set for all of this, so a group of thousands of copies costs one;
 they appear as pairs with the smallest id of the group. Near pairs are pairs of these smallest ids.
@@ -26,6 +29,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -38,12 +42,16 @@ from quillon.llm.scratch import written
 
 N, THRESHOLD = 2, 0.65
 #: Bytes of text for one counter of the frequency sketch, the least and most counters (powers of two), and how many travel in one row.
-SKETCH_SHARE, MIN_SKETCH, MAX_SKETCH, SEGMENT = 24, 1 << 16, 1 << 26, 1 << 17
+SKETCH_SHARE, MIN_SKETCH, MAX_SKETCH, SEGMENT = 32, 1 << 16, 1 << 26, 1 << 17
+#: At least so many tiles, for parallelism.
+MIN_TILES = 32
+#: Pairs that share a label from which on a group counts as dense: its sets go to one block anyway.
+DENSE = 64
 #: Postings that a tile, documents that a block, and pairs that a block of one group are meant to hold.
-TILE_POSTINGS, BLOCK_DOCS, GRID_PAIRS = 1_000_000, 1500, 400_000
+TILE_POSTINGS, BLOCK_DOCS, GRID_PAIRS = 1_200_000, 1000, 400_000
 _GRAM_BITS, _LEVEL_BITS, _DOC_BITS = 44, 7, 13
 _GRAM = U((1 << _GRAM_BITS) - 1)
-_BITMAP_WORDS = 16
+_SLICE = 1 << 19
 
 
 def gram_keys(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,10 +120,32 @@ def _unpacked(b: bytes) -> np.ndarray:
 def _each(batches: Iterator[pa.RecordBatch], column: str = "text"):
     for batch in batches:
         raw, offsets, valid = buffers(batch.column(column))
-        for lo, hi, data, own in slices(raw, offsets):
+        for lo, hi, data, own in slices(raw, offsets, _SLICE):
             yield batch, lo, hi, data, own
 
 
+def _sparse(counts: np.ndarray) -> bytes:
+    """A segment of small counters, most of them 0: gaps between the others and their counts, entropy-coded."""
+    at = np.flatnonzero(counts)
+    gaps = np.diff(at, prepend=-1) - 1
+    far = gaps >= 255
+    coder = zlib.compressobj(1, zlib.DEFLATED, 15, 9, zlib.Z_HUFFMAN_ONLY)
+    head = np.array([len(at), far.sum()], np.uint32).tobytes()
+    body = coder.compress(np.minimum(gaps, 255).astype(np.uint8).tobytes() + gaps[far].astype(np.uint32).tobytes())
+    more = zlib.compressobj(1, zlib.DEFLATED, 15, 9, zlib.Z_HUFFMAN_ONLY)
+    tail = more.compress((counts[at] - 1).astype(np.uint8).tobytes()) + more.flush()
+    body += coder.flush()
+    return head + np.uint32(len(body)).tobytes() + body + tail
+
+
+def _add_sparse(total: np.ndarray, blob: bytes) -> None:
+    n, m, size = (int(x) for x in np.frombuffer(blob, np.uint32, 3))
+    body = zlib.decompress(blob[12 : 12 + size])
+    gaps = np.frombuffer(body, np.uint8, n).astype(np.int64)
+    gaps[gaps == 255] = np.frombuffer(body, np.uint32, m, n)
+    total[np.cumsum(gaps + 1) - 1] += np.frombuffer(zlib.decompress(blob[12 + size :]), np.uint8).astype(np.int64) + 1
+
+
 def frequency_levels(docs: DataFrame, n: int, sketch: int) -> np.ndarray:
     """For each counter of the sketch six times the binary logarithm of its count, over all documents; ``sketch`` bytes."""
     segment = min(SEGMENT, sketch)
@@ -139,12 +169,12 @@ def frequency_levels(docs: DataFrame, n: int, sketch: int) -> np.ndarray:
         for s in range(sketch // segment):
             part = total[s * segment : (s + 1) * segment]
             if part.any():
-                yield pa.RecordBatch.from_pydict({"s": pa.array([s], pa.int32()), "c": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"s": pa.array([s], pa.int32()), "c": pa.array([_sparse(part)], pa.binary())})
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(segment, np.int64)
         for c in rows["c"]:
-            total += np.frombuffer(zlib.decompress(c), np.uint8)
+            _add_sparse(total, c)
         level = np.minimum((1 << _LEVEL_BITS) - 1, (6 * np.log2(1 + total)).astype(np.int64)).astype(np.uint8)
         return pd.DataFrame({"s": [int(rows["s"].iloc[0])], "c": [level.tobytes()]})
 
@@ -158,65 +188,89 @@ def _prefix(size: np.ndarray, share: float) -> np.ndarray:
     return (size - np.ceil(share * size - 1e-9) + 1).astype(np.int64)
 
 
-_POSTING = np.dtype([("gram", np.uint32), ("before", np.uint32), ("sid", U), ("size", np.uint32)])
+_RECORD = (("sid", U), ("before", np.uint32), ("mark", np.uint32), ("size", np.uint16), ("count", np.uint16))
 
 
-def _emit(n: int, threshold: float, tiles: int, levels):
-    """Prefix postings of a partition, as one planar blob for each tile."""
+def _mark_value(tile: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    return (mix((tile << U(32)) | gram) >> U(32)).astype(np.uint32)
+
 
-    def blob(p: np.ndarray) -> bytes:
-        return b"".join(np.ascontiguousarray(p[f]).tobytes() for f in _POSTING.names)
+def _emit(n: int, threshold: float, tiles: int, levels):
+    """Prefix postings of a partition, one blob for each tile. A blob has a record for every document (set id, size,
+    number of grams, the gram that precedes its first one anywhere, the mark) and then the grams, 31 bits and whether an index gram."""
 
-    def flush(held: list[np.ndarray], of: list[np.ndarray]) -> pa.RecordBatch:
-        p, tile = np.concatenate(held), np.concatenate(of)
+    def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        tile, sid, before, mark, size, count, gram = (np.concatenate(x) for x in zip(*held))
+        first = np.cumsum(count, dtype=np.int64) - count
         order = np.argsort(tile, kind="stable")
-        p, tile = p[order], tile[order]
+        tile, sid, before, mark, size, first, count = (x[order] for x in (tile, sid, before, mark, size, first, count))
+        to = np.cumsum(count, dtype=np.int64)
+        gram = gram[np.repeat(first - (to - count), count) + np.arange(len(gram))]
         cut = np.concatenate([[0], np.flatnonzero(tile[1:] != tile[:-1]) + 1, [len(tile)]])
-        return pa.RecordBatch.from_pydict({"tile": pa.array([int(tile[a]) for a in cut[:-1]], pa.int32()), "p": pa.array([blob(p[a:b]) for a, b in zip(cut[:-1], cut[1:])], pa.binary())})
+        at = np.concatenate([[0], to])
+        blobs = [np.uint32(y - x).tobytes() + sid[x:y].tobytes() + before[x:y].tobytes() + mark[x:y].tobytes() + size[x:y].tobytes() + count[x:y].tobytes() + gram[at[x] : at[y]].tobytes() for x, y in zip(cut[:-1], cut[1:])]
+        return pa.RecordBatch.from_pydict({"tile": pa.array([int(tile[x]) for x in cut[:-1]], pa.int32()), "p": pa.array(blobs, pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held, of, size_held = levels.value, [], [], 0
+        table, held, held_size = levels.value, [], 0
         for _, _, _, data, own in _each(batches):
             doc, g = sets(data, own, n, table)
             if not len(g):
                 continue
             at = _bounds(doc, len(own) - 1)
-            sid = _set_ids(g, at)
-            size = np.diff(at)
+            sid, size = _set_ids(g, at), np.diff(at)
             take = np.where(size > 0, _prefix(size, threshold), 0)
             index = np.where(size > 0, _prefix(size, 2 * threshold / (1 + threshold)), 0)
             rank = np.arange(len(g)) - at[doc]
-            use = rank < take[doc]
-            d, x, r = doc[use], g[use], rank[use]
-            p = np.empty(len(x), _POSTING)
-            p["gram"] = ((x // U(tiles)) & U(0xFFFFFFFF)).astype(np.uint32)
-            low = (x & U(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
-            p["before"][1:] = low[:-1]
-            p["before"][r == 0] = 0
-            p["sid"] = sid[d]
-            p["size"] = size[d].astype(np.uint32) * np.uint32(2) + (r < index[d])
-            held.append(p)
-            of.append((x % U(tiles)).astype(np.int32))
-            size_held += len(p)
-            if size_held > 500_000:
-                yield flush(held, of)
-                held, of, size_held = [], [], 0
+            before = np.zeros(len(g), np.uint32)
+            before[1:] = (g[:-1] & U(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
+            before[rank == 0] = 0
+            value = _mark_value(g % U(tiles), (g // U(tiles)) & U(0x7FFFFFFF))
+            value[rank >= index[doc]] = 0xFFFFFFFF
+            mark = np.zeros(len(size), np.uint32)
+            has = np.flatnonzero(size > 0)
+            mark[has] = np.minimum.reduceat(value, at[has])
+            use = np.flatnonzero(rank < take[doc])
+            tile = (g[use] % U(tiles)).astype(np.int32)
+            order = np.argsort(tile, kind="stable")
+            use, tile = use[order], tile[order]
+            d = doc[use]
+            gram = (((g[use] // U(tiles)) & U(0x7FFFFFFF)) << U(1)).astype(np.uint32) | (rank[use] < index[d]).astype(np.uint32)
+            new = np.ones(len(use), bool)
+            new[1:] = (tile[1:] != tile[:-1]) | (d[1:] != d[:-1])
+            inside = np.arange(len(use)) - np.maximum.accumulate(np.where(new, np.arange(len(use)), 0))
+            head = np.flatnonzero(new | (inside % 65535 == 0))
+            r = d[head]
+            held.append((tile[head], sid[r], before[use[head]], mark[r], np.minimum(size[r], 65535).astype(np.uint16), np.diff(np.concatenate([head, [len(use)]])).astype(np.uint16), gram))
+            held_size += len(use)
+            if held_size > 300_000:
+                yield flush(held)
+                held, held_size = [], 0
         if held:
-            yield flush(held, of)
+            yield flush(held)
 
     return run
 
 
-def _decoded(blobs) -> np.ndarray:
-    width, parts = _POSTING.itemsize, []
+def _decoded(blobs) -> tuple[np.ndarray, ...]:
+    """(gram, is an index gram, set id, size, predecessor, mark) of every posting. The predecessor is the document's gram before
+    in the tile, or for its first the one before anywhere; 0 if there is none. Both kinds differ in their high bits."""
+    parts: list[list[np.ndarray]] = [[] for _ in range(6)]
     for b in blobs:
-        p, at = np.empty(len(b) // width, _POSTING), 0
-        for f in _POSTING.names:
-            t = _POSTING[f]
-            p[f] = np.frombuffer(b, t, len(p), at)
-            at += t.itemsize * len(p)
-        parts.append(p)
-    return np.concatenate(parts)
+        n, at = int(np.frombuffer(b, np.uint32, 1)[0]), 4
+        fields = []
+        for _, t in _RECORD:
+            fields.append(np.frombuffer(b, t, n, at))
+            at += np.dtype(t).itemsize * n
+        sid, before, mark, size, count = fields
+        packed = np.frombuffer(b, np.uint32, -1, at)
+        gram = packed >> np.uint32(1)
+        previous = np.empty(len(gram), U)
+        previous[1:] = gram[:-1].astype(U) | U(1 << 41)
+        previous[np.cumsum(count, dtype=np.int64) - count] = np.where(before > 0, before.astype(U) | U(1 << 40), U(0))
+        for held, x in zip(parts, (gram, (packed & np.uint32(1)).astype(bool), np.repeat(sid, count), np.repeat(size, count), previous, np.repeat(mark, count))):
+            held.append(x)
+    return tuple(np.concatenate(x) for x in parts)
 
 
 def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,33 +281,35 @@ def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return a[new], b[new]
 
 
-def tile_pairs(p: np.ndarray, threshold: float, step: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (smaller set id, larger set id) of a tile's postings."""
-    size = p["size"] >> np.uint32(1)
-    order = np.lexsort((p["sid"], size, p["gram"]))
-    p, size = p[order], size[order].astype(U)
-    new = np.ones(len(p), bool)
-    new[1:] = (p["gram"][1:] != p["gram"][:-1]) | (p["sid"][1:] != p["sid"][:-1])
-    p, size = p[new], size[new]
-    gram = p["gram"].astype(U) << U(32)
-    key = gram | size
-    lo = np.searchsorted(key, gram | np.ceil(threshold * size - 1e-9).astype(U), side="left")
-    many = np.maximum(np.arange(len(p)) - lo, 0)
+def tile_pairs(blobs, tile: int, threshold: float, step: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs (smaller set id, larger set id) of a tile's postings. Within a gram, documents are sorted by size,
+    and each meets the band of shorter ones that can reach the threshold at their index grams. A pair of equal marks counts
+    at the marked gram only; of others, a pair whose predecessors are equal has met at these. (Sizes from 65,535 on count as that, which only widens the band.)"""
+    gram, index, sid, size, before, mark = _decoded(blobs)
+    order = np.lexsort((sid, size, gram))
+    gram, sid, size = gram[order], sid[order], size[order]
+    new = np.ones(len(gram), bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (sid[1:] != sid[:-1])
+    order = order[new]
+    gram, sid, size, index, before, mark = gram[new].astype(U), sid[new], size[new].astype(U), index[order], before[order], mark[order]
+    marked = _mark_value(U(tile), gram) == mark
+    gram <<= U(32)
+    lo = np.searchsorted(gram | size, gram | np.ceil(threshold * size - 1e-9).astype(U), side="left")
+    many = np.maximum(np.arange(len(gram)) - lo, 0)
     ends = np.cumsum(many)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     at = 0
-    while at < len(p):
+    while at < len(gram):
         base = ends[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(ends, base + step, side="right")))
         m = many[at:to]
         if m.sum():
             i = np.repeat(np.arange(at, to), m)
             j = lo[i] + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
-            before = p["before"]
-            ok = ((p["size"][j] & np.uint32(1)) == 1) & ((before[i] != before[j]) | (before[i] == 0)) & (p["sid"][i] != p["sid"][j])
+            ok = index[j] & np.where(mark[i] == mark[j], marked[i], (before[i] != before[j]) | (before[i] == 0)) & (sid[i] != sid[j])
             i, j = i[ok], j[ok]
             if len(i):
-                x, y = p["sid"][i], p["sid"][j]
+                x, y = sid[i], sid[j]
                 found.append(_unique_pairs(np.minimum(x, y), np.maximum(x, y)))
         at = to
     if not found:
@@ -261,40 +317,92 @@ def tile_pairs(p: np.ndarray, threshold: float, step: int = 1_000_000) -> tuple[
     return _unique_pairs(*(np.concatenate(x) for x in zip(*found)))
 
 
+def _signature_bits(size: np.ndarray) -> np.ndarray:
+    """A power of two between 1.1 and 2.2 times the size, 64 at least."""
+    return 1 << np.maximum(6, np.ceil(np.log2(1.1 * np.maximum(size, 1))).astype(np.int64))
+
+
+def signatures(g: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """The hashed bitmap of each set."""
+    size = np.diff(at)
+    words = _signature_bits(size) >> 6
+    first = np.concatenate([[0], np.cumsum(words)])
+    flat = np.zeros(int(first[-1]), U)
+    doc = np.repeat(np.arange(len(size)), size)
+    h = (mix(g) >> U(20)).astype(np.int64) & ((words[doc] << 6) - 1)
+    np.bitwise_or.at(flat, first[doc] + (h >> 6), U(1) << (h & 63).astype(U))
+    return [flat[x:y].tobytes() for x, y in zip(first[:-1], first[1:])]
+
+
+def _folded(blobs: list[bytes], words: int) -> np.ndarray:
+    """Bitmaps of at least ``words`` words, all of one length, folded to that many: the bitmap they would have had."""
+    x = np.frombuffer(b"".join(blobs), U).reshape(len(blobs), -1)
+    while x.shape[1] > words:
+        half = x.shape[1] // 2
+        x = x[:, :half] | x[:, half:]
+    return x
+
+
+class _Picked:
+    """sig[at[i]] for each i, without copies."""
+
+    def __init__(self, sig: list[bytes], at: np.ndarray):
+        self.sig, self.at = sig, at
+
+    def __getitem__(self, i: int) -> bytes:
+        return self.sig[self.at[i]]
+
+
+def may_reach(sig_a: list[bytes] | _Picked, sig_b: list[bytes] | _Picked, size_a: np.ndarray, size_b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the signatures leave room for the overlap that the threshold needs; false only if they prove it out of reach."""
+    need = np.ceil(threshold / (1 + threshold) * (size_a + size_b) - 1e-9)
+    wa, wb = (_signature_bits(x) >> 6 for x in (size_a, size_b))
+    out = np.zeros(len(need), bool)
+    kinds = wa * (1 << 32) + wb
+    for kind in np.unique(kinds):
+        rows = np.flatnonzero(kinds == kind)
+        for lo in range(0, len(rows), 8192):
+            r = rows[lo : lo + 8192]
+            w = int(min(wa[r[0]], wb[r[0]]))
+            a, b = _folded([sig_a[i] for i in r], w), _folded([sig_b[i] for i in r], w)
+            only_a = np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64)
+            only_b = np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64)
+            out[r] = np.minimum(size_a[r] - only_a, size_b[r] - only_b) >= need[r]
+    return out
+
+
 def overlaps(arrays: list[np.ndarray], a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs (a[i], b[i]) of positions in ``arrays`` (sorted, distinct grams) those that reach the threshold, as (i, overlap)."""
+    """Of the pairs (a[i], b[i]) of positions in ``arrays`` (sorted, distinct grams) those that reach the threshold, as
+    (i, overlap). Grams become ranks of the block's sorted vocabulary, and one set's ranks are marked for all its partners."""
     size = np.array([len(x) for x in arrays], np.int64)
-    flat = np.concatenate(arrays)
     at = np.concatenate([[0], np.cumsum(size)])
-    bitmap = np.zeros((len(arrays), _BITMAP_WORDS), U)
-    h = mix(flat)
-    np.bitwise_or.at(bitmap, (np.repeat(np.arange(len(arrays)), size), ((h >> U(6)) % U(_BITMAP_WORDS)).astype(np.int64)), U(1) << (h & U(63)))
     need = np.ceil(threshold / (1 + threshold) * (size[a] + size[b]) - 1e-9).astype(np.int64)
-    good = []
-    for lo in range(0, len(a), 1 << 17):
-        x, y = a[lo : lo + (1 << 17)], b[lo : lo + (1 << 17)]
-        bound = np.minimum(size[x] - np.bitwise_count(bitmap[x] & ~bitmap[y]).sum(axis=1, dtype=np.int64), size[y] - np.bitwise_count(bitmap[y] & ~bitmap[x]).sum(axis=1, dtype=np.int64))
-        good.append(lo + np.flatnonzero(bound >= need[lo : lo + (1 << 17)]))
-    good = np.concatenate(good) if good else np.zeros(0, np.int64)
-    # Exact intersection: grams become ranks of the block's sorted vocabulary, and one set's ranks are marked for all its partners.
-    vocabulary, rank = np.unique(flat, return_inverse=True)
+    vocabulary, rank = np.unique(np.concatenate(arrays), return_inverse=True)
     mark = np.zeros(len(vocabulary), bool)
-    good = good[np.argsort(a[good], kind="stable")]
-    out = np.zeros(len(good), np.int64)
-    cut = np.concatenate([[0], np.flatnonzero(a[good][1:] != a[good][:-1]) + 1, [len(good)]]) if len(good) else np.zeros(1, np.int64)
+    sig = signatures(np.concatenate(arrays), at)
+    able = np.flatnonzero(may_reach(_Picked(sig, a), _Picked(sig, b), size[a], size[b], threshold))
+    out = np.zeros(len(a), np.int64)
+    order = able[np.argsort(a[able], kind="stable")]
+    cut = np.concatenate([[0], np.flatnonzero(a[order][1:] != a[order][:-1]) + 1, [len(order)]]) if len(order) else np.zeros(1, np.int64)
     for s, e in zip(cut[:-1], cut[1:]):
-        own = rank[at[a[good[s]]] : at[a[good[s]] + 1]]
+        x = a[order[s]]
+        own = rank[at[x] : at[x + 1]]
         mark[own] = True
-        for s2 in range(s, e, 4096):
-            e2 = min(e, s2 + 4096)
-            others = b[good[s2:e2]]
+        for s2 in range(s, e, 2048):
+            others = b[order[s2 : min(e, s2 + 2048)]]
             n = size[others]
             first = np.cumsum(n) - n
             where = np.repeat(at[others] - first, n) + np.arange(int(n.sum()))
-            out[s2:e2] = np.add.reduceat(mark[rank[where]], first, dtype=np.int64)
+            out[order[s2 : min(e, s2 + 2048)]] = np.add.reduceat(mark[rank[where]], first, dtype=np.int64)
         mark[own] = False
-    ok = out >= need[good]
-    return good[ok], out[ok]
+    good = np.flatnonzero(out >= need)
+    return good, out[good]
+
+
+def _small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """The table, written, and marked for broadcast if it has at most so many rows."""
+    df = written(df, "join-groups")
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, sketch: int | None = None, id_col: str = "doc_id", text_col: str = "text", tile_postings: int = TILE_POSTINGS, block_docs: int = BLOCK_DOCS, grid_pairs: int = GRID_PAIRS) -> DataFrame:
@@ -313,35 +421,53 @@ def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, ske
             at = _bounds(doc, hi - lo)
             sid, size = _set_ids(g, at), np.diff(at)
             has = size > 0
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).filter(pa.array(has)), pa.array(sid[has].view(np.int64)), pa.array(size[has].astype(np.int64))], ["doc_id", "sid", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).filter(pa.array(has)), pa.array(sid[has].view(np.int64)), pa.array(size[has].astype(np.int64)), pa.array(list(compress(signatures(g, at), has)), pa.binary())], ["doc_id", "sid", "size", "sig"])
 
-    known = written(own.mapInArrow(ids, "doc_id long, sid long, size long"), "join-ids")
+    known = written(own.mapInArrow(ids, "doc_id long, sid long, size long, sig binary"), "join-ids")
     grams = known.agg(F.sum("size")).first()[0] or 0
     groups = known.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"))
     copies = known.join(groups.select("sid", "rep"), "sid").where("doc_id != rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
-    tiles = max(1, -(-int(grams * (1 - threshold)) // tile_postings))
+    tiles = max(MIN_TILES, -(-int(grams * (1 - threshold)) // tile_postings))
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = tile_pairs(_decoded(rows["p"]), threshold)
+        a, b = tile_pairs(rows["p"], int(rows["tile"].iloc[0]), threshold)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     postings = texts.mapInArrow(_emit(n, threshold, tiles, levels), "tile int, p binary")
+    # Several tiles a task, so that a pair that meets in many tiles is mostly made one before it is shuffled.
+    postings = postings.repartition(max(8, tiles // 4), "tile")
     met = written(postings.groupBy("tile").applyInPandas(meet, "a long, b long").distinct(), "join-met")
 
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                columns = [batch.column(x) for x in ("sig_a", "sig_b", "size_a", "size_b")]
+                ok = may_reach(columns[0].to_pylist(), columns[1].to_pylist(), columns[2].to_numpy(), columns[3].to_numpy(), threshold)
+                yield batch.select(["a", "b", "l"]).filter(pa.array(ok))
+
     # The smallest neighbour is a label that similar documents share; pairs go to the block of their smaller label.
     label = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l"))
     label = written(label.select(F.col("a").alias("x"), "l"), "join-labels")
     blocks = max(1, -(-label.count() // block_docs))
-    pairs = met.join(label.select(F.col("x").alias("a"), F.col("l").alias("la")), "a").join(label.select(F.col("x").alias("b"), F.col("l").alias("lb")), "b")
-    pairs = written(pairs.select("a", "b", F.least("la", "lb").alias("l")), "join-labelled")
+    labelled = met.join(label.select(F.col("x").alias("a"), F.col("l").alias("la")), "a").join(label.select(F.col("x").alias("b"), F.col("l").alias("lb")), "b")
+    labelled = written(labelled.select("a", "b", F.least("la", "lb").alias("l"), (F.col("la") == F.col("lb")).alias("same")), "join-labelled")
+    signed = known.groupBy("sid").agg(F.first("sig").alias("sig"), F.max("size").alias("size"))
+    side = lambda x: signed.select(F.col("sid").alias(x), F.col("size").alias(f"size_{x}"), F.col("sig").alias(f"sig_{x}"))
+    dense = labelled.where("same").groupBy("l").agg(F.count("*").alias("c")).where(F.col("c") >= DENSE).select("l", F.lit(True).alias("dense"))
+    dense = _small(dense)
+    labelled = written(labelled.join(dense, "l", "left").select("a", "b", "l", (F.col("same") & F.col("dense").isNotNull()).alias("same")), "join-grouped")
+    across = labelled.where("not same").select("a", "b", "l").join(side("a"), "a").join(side("b"), "b").mapInArrow(bound, "a long, b long, l long")
+    pairs = written(labelled.where("same").select("a", "b", "l").unionByName(across), "join-bounded")
     large = pairs.groupBy("l").agg(F.count("*").alias("c")).where(F.col("c") > grid_pairs).select("l", F.ceil(F.sqrt(F.col("c") / grid_pairs)).cast("long").alias("g"))
+    large = _small(large)
     cell = lambda x: F.pmod(F.xxhash64(x), F.coalesce("g", F.lit(1)))
     pairs = pairs.join(large, "l", "left").select(F.pmod(F.xxhash64("l", cell("a"), cell("b")), F.lit(blocks)).cast("int").alias("k"), "a", "b")
 
     # Sets travel to the blocks that ask for them; a bitmap of fixed size spares most other documents the work.
     wanted = pairs.select("k", F.explode(F.array("a", "b")).alias("sid")).distinct()
     bits = 1 << 22
-    needed = label.select(F.col("x").alias("sid")).join(groups.select("sid", "rep"), "sid").select(F.pmod(F.xxhash64("rep"), F.lit(bits)).alias("bit"))
+    wanted = written(wanted, "join-wanted")
+    needed = wanted.select("sid").distinct().join(groups.select("sid", "rep"), "sid").select(F.pmod(F.xxhash64("rep"), F.lit(bits)).alias("bit"))
     filled = np.zeros(bits // 64, U)
     for w, v in needed.groupBy(F.expr("bit div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("v")).collect():
         filled[w] = U(v & 0xFFFFFFFFFFFFFFFF)
@@ -352,29 +478,31 @@ def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, ske
             bit = batch.column("bit").to_numpy(zero_copy_only=False)
             hit = (filled.value[bit >> 6] >> (bit & 63).astype(U)) & U(1)
             batch = batch.filter(pa.array(hit.astype(bool)))
+            ids = batch.column("doc_id")
             for _, lo, hi, data, offsets in _each([batch]):
                 doc, g = sets(data, offsets, n)
                 at = _bounds(doc, hi - lo)
                 sid = _set_ids(g, at)
                 has = np.flatnonzero(np.diff(at) > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(sid[has].view(np.int64)), pa.array([_packed(g[at[i] : at[i + 1]]) for i in has], pa.binary())], ["sid", "g"])
+                yield pa.RecordBatch.from_arrays([pa.array(sid[has].view(np.int64)), ids.slice(lo, hi - lo).take(pa.array(has)), pa.array([_packed(g[at[i] : at[i + 1]]) for i in has], pa.binary())], ["sid", "doc_id", "g"])
 
-    found = own.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("bit")).mapInArrow(gather, "sid long, g binary")
-    sent = wanted.join(found, "sid").select(F.col("k").alias("block"), "sid", "g")
+    found = own.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("bit")).mapInArrow(gather, "sid long, doc_id long, g binary")
+    sent = wanted.join(found, "sid").select(F.col("k").alias("block"), "sid", "doc_id", "g")
 
     def verify(p: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        s = s.drop_duplicates("sid")
+        s = s.sort_values("doc_id", kind="stable").drop_duplicates("sid")  # of copies that came along, the smallest id
         if not len(p) or not len(s):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "overlap": np.zeros(0, np.int64)})
+            return pd.DataFrame({"doc_a": np.zeros(0, np.int64), "doc_b": np.zeros(0, np.int64), "jaccard": np.zeros(0)})
         place = pd.Series(np.arange(len(s)), index=s["sid"].to_numpy())
         a, b = place.loc[p["a"]].to_numpy(), place.loc[p["b"]].to_numpy()
-        i, overlap = overlaps([_unpacked(x) for x in s["g"]], a, b, threshold)
-        return pd.DataFrame({"a": p["a"].to_numpy()[i], "b": p["b"].to_numpy()[i], "overlap": overlap})
-
-    near = pairs.groupBy("k").cogroup(sent.groupBy("block")).applyInPandas(verify, "a long, b long, overlap long")
-    side = lambda x: groups.select(F.col("sid").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("size").alias(f"size_{x}"))
-    near = near.join(side("a"), "a").join(side("b"), "b").where("rep_a != rep_b")
-    near = near.select(F.least("rep_a", "rep_b").alias("doc_a"), F.greatest("rep_a", "rep_b").alias("doc_b"), F.round(F.expr("overlap / (size_a + size_b - overlap)"), 9).alias("jaccard"))
+        arrays = [_unpacked(x) for x in s["g"]]
+        i, overlap = overlaps(arrays, a, b, threshold)
+        size, ids = np.array([len(x) for x in arrays]), s["doc_id"].to_numpy()
+        x, y = ids[a[i]], ids[b[i]]
+        value = np.round(overlap / (size[a[i]] + size[b[i]] - overlap), 9)
+        return pd.DataFrame({"doc_a": np.minimum(x, y), "doc_b": np.maximum(x, y), "jaccard": value})[x != y]
+
+    near = pairs.groupBy("k").cogroup(sent.groupBy("block")).applyInPandas(verify, "doc_a long, doc_b long, jaccard double")
     return near.unionByName(copies)
 
 

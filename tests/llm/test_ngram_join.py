@@ -80,3 +80,14 @@ def test_overlaps_bound_is_safe():
         ok = J.may_reach([sig[x] for x in a], [sig[x] for x in b], size[a], size[b], t)
         true = np.array([len(np.intersect1d(arrays[x], arrays[y])) >= np.ceil(t / (1 + t) * (size[x] + size[y]) - 1e-9) for x, y in zip(a, b)])
         assert ok[true].all() and (t < 0.5 or ok.mean() < 0.2)
+
+
+def test_sparse_counters():
+    rng = np.random.default_rng(2)
+    for density in (0.0005, 0.1, 0.9):
+        c = np.where(rng.random(5000) < density, rng.integers(1, 256, 5000), 0).astype(np.uint8)
+        c[7] = 255
+        total = np.zeros(5000, np.int64)
+        J._add_sparse(total, J._sparse(c))
+        J._add_sparse(total, J._sparse(c))
+        assert (total == 2 * c.astype(np.int64)).all()
