@@ -6,19 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
-from quillon.operators.topk import rank_by, search_many
+from quillon.operators.topk import rank_by
 
 
-def maxsim(tokens: DataFrame, query: DataFrame, k: int, doc_col: str = "doc_id", vector_col: str = "vector", query_token: str = "token_idx", query_vector: str = "query_vector", oversample: int | None = None, digits: int = 6, token_id: str | None = None) -> DataFrame:
-    """(doc_id, score, rank). With ``oversample`` only documents among each query vector's best k * oversample
-    token hits (tokens keyed by ``token_id``) are scored; without, all are."""
-    scored = tokens
+def maxsim(tokens: DataFrame, query: DataFrame, k: int, doc_col: str = "doc_id", vector_col: str = "vector", query_token: str = "token_idx", query_vector: str = "query_vector", oversample: int | None = None, digits: int = 6, token_id: str | None = None, query_id: str | None = None) -> DataFrame:
+    """([query_id,] doc_id, score, rank) for one query, or one for each ``query_id``. With ``oversample`` only documents
+    among each query vector's best k * oversample token hits (tokens keyed by ``token_id``) are scored; without, all are."""
+    keys = [query_id] if query_id else []
+    q = query.select(*keys, query_token, F.col(query_vector).cast("array<double>").alias("__q"))
+    own = tokens.select(doc_col, F.col(vector_col).cast("array<double>").alias("__v"))
     if oversample:
-        hits = search_many(tokens, query, k * oversample, "ip", token_id, vector_col, query_token, query_vector, digits=None)
-        found = hits.join(tokens.select(token_id, doc_col), token_id).select(doc_col).distinct()
-        scored = tokens.join(found, doc_col, "left_semi")
-    q = query.select(query_token, F.col(query_vector).cast("array<double>").alias("__q"))
-    pairs = scored.select(doc_col, F.col(vector_col).cast("array<double>").alias("__v")).crossJoin(q)
-    best = pairs.groupBy(doc_col, query_token).agg(F.max(V.dot("__v", "__q")).alias("best"))
-    out = best.groupBy(doc_col).agg(F.round(F.sum("best"), digits).alias("score"))
-    return rank_by(out, F.col("score"), False, doc_col).where(F.col("rank") <= k)
+        one = query.select(F.struct(*keys, query_token).alias("__t"), query_vector)
+        scores = tokens.select(token_id, doc_col, F.col(vector_col).cast("array<double>").alias("__v")).crossJoin(one.select("__t", F.col(query_vector).cast("array<double>").alias("__q")))
+        hits = rank_by(scores.select("__t", token_id, doc_col, F.round(V.dot("__v", "__q"), digits).alias("s")), F.col("s"), False, token_id, ["__t"]).where(F.col("rank") <= k * oversample)
+        found = hits.select(*[F.col(f"__t.{x}").alias(x) for x in keys], doc_col).distinct()
+        pairs = own.join(found, doc_col).join(q, keys) if keys else own.join(found, doc_col).crossJoin(q)
+    else:
+        pairs = own.crossJoin(q)
+    best = pairs.groupBy(*keys, doc_col, query_token).agg(F.max(V.dot("__v", "__q")).alias("best"))
+    out = best.groupBy(*keys, doc_col).agg(F.round(F.sum("best"), digits).alias("score"))
+    return rank_by(out, F.col("score"), False, doc_col, keys).where(F.col("rank") <= k)

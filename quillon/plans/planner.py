@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -148,6 +149,10 @@ class Searcher:
 def quantized_search(df: DataFrame, queries: DataFrame, k: int, quantizer: Quantizer, factor: int | None = None, metric: str = "ip", id_col: str = "id", vector_col: str = "vector", query_id: str = "query_id", query_vector: str = "query_vector", digits: int = 6) -> DataFrame:
     """(query_id, id, score, rank): candidates by the inner product with quantised vectors, reranked exactly if ``factor`` is given."""
     spark = df.sparkSession
+    parts = max(1, -(-queries.count() * quantizer.d * 16 // topk.BROADCAST_BYTES))
+    if parts > 1:  # query tables beyond the limit of a broadcast are searched in blocks
+        blocks = [quantized_search(df, queries.where(F.pmod(F.xxhash64(query_id), F.lit(parts)) == i), k, quantizer, factor, metric, id_col, vector_col, query_id, query_vector, digits) for i in range(parts)]
+        return reduce(DataFrame.unionByName, blocks)
     shared = spark.sparkContext.broadcast(quantizer)
     rotated = [(r[0], (quantizer.rotation @ np.array(r[1])).tolist(), float(np.linalg.norm(r[1]))) for r in queries.select(query_id, F.col(query_vector).cast("array<double>")).collect()]
     q = spark.sparkContext.broadcast((np.array([r[0] for r in rotated]), np.array([r[1] for r in rotated]), np.array([r[2] for r in rotated])))

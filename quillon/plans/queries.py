@@ -35,20 +35,20 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), "label")
 
 
-def _as_queries(v: DataFrame, n: int = 5) -> DataFrame:
-    """The first vectors serve as the query batch of the search operators."""
-    return v.where(F.col("id") < n).select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+def _as_queries(v: DataFrame) -> DataFrame:
+    """Every vector is a query."""
+    return v.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
 
 
 E_ = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings)"
-_Q = "q AS (SELECT id AS query_id, v AS qv FROM e WHERE id < {n})"
+_Q = "q AS (SELECT id AS query_id, v AS qv FROM e)"
 _SCORE = {"ip": "list_dot_product(v, qv)", "cosine": "list_dot_product(v, qv) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(qv, qv)))", "l2": "list_distance(v, qv)"}
 
 
-def knn_sql(metric: str = "ip", k: int = 10, n: int = 5, where: str = "true", offset: int = 0, vector: str = "v", columns: str = "query_id, id, score, rank") -> str:
+def knn_sql(metric: str = "ip", k: int = 10, where: str = "true", offset: int = 0, vector: str = "v", columns: str = "query_id, id, score, rank") -> str:
     order = "score" if metric == "l2" else "score DESC"
     return f"""
-WITH {E_}, {_Q.format(n=n)},
+WITH {E_}, {_Q},
 s AS (SELECT query_id, id, round({_SCORE[metric]}, 6) AS score FROM e, q WHERE {where}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}, id) AS rank FROM s)
 SELECT {columns} FROM r WHERE rank > {offset} AND rank <= {offset + k}"""
@@ -60,22 +60,22 @@ for _metric in V.METRICS:
 
     def _knn(spark: SparkSession, d: str, metric: str = _metric) -> DataFrame:
         v = _vectors(spark, d)
-        return topk.search_many(v, _as_queries(v), 10, metric)
+        return topk.search_blocks(v, _as_queries(v), 10, metric)
 
     register(f"knn_{_metric}", knn_sql(_metric))(_knn)
 
-    def _knn_blocks(spark: SparkSession, d: str, metric: str = _metric) -> DataFrame:
-        v = _vectors(spark, d)
-        q = v.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
-        return topk.search_blocks(v, q, 10, metric)
 
-    register(f"knn_all_{_metric}", knn_sql(_metric, n=1 << 60))(_knn_blocks)
+@register("knn_expressions", knn_sql("ip", 3))
+def knn_expressions(spark, d):
+    """The same search as one declarative plan, without Python."""
+    v = _vectors(spark, d)
+    return topk.search_many(v, _as_queries(v), 3)
 
 
 @register("knn_batch_offset", knn_sql("ip", 5, offset=5))
 def knn_batch_offset(spark, d):
     v = _vectors(spark, d)
-    return topk.search_many(v, _as_queries(v), 5, "ip", offset=5)
+    return topk.search_blocks(v, _as_queries(v), 5, "ip", offset=5)
 
 
 @register("knn_single", "WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings) SELECT id, round(list_dot_product(v, list_transform(range(0, 64), lambda i: (i - 32) / 64.0)::DOUBLE[]), 6) AS score FROM e ORDER BY score DESC, id LIMIT 10")
@@ -86,7 +86,7 @@ def knn_single(spark, d):
 def _filtered(condition) -> Callable:
     def run(spark, d):
         v = _vectors(spark, d)
-        return topk.search_many(v.where(condition), _as_queries(v), 10, "cosine")
+        return topk.search_blocks(v.where(condition), _as_queries(v), 10, "cosine")
 
     return run
 
@@ -99,26 +99,26 @@ register("knn_filtered_or", knn_sql("cosine", where="label = 0 OR label > 7"))(_
 
 @register("knn_normalized", f"""
 WITH {E_}, n AS (SELECT id, list_transform(v, lambda x: x * (1 + label) / (sqrt(list_dot_product(v, v)) * (1 + label))) AS v FROM e),
-q AS (SELECT id AS query_id, v AS qv FROM e WHERE id < 5),
+q AS (SELECT id AS query_id, v AS qv FROM e),
 s AS (SELECT query_id, id, round(list_dot_product(v, qv), 6) AS score FROM n, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, score, rank FROM r WHERE rank <= 10""")
 def knn_normalized(spark, d):
     v = _vectors(spark, d)
     scaled = v.withColumn("vector", F.transform("vector", lambda x: x * (F.col("label") + 1)))
-    return topk.search_many(scaled.withColumn("vector", V.normalized("vector")), _as_queries(v), 10, "ip")
+    return topk.search_blocks(scaled.withColumn("vector", V.normalized("vector")), _as_queries(v), 10, "ip")
 
 
 @register("knn_include", f"SELECT k.*, d.text AS document FROM ({knn_sql('ip')}) k LEFT JOIN documents d ON d.doc_id = k.id")
 def knn_include(spark, d):
     v = _vectors(spark, d)
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("document"))
-    return topk.with_payload(topk.search_many(v, _as_queries(v), 10), docs, ["document"])
+    return topk.with_payload(topk.search_blocks(v, _as_queries(v), 10), docs, ["document"])
 
 
-@register("relevance_scores", f"SELECT query_id, id, round(greatest(0, least(1, (score + 1) / 2)), 6) AS relevance FROM ({knn_sql('cosine')})")
+@register("relevance_scores", f"SELECT query_id, id, round(greatest(0, least(1, (score + 1) / 2)), 8) AS relevance FROM ({knn_sql('cosine')})")
 def relevance_scores(spark, d):
     v = _vectors(spark, d)
-    return topk.search_many(v, _as_queries(v), 10, "cosine").select("query_id", "id", F.round(V.relevance("cosine", F.col("score")), 6).alias("relevance"))
+    return topk.search_blocks(v, _as_queries(v), 10, "cosine").select("query_id", "id", F.round(V.relevance("cosine", F.col("score")), 8).alias("relevance"))
 
 
 # metadata filters: events.props, and objects made from its columns
@@ -270,20 +270,23 @@ def bm25_filtered(spark, d):
     return bm25.Bm25.build(docs, "doc_id", "text").search_many(_text_queries(spark), 10, allowed=docs.where("lang = 'en'"), digits=6)
 
 
-_DENSE4 = knn_sql("ip", 40, 4)
-_FUSED = "SELECT query_id, id, round(sum(w / (60.0 + rank)), 6) AS score FROM (SELECT query_id, id, rank, {a} AS w FROM ({dense}) UNION ALL SELECT query_id, id, rank, {b} FROM ({sparse})) GROUP BY ALL"
-
-
 def _hybrid_sql(weight: float, k: int) -> str:
-    fused = _FUSED.format(a=1 - weight, b=weight, dense=_DENSE4, sparse=_bm25_sql(40, columns="query_id, doc_id AS id, score, rank"))
-    return f"SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({fused})) WHERE rank <= {k}"
+    n = len(TEXT_QUERIES)
+    return f"""
+WITH dense AS ({knn_sql('ip', 40)}), sparse AS ({_bm25_sql(40, columns="query_id AS text_id, doc_id AS id, rank")}),
+u AS (SELECT query_id, id, {1 - weight} / (60.0 + rank) AS p FROM dense UNION ALL SELECT e.vec_id, s.id, {weight} / (60.0 + s.rank) FROM embeddings e JOIN sparse s ON s.text_id = e.vec_id % {n}),
+f AS (SELECT query_id, id, round(sum(p), 6) AS score FROM u GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f) SELECT query_id, id, score, rank FROM r WHERE rank <= {k}"""
 
 
 def _hybrid(spark: SparkSession, d: str, weight: float, k: int) -> DataFrame:
+    """Every vector is a query, with one of the texts; a text's keyword list is made once for all its queries."""
     v = _vectors(spark, d)
-    dense = topk.search_many(v, _as_queries(v, 4), k * 4, "ip")
-    sparse = bm25.Bm25.build(table(spark, d, "documents"), "doc_id", "text").search_many(_text_queries(spark), k * 4, digits=6).withColumnRenamed("doc_id", "id")
-    return fusion.fuse(dense, sparse.select(F.col("query_id").cast("bigint").alias("query_id"), "id", "score", "rank"), k, weight, keys=("query_id", "id"), digits=6)
+    dense = topk.search_blocks(v, _as_queries(v), k * 4, "ip")
+    lists = bm25.Bm25.build(table(spark, d, "documents"), "doc_id", "text").search_many(_text_queries(spark), k * 4, digits=6)
+    lists = lists.select(F.col("query_id").cast("bigint").alias("text_id"), F.col("doc_id").alias("id"), "score", "rank")
+    sparse = v.select(F.col("id").alias("query_id"), (F.col("id") % len(TEXT_QUERIES)).alias("text_id")).join(lists, "text_id").drop("text_id")
+    return fusion.fuse(dense, sparse, k, weight, keys=("query_id", "id"), digits=6)
 
 
 @register("hybrid_topk", _hybrid_sql(0.5, 10))
@@ -302,7 +305,7 @@ SELECT query_id, id, round(sum(p), 9) AS score FROM u GROUP BY ALL""")
 def rrf_fuse(spark, d):
     v = _vectors(spark, d)
     q = _as_queries(v)
-    return fusion.rrf([(topk.search_many(v, q, 10, "ip"), 0.7), (topk.search_many(v, q, 10, "l2"), 0.3)], keys=("query_id", "id")).withColumn("score", F.round("score", 9))
+    return fusion.rrf([(topk.search_blocks(v, q, 10, "ip"), 0.7), (topk.search_blocks(v, q, 10, "l2"), 0.3)], keys=("query_id", "id")).withColumn("score", F.round("score", 9))
 
 
 # quantisation
@@ -329,12 +332,12 @@ def quant_codes(spark, d):
     return _vectors(spark, d).select("id", codes.alias("c")).select("id", F.aggregate("c", F.lit(0), lambda s, x: s + x).cast("bigint").alias("total"), F.array_join(F.transform("c", lambda x: x.cast("string")), ",").alias("codes"))
 
 
-_APPROX = f"list_dot_product(list_transform(codes, lambda k: t[k + 1]), list_transform({_sql_matrix(_QUANTIZER.rotation)}, lambda row: list_dot_product(row, qv)))"
+_ROTATED = f"q AS (SELECT id AS query_id, v AS qv, list_transform({_sql_matrix(_QUANTIZER.rotation)}, lambda row: list_dot_product(row, v)) AS rq FROM e), a AS (SELECT id, v, list_transform(codes, lambda k: t[k + 1]) AS ap, sqrt(list_dot_product(v, v)) AS nv FROM c, (SELECT {_sql_list(_QUANTIZER.centroids)} AS t))"
 
 
 @register("quant_score_topk", f"""
-WITH {E_}, {_CODES_SQL}, q AS (SELECT id AS query_id, v AS qv FROM e WHERE id < 5),
-s AS (SELECT query_id, id, round({_APPROX} * sqrt(list_dot_product(v, v)), 6) AS score FROM c, q, (SELECT {_sql_list(_QUANTIZER.centroids)} AS t)),
+WITH {E_}, {_CODES_SQL}, {_ROTATED},
+s AS (SELECT query_id, id, round(list_dot_product(ap, rq) * nv, 6) AS score FROM a, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, score, rank FROM r WHERE rank <= 10""")
 def quant_score_topk(spark, d):
     from quillon.plans.planner import quantized_search
@@ -344,9 +347,9 @@ def quant_score_topk(spark, d):
 
 
 @register("quant_rerank_topk", f"""
-WITH {E_}, {_CODES_SQL}, q AS (SELECT id AS query_id, v AS qv FROM e WHERE id < 5),
-s AS (SELECT query_id, id, v, qv, round({_APPROX} * sqrt(list_dot_product(v, v)), 6) AS a FROM c, q, (SELECT {_sql_list(_QUANTIZER.centroids)} AS t)),
-p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY a DESC, id) AS ar FROM s),
+WITH {E_}, {_CODES_SQL}, {_ROTATED},
+s AS (SELECT query_id, id, v, qv, round(list_dot_product(ap, rq) * nv, 6) AS approx FROM a, q),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY approx DESC, id) AS ar FROM s),
 x AS (SELECT query_id, id, round(list_dot_product(v, qv), 6) AS score FROM p WHERE ar <= 100),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM x) SELECT query_id, id, score, rank FROM r WHERE rank <= 10""")
 def quant_rerank_topk(spark, d):
@@ -387,37 +390,13 @@ def dequantized_error(spark, d):
     return out
 
 
-@register("sketch_scores")
-def sketch_scores(spark, d):
-    """Quantised inner products corrected by the residual's sign sketch, against exact ones: mean absolute errors."""
-    z = quantize.Quantizer.make(64, 2, sketch=True)
-    v = _vectors(spark, d)
-    coded = quantize.encode_frame(v, z, "id", "vector")
-    shared = spark.sparkContext.broadcast((z, np.array(v.where("id = 0").first()["vector"])))
-
-    def run(batches):
-        import pandas as pd
-
-        q, y = shared.value
-        for pdf in batches:
-            if len(pdf):
-                codes = quantize.unpack(np.stack([np.frombuffer(x, np.uint8) for x in pdf["codes"]]), q.bits, 64)
-                base = q.decode(codes, pdf["norm"].to_numpy()) @ y
-                more = q.residual_dot(y, np.stack([np.frombuffer(x, np.uint8) for x in pdf["signs"]]), pdf["gamma"].to_numpy()) * pdf["norm"].to_numpy()
-                yield pd.DataFrame({"id": pdf["id"], "plain": base, "corrected": base + more})
-
-    q0 = V.literal(shared.value[1])
-    both = coded.mapInPandas(run, "id long, plain double, corrected double").join(v.select("id", V.dot("vector", q0).alias("exact")), "id")
-    return both.agg(F.round(F.avg(F.col("plain") - F.col("exact")), 6).alias("plain_bias"), F.round(F.avg(F.col("corrected") - F.col("exact")), 6).alias("corrected_bias"), F.count("*").alias("n"))
-
-
 @register("sign_hamming_topk", f"""
-WITH {E_}, b AS (SELECT id, list_transform(v, lambda x: x >= 0) AS s FROM e), q AS (SELECT id AS query_id, s AS qs FROM b WHERE id < 5),
+WITH {E_}, b AS (SELECT id, list_transform(v, lambda x: x >= 0) AS s FROM e), q AS (SELECT id AS query_id, s AS qs FROM b),
 h AS (SELECT query_id, id, len(list_filter(list_zip(s, qs), lambda p: p[1] != p[2]))::BIGINT AS distance FROM b, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM h) SELECT query_id, id, distance, rank FROM r WHERE rank <= 20""")
 def sign_hamming_topk(spark, d):
     s = _vectors(spark, d).select("id", quantize.sign_words("vector").alias("s"))
-    q = s.where("id < 5").select(F.col("id").alias("query_id"), F.col("s").alias("qs"))
+    q = s.select(F.col("id").alias("query_id"), F.col("s").alias("qs"))
     pairs = s.crossJoin(q).select("query_id", "id", quantize.hamming(F.col("s"), F.col("qs")).cast("bigint").alias("distance"))
     return topk.rank_by(pairs, F.col("distance"), True, "id", ["query_id"]).where("rank <= 20")
 
@@ -456,9 +435,8 @@ def residual_int4_rerank(spark, d):
     z = _QUANTIZER
     back = quantize.decode_frame(quantize.encode_frame(v, z, "id", "vector"), z, "id", "back")
     r = v.join(back, "id").withColumn("c", codecs.encode(codecs.residual(F.col("vector"), F.col("back")), "int4"))
-    q = _as_queries(v)
-    pairs = r.crossJoin(q).select("query_id", "id", F.round(V.dot("back", "query_vector") + V.dot(codecs.decode(F.col("c"), "int4"), F.col("query_vector")), 6).alias("score"))
-    return topk.rank_by(pairs, F.col("score"), False, "id", ["query_id"]).where("rank <= 10")
+    better = r.select("id", F.zip_with("back", codecs.decode(F.col("c"), "int4"), lambda x, y: x + y).alias("vector"))
+    return topk.search_blocks(better, _as_queries(v), 10)
 
 
 @register("half_precision")
@@ -483,7 +461,7 @@ def ivf_assign(spark, d):
 
 
 @register("ivf_probe_topk", f"""
-WITH {E_}, {_IVF_SQL}, q AS (SELECT id AS query_id, v AS qv FROM e WHERE id < 5),
+WITH {E_}, {_IVF_SQL}, q AS (SELECT id AS query_id, v AS qv FROM e),
 p AS (SELECT query_id, qv, unnest(list_transform(c, lambda x: list_dot_product(x, qv))) AS s, generate_subscripts(c, 1) - 1 AS cluster_id FROM q, ce),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, cluster_id) AS pr FROM p) WHERE pr <= 3),
 s AS (SELECT query_id, id, round(list_dot_product(v, qv), 6) AS score FROM i JOIN b USING (cluster_id)),
@@ -515,32 +493,35 @@ def graph_recall(spark, d):
     return evals.recall(graph.search(v, edges, q, 10, beam=32, hops=6), topk.search_blocks(v, q, 10))
 
 
-@register("maxsim_topk", f"""
-WITH {E_}, q AS (SELECT id AS t, v AS qv FROM e WHERE id < 3),
-b AS (SELECT label AS doc_id, t, max(list_dot_product(v, qv)) AS m FROM e, q GROUP BY ALL),
-s AS (SELECT doc_id, round(sum(m), 6) AS score FROM b GROUP BY doc_id),
-r AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s) SELECT doc_id, score, rank FROM r WHERE rank <= 5""")
-def maxsim_topk(spark, d):
+def _maxsim_sql(k: int, candidates: str = "") -> str:
+    return f"""
+WITH {E_}, q AS (SELECT label AS query_id, id AS t, v AS qv FROM e){candidates},
+b AS (SELECT query_id, label AS doc_id, t, max(list_dot_product(v, qv)) AS m FROM e JOIN q ON {"(query_id, label) IN (SELECT query_id, label FROM c)" if candidates else "true"} GROUP BY ALL),
+s AS (SELECT query_id, doc_id, round(sum(m), 6) AS score FROM b GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, score, rank FROM r WHERE rank <= {k}"""
+
+
+def _maxsim(spark: SparkSession, d: str, k: int, oversample: int | None) -> DataFrame:
+    """Vectors of one label are a document of many vectors; every document is also a query."""
     v = _vectors(spark, d)
-    q = v.where("id < 3").select(F.col("id").alias("token_idx"), F.col("vector").alias("query_vector"))
-    return maxsim.maxsim(v.select(F.col("label").alias("doc_id"), "id", "vector"), q, 5)
+    q = v.select(F.col("label").alias("query_id"), F.col("id").alias("token_idx"), F.col("vector").alias("query_vector"))
+    return maxsim.maxsim(v.select(F.col("label").alias("doc_id"), "id", "vector"), q, k, oversample=oversample, token_id="id", query_id="query_id")
+
 
+@register("maxsim_topk", _maxsim_sql(5))
+def maxsim_topk(spark, d):
+    return _maxsim(spark, d, 5, None)
 
-@register("maxsim_candidates", f"""
-WITH {E_}, q AS (SELECT id AS t, v AS qv FROM e WHERE id < 3),
-h AS (SELECT t, id, label, row_number() OVER (PARTITION BY t ORDER BY list_dot_product(v, qv) DESC, id) AS hr FROM e, q),
-c AS (SELECT DISTINCT label FROM h WHERE hr <= 6),
-b AS (SELECT label AS doc_id, t, max(list_dot_product(v, qv)) AS m FROM e JOIN c USING (label), q GROUP BY ALL),
-s AS (SELECT doc_id, round(sum(m), 6) AS score FROM b GROUP BY doc_id),
-r AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s) SELECT doc_id, score, rank FROM r WHERE rank <= 3""")
+
+@register("maxsim_candidates", _maxsim_sql(3, """,
+h AS (SELECT query_id, t, id, label, row_number() OVER (PARTITION BY query_id, t ORDER BY round(list_dot_product(v, qv), 6) DESC, id) AS hr FROM e, q),
+c AS (SELECT DISTINCT query_id, label FROM h WHERE hr <= 6)"""))
 def maxsim_candidates(spark, d):
-    v = _vectors(spark, d)
-    q = v.where("id < 3").select(F.col("id").alias("token_idx"), F.col("vector").alias("query_vector"))
-    return maxsim.maxsim(v.select(F.col("label").alias("doc_id"), "id", "vector"), q, 3, oversample=2, token_id="id")
+    return _maxsim(spark, d, 3, 2)
 
 
 @register("eval_metrics", f"""
-WITH k AS ({knn_sql('ip', 10, 1 << 60)}), g AS (SELECT vec_id AS query_id, (vec_id + 1) % (SELECT count(*) FROM embeddings) AS id FROM embeddings),
+WITH k AS ({knn_sql('ip', 10)}), g AS (SELECT vec_id AS query_id, (vec_id + 1) % (SELECT count(*) FROM embeddings) AS id FROM embeddings),
 j AS (SELECT g.query_id, k.rank FROM g LEFT JOIN k USING (query_id, id))
 SELECT count(*) AS queries, round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0 END), 6) AS r1, round(avg(CASE WHEN rank IS NOT NULL THEN 1.0 ELSE 0 END), 6) AS rk,
   round(avg(coalesce(1 / rank, 0)), 6) AS mrr, round(avg(coalesce(1 / log2(rank + 1), 0)), 6) AS ndcg FROM j""")
@@ -595,10 +576,10 @@ def delete_where(spark, d):
     return _events(spark, d).where(~filters.compile_filter({"k": {"$lt": 50}}, "metadata")).select("event_id")
 
 
-@register("update_metadata", "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN '{\"k\":1}' ELSE props END AS props FROM events")
+@register("update_metadata", "SELECT event_id, CASE WHEN event_type = 'click' THEN '{\"k\":1}' ELSE props END AS props FROM events")
 def update_metadata(spark, d):
     e = table(spark, d, "events")
-    changes = e.where("event_id % 10 = 0").select("event_id", F.lit(json.dumps({"k": 1}, separators=(",", ":"))).alias("new"))
+    changes = e.where("event_type = 'click'").select("event_id", F.lit(json.dumps({"k": 1}, separators=(",", ":"))).alias("new"))
     return e.join(changes, "event_id", "left").select("event_id", F.coalesce("new", "props").alias("props"))
 
 
@@ -620,7 +601,7 @@ def collection_lifecycle(spark, d):
     c = Collection.open(spark, f"{scratch_dir(spark)}/collections/{uuid.uuid4().hex}", 64, "cosine")
     rows = v.select(F.col("vec_id").alias("pos"), F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), F.to_json(F.struct("label")).alias("metadata"))
     c.write(rows, "insert")
-    c.write(rows.where("pos % 2 = 0").withColumn("metadata", F.lit('{"label": 99}')), "upsert")
+    c.write(rows.where("get_json_object(metadata, '$.label') < 5").withColumn("metadata", F.lit('{"label": 99}')), "upsert")
     c.delete(filt={"label": {"$in": [1, 2]}})
     c.compact()
     return c.rows().select("id", "metadata")
