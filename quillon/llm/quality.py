@@ -41,8 +41,8 @@ class Model:
 
 
 def _layout(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Segments of each document, and the first segment of each."""
-    segments = np.maximum(1, -(-lengths // STRIDE))
+    """Segments of each document, with room for WIDTH - 1 zero bytes at its end, and the first segment of each."""
+    segments = (lengths + WIDTH - 2) // STRIDE + 1
     return segments, np.concatenate([[0], np.cumsum(segments)])
 
 
@@ -76,7 +76,8 @@ def _features(chunk: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.concatenate([np.maximum.reduceat(chunk, at, axis=0), mean, np.minimum.reduceat(chunk, at, axis=0)], axis=1)
 
 
-def _segment_max(pairs: np.ndarray, n: int, tables: tuple[np.ndarray, ...], bias: np.ndarray, block: int = 64) -> np.ndarray:
+def _segment_max(pairs: np.ndarray, first: np.ndarray, tables: tuple[np.ndarray, ...], bias: np.ndarray, block: int = 64) -> np.ndarray:
+    n, last = int(first[-1]), first[1:] - 1
     out = np.empty((n, FILTERS), np.float32)
     for lo in range(0, n, block):
         hi = min(n, lo + block)
@@ -84,7 +85,9 @@ def _segment_max(pairs: np.ndarray, n: int, tables: tuple[np.ndarray, ...], bias
         x = tables[0].take(pairs[a:b], axis=0)
         for j, t in enumerate(tables[1:], 1):
             x += t.take(pairs[a + 2 * j : b + 2 * j], axis=0)
-        x.reshape(hi - lo, STRIDE, FILTERS).max(axis=1, out=out[lo:hi])
+        x = x.reshape(hi - lo, STRIDE, FILTERS)
+        x[last[np.searchsorted(last, lo) : np.searchsorted(last, hi)] - lo, 1 - WIDTH :] = -np.inf  # these would read the next document
+        x.max(axis=1, out=out[lo:hi])
     out += bias.astype(np.float32)
     return np.maximum(out, 0, out=out)
 
@@ -96,9 +99,9 @@ def probabilities(model: Model, raw: np.ndarray, offsets: np.ndarray, tables: tu
     tables = tables or model.tables()
     for lo, hi, data, own in slices(raw, offsets):
         padded, first = _padded(data, own)
-        chunk = _chunks(_segment_max(_pairs(padded), int(first[-1]), tables, model.bias), first)
+        chunk = _chunks(_segment_max(_pairs(padded), first, tables, model.bias), first)
         z = _features(chunk, first) @ model.head[:-1] + model.head[-1]
-        out[lo:hi] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        out[lo:hi] = np.round(1 / (1 + np.exp(-np.clip(z, -40, 40))), 9)  # equal texts get equal values, whatever the batch
     return out
 
 
@@ -128,6 +131,7 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int
             for j, t in enumerate(tables[1:], 1):
                 x += t.take(flat[2 * j : n * STRIDE + 2 * j], axis=0)
             x = x.reshape(n, STRIDE, FILTERS)
+            x[first[1:] - 1, 1 - WIDTH :] = -np.inf
             where = x.argmax(axis=1)
             top = np.take_along_axis(x, where[:, None, :], axis=1)[:, 0] + model.bias
             segment = np.maximum(top, 0)

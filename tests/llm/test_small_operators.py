@@ -195,9 +195,9 @@ def test_toxicity_edges(spark, make_docs):
 def brute_quality(model, text):
     """The network straight from its definition."""
     s, w = quality.STRIDE, quality.WIDTH
-    segments = max(1, -(-len(text) // s))
-    data = text + bytes(segments * s + w - len(text))
-    response = np.array([[max(0.0, sum(model.filters[j, data[p + j], k] for j in range(w)) + model.bias[k]) for k in range(quality.FILTERS)] for p in range(segments * s)])
+    segments = (len(text) + w - 2) // s + 1
+    data = text + bytes(segments * s - len(text))
+    response = np.array([[max(0.0, sum(model.filters[j, data[p + j], k] for j in range(w)) + model.bias[k]) for k in range(quality.FILTERS)] for p in range(segments * s - w + 1)])
     top = [response[i * s : (i + 1) * s].max(axis=0) for i in range(segments)]
     chunks = np.array([np.maximum(top[i], top[i + 1]) for i in range(segments - 1)] + ([np.maximum(top[-1], top[-2])] if segments > 1 else [top[0]]))
     z = np.concatenate([chunks.max(axis=0), chunks.mean(axis=0), chunks.min(axis=0)]) @ model.head[:-1] + model.head[-1]
