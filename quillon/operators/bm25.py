@@ -38,8 +38,10 @@ class Bm25:
     def search_many(self, queries: DataFrame, k: int | None = None, query_id: str = "query_id", text_col: str = "query_text", allowed: DataFrame | None = None, digits: int | None = None) -> DataFrame:
         """(query_id, id, score[, rank]). ``allowed`` (ids) restricts what is scored, not the statistics."""
         q = queries.select(query_id, F.explode(F.array_distinct(tokenize(F.col(text_col)))).alias("token"))
-        hits = self.table.join(q, "token")
-        df_ = self.table.join(q.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+        # The semi join is pushed below the aggregation that makes postings, so only the queries' tokens are counted.
+        own = self.table.join(q.select("token").distinct(), "token", "left_semi")
+        hits = own.join(q, "token")
+        df_ = own.groupBy("token").agg(F.count("*").alias("df"))
         if allowed is not None:
             hits = hits.join(allowed.select(self.id_col).distinct(), self.id_col, "left_semi")
         hits = hits.join(df_, "token").crossJoin(F.broadcast(self.stats))

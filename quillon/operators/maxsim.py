@@ -2,11 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
-from quillon.operators.topk import rank_by
+from quillon.operators.topk import BROADCAST_BYTES, rank_by
+
+
+def _all_pairs(own: DataFrame, q: DataFrame, keys: list[str], doc_col: str, query_token: str, digits: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """([query_id,] doc_id, score) of all documents by matrix products; query vectors are broadcast in blocks of a checked size."""
+    spark = own.sparkSession
+    n = q.count()
+    first = q.select(F.size("__q").alias("d")).first()
+    parts = max(1, -(-n * (first["d"] if first else 1) * 8 // broadcast_bytes))
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = ", ".join([f"{c} {kind(q, c)}" for c in (*keys, query_token)] + [f"{doc_col} {kind(own, doc_col)}", "best double"])
+    out = None
+    for part in range(parts):
+        block = q if parts == 1 else q.where(F.pmod(F.xxhash64(*keys, query_token), F.lit(parts)) == part)
+        shared = spark.sparkContext.broadcast(block.toPandas())
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            rows = shared.value
+            m = np.stack(rows["__q"].to_numpy()) if len(rows) else None
+            for pdf in batches:
+                if not len(pdf) or m is None:
+                    continue
+                order = np.argsort(pdf[doc_col].to_numpy(), kind="stable")
+                docs = pdf[doc_col].to_numpy()[order]
+                at = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
+                best = np.maximum.reduceat(np.stack(pdf["__v"].to_numpy())[order] @ m.T, at, axis=0)
+                yield pd.concat([rows[[*keys, query_token]].assign(**{doc_col: docs[x], "best": b}) for x, b in zip(at, best)])
+
+        found = own.mapInPandas(run, schema)
+        out = found if out is None else out.unionByName(found)
+    best = out.groupBy(*keys, doc_col, query_token).agg(F.max("best").alias("best"))
+    return best.groupBy(*keys, doc_col).agg(F.round(F.sum("best"), digits).alias("score"))
 
 
 def maxsim(tokens: DataFrame, query: DataFrame, k: int, doc_col: str = "doc_id", vector_col: str = "vector", query_token: str = "token_idx", query_vector: str = "query_vector", oversample: int | None = None, digits: int = 6, token_id: str | None = None, query_id: str | None = None) -> DataFrame:
@@ -22,7 +57,7 @@ def maxsim(tokens: DataFrame, query: DataFrame, k: int, doc_col: str = "doc_id",
         found = hits.select(*[F.col(f"__t.{x}").alias(x) for x in keys], doc_col).distinct()
         pairs = own.join(found, doc_col).join(q, keys) if keys else own.join(found, doc_col).crossJoin(q)
     else:
-        pairs = own.crossJoin(q)
+        return rank_by(_all_pairs(own, q, keys, doc_col, query_token, digits), F.col("score"), False, doc_col, keys).where(F.col("rank") <= k)
     best = pairs.groupBy(*keys, doc_col, query_token).agg(F.max(V.dot("__v", "__q")).alias("best"))
     out = best.groupBy(*keys, doc_col).agg(F.round(F.sum("best"), digits).alias("score"))
     return rank_by(out, F.col("score"), False, doc_col, keys).where(F.col("rank") <= k)
