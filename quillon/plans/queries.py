@@ -589,7 +589,7 @@ def upsert_batch_last(spark, d):
     return table(spark, d, "events").withColumn("r", F.row_number().over(last)).where("r = 1").select(F.col("user_id").alias("id"), "value")
 
 
-@register("collection_lifecycle")
+@register("collection_lifecycle", """SELECT vec_id::VARCHAR AS id, CASE WHEN label < 5 THEN '{"label": 99}' ELSE '{"label":' || label || '}' END AS metadata FROM embeddings WHERE label NOT IN (7, 8)""")
 def collection_lifecycle(spark, d):
     """Insert, upsert, metadata filter, delete and compaction on a stored collection, then a listing of what lives."""
     import uuid
@@ -602,6 +602,6 @@ def collection_lifecycle(spark, d):
     rows = v.select(F.col("vec_id").alias("pos"), F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), F.to_json(F.struct("label")).alias("metadata"))
     c.write(rows, "insert")
     c.write(rows.where("get_json_object(metadata, '$.label') < 5").withColumn("metadata", F.lit('{"label": 99}')), "upsert")
-    c.delete(filt={"label": {"$in": [1, 2]}})
+    c.delete(filt={"label": {"$in": [7, 8]}})
     c.compact()
     return c.rows().select("id", "metadata")
