@@ -188,7 +188,7 @@ def _prefix(size: np.ndarray, share: float) -> np.ndarray:
     return (size - np.ceil(share * size - 1e-9) + 1).astype(np.int64)
 
 
-_RECORD = (("sid", U), ("before", np.uint32), ("mark", np.uint32), ("size", np.uint16), ("count", np.uint16))
+_RECORD = (("sid", U), ("before", np.uint32), ("mark", np.uint32), ("size", np.uint32), ("count", np.uint16))
 
 
 def _mark_value(tile: np.ndarray, gram: np.ndarray) -> np.ndarray:
@@ -241,7 +241,7 @@ def _emit(n: int, threshold: float, tiles: int, levels):
             inside = np.arange(len(use)) - np.maximum.accumulate(np.where(new, np.arange(len(use)), 0))
             head = np.flatnonzero(new | (inside % 65535 == 0))
             r = d[head]
-            held.append((tile[head], sid[r], before[use[head]], mark[r], np.minimum(size[r], 65535).astype(np.uint16), np.diff(np.concatenate([head, [len(use)]])).astype(np.uint16), gram))
+            held.append((tile[head], sid[r], before[use[head]], mark[r], size[r].astype(np.uint32), np.diff(np.concatenate([head, [len(use)]])).astype(np.uint16), gram))
             held_size += len(use)
             if held_size > 300_000:
                 yield flush(held)
@@ -284,7 +284,7 @@ def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def tile_pairs(blobs, tile: int, threshold: float, step: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs (smaller set id, larger set id) of a tile's postings. Within a gram, documents are sorted by size,
     and each meets the band of shorter ones that can reach the threshold at their index grams. A pair of equal marks counts
-    at the marked gram only; of others, a pair whose predecessors are equal has met at these. (Sizes from 65,535 on count as that, which only widens the band.)"""
+    at the marked gram only; of others, a pair whose predecessors are equal has met at these."""
     gram, index, sid, size, before, mark = _decoded(blobs)
     order = np.lexsort((sid, size, gram))
     gram, sid, size = gram[order], sid[order], size[order]

@@ -47,6 +47,24 @@ def test_equals_brute_force(spark, make_docs, prose, n, threshold):
     assert got == brute(rows, threshold, n)
 
 
+def test_nested_sets_beyond_16_bits(spark, make_docs):
+    """Of two large sets the longer may have the smaller set id; it must still be the shorter one whose index grams count.
+    The sketch has few collisions, so that the grams of the longer set alone come first."""
+    rows, longer_first = [], False
+    for k in range(4):
+        words = [f"w{k}x{i}" for i in range(100_000)]
+        rows += [(2 * k, " ".join(words[:70_000])), (2 * k + 1, " ".join(words))]
+        sid = []
+        for _, t in rows[-2:]:
+            data = np.frombuffer(t.encode(), np.uint8)
+            doc, g = J.sets(data, np.array([0, len(data)]), 2)
+            sid.append(J._set_ids(g, J._bounds(doc, 1))[0])
+        longer_first |= bool(sid[1] < sid[0])
+    assert longer_first
+    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in J.jaccard_pairs(make_docs(rows), sketch=1 << 22).collect()}
+    assert got == brute(rows, J.THRESHOLD, J.N) and len(got) == 4
+
+
 def test_empty(spark, make_docs):
     for rows in ([], [(1, None)], [(1, "alone here")]):
         assert J.jaccard_pairs(make_docs(rows)).count() == 0
