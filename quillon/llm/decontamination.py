@@ -8,8 +8,14 @@ document and item at one offset are an alignment; its placeholders must be fille
 is, each value of the item by one value of the document and the reverse. So both verbatim copies and
 questions with other numbers, names or units are found, but not texts that share a mere pattern.
 
+Items that these templates don't find in a document are sought in two other ways, each with windows and
+alignments of its own: by the words themselves in lower case, so that a copy's case and place don't matter;
+and by templates in which a word that opens a sentence may be a NAME, too, and capitalised words in a row
+or digits with , or . are one slot. There, no value may differ that the texts have more often in lower case than
+capitalised within a sentence.
+
 A document holds an item if a consistent alignment has at least ``min_windows`` windows (13 words in
-a row, by default), or all of the item's if it has fewer. Windows with fewer literal words than half
+a row, by default), or all of the item's of that kind if it has fewer. Windows with fewer literal words than half
 their length are not used. Items shorter than the window are compared as one window of their length;
 those of fewer than MIN_WORDS words can't be told from chance and are not used.
 
@@ -21,6 +27,7 @@ length are read whole; an empty corpus or benchmark gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,36 +39,64 @@ from quillon.llm.scratch import written
 
 WINDOW, MIN_WINDOWS, MIN_WORDS = 8, 6, 5
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "sec", "min", "h", "hours", "hour", "minutes", "minute", "seconds", "second", "days", "day", "weeks", "week", "months", "month", "years", "year", "kmh", "mph", "miles", "mile", "feet", "foot", "inches", "inch", "pounds", "pound", "dollars", "dollar", "euros", "euro", "cents", "cent", "percent", "degrees", "degree", "meters", "metres", "meter", "metre", "liters", "litres", "grams", "gram", "kilograms", "watts", "volts", "joules", "newtons")
+_UNITS = np.unique(np.array([hash_text(u) for u in UNITS], U))
 NUM, UNIT, NAME = U(0x1D872B41), U(0x2C1B3C6D), U(0x3F4A7C15)
 _BITS = 1 << 22
 _ENDS = np.zeros(256, bool)
 _ENDS[[46, 33, 63, 58, 59, 10]] = True
-_SCHEMA = "id long, pos int, length int, h long, slots array<long>"
-
-
-def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, template hash, word hash, is a slot) of each word."""
-    folded = fold(data)
-    starts, ends, doc = words(folded, offsets)
-    if not len(starts):
-        z = np.zeros(0, U)
-        return np.zeros(0, np.int64), z, z, np.zeros(0, bool)
-    value = Hasher(folded).spans(starts, ends)
-    digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
-    number = digits[ends] - digits[starts] == ends - starts
-    first = data[starts]
-    second = data[np.minimum(starts + 1, len(data) - 1)]
-    capital = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97))
-    stops = np.concatenate([[0], np.cumsum(_ENDS[data])])
-    opens = np.ones(len(starts), bool)
-    opens[1:] = (doc[1:] != doc[:-1]) | (stops[starts[1:]] > stops[ends[:-1]])
-    after = np.zeros(len(starts), bool)
-    after[1:] = number[:-1] & (doc[1:] == doc[:-1])
-    unit = after & np.isin(value, np.array([hash_text(u) for u in UNITS], U))
-    name = capital & ~opens & ~number & ~unit
-    template = value.copy()
-    template[number], template[unit], template[name] = NUM, UNIT, NAME
-    return doc, template, value, number | unit | name
+_SCHEMA = "id long, kind int, pos int, length int, h long, slots array<long>"
+#: Kinds of windows, each with alignments of its own; an item found by several is reported by the first of them.
+TEMPLATE, LITERAL, NAMES = 0, 1, 2
+_SALT = U(0x5A17C0DE)
+
+
+@dataclass
+class Words:
+    """The words of a slice."""
+
+    hasher: Hasher
+    start: np.ndarray
+    end: np.ndarray
+    doc: np.ndarray
+    value: np.ndarray  # hash of the folded word
+    number: np.ndarray
+    capital: np.ndarray
+    opens: np.ndarray  # a sentence
+    between: np.ndarray  # the byte before the word if it alone parts it from the word before, else 0
+
+    @staticmethod
+    def of(data: np.ndarray, offsets: np.ndarray) -> Words:
+        folded = fold(data)
+        starts, ends, doc = words(folded, offsets)
+        hasher = Hasher(folded)
+        digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
+        first = data[starts]
+        second = data[np.minimum(starts + 1, len(data) - 1)]
+        capital = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97))
+        stops = np.concatenate([[0], np.cumsum(_ENDS[data])])
+        opens, between = np.ones(len(starts), bool), np.zeros(len(starts), np.uint8)
+        opens[1:] = (doc[1:] != doc[:-1]) | (stops[starts[1:]] > stops[ends[:-1]])
+        between[1:] = np.where((doc[1:] == doc[:-1]) & (starts[1:] == ends[:-1] + 1), data[starts[1:] - 1], 0)
+        return Words(hasher, starts, ends, doc, hasher.spans(starts, ends), digits[ends] - digits[starts] == ends - starts, capital, opens, between)
+
+    def joined(self) -> Words:
+        """Digits with , or . and capitalised words with one space between them as one word each."""
+        on = np.zeros(len(self.start), bool)
+        name = self.capital & ~self.number
+        on[1:] = (self.number[1:] & self.number[:-1] & ((self.between[1:] == 44) | (self.between[1:] == 46))) | (name[1:] & name[:-1] & (self.between[1:] == 32))
+        head = np.flatnonzero(~on)
+        end = self.end[np.concatenate([head[1:], [len(on)]]) - 1] if len(on) else self.end
+        return Words(self.hasher, self.start[head], end, self.doc[head], self.hasher.spans(self.start[head], end), self.number[head], self.capital[head], self.opens[head], self.between[head])
+
+    def templates(self, everywhere: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(template hash, is a slot) of each word; with ``everywhere`` capitalised words that open a sentence are NAME, too."""
+        after = np.zeros(len(self.start), bool)
+        after[1:] = self.number[:-1] & (self.doc[1:] == self.doc[:-1])
+        unit = after & np.isin(self.value, _UNITS)
+        name = self.capital & (everywhere | ~self.opens) & ~self.number & ~unit
+        template = self.value.copy()
+        template[self.number], template[unit], template[name] = NUM, UNIT, NAME
+        return template, self.number | unit | name
 
 
 def _windows(lengths: list[int], wanted: np.ndarray | None, whole: bool):
@@ -73,56 +108,93 @@ def _windows(lengths: list[int], wanted: np.ndarray | None, whole: bool):
             raw, offsets, _ = buffers(batch.column("text"))
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             for lo, hi, data, own in slices(raw, offsets):
-                doc, template, value, slot = templates(data, own)
-                count = np.bincount(doc, minlength=hi - lo)
-                first = np.concatenate([[0], np.cumsum(count)])
-                slots = np.concatenate([[0], np.cumsum(slot)])
-                for n in lengths:
-                    if len(template) < n:
-                        continue
-                    m = len(template) - n + 1
-                    g = template[:m].copy()
-                    for j in range(1, n):
-                        g = mix(g * U(0x9E3779B97F4A7C15) + template[j : m + j])
-                    ok = doc[:m] == doc[n - 1 :]
-                    ok &= 2 * (slots[n : n + m] - slots[:m]) <= n
-                    if whole and n < longest:
-                        ok &= count[doc[:m]] == n
-                    if wanted is not None:
-                        bit = (g & U(_BITS - 1)).astype(np.int64)
-                        ok &= ((wanted.value[bit >> 6] >> (bit & 63).astype(U)) & U(1)).astype(bool)
-                    at = np.flatnonzero(ok)
-                    if len(at):
-                        held = [value[a : a + n][slot[a : a + n]].view(np.int64) for a in at]
-                        ends = np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int32)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(ids[lo + doc[at]].astype(np.int64)), pa.array((at - first[doc[at]]).astype(np.int32)), pa.array(np.full(len(at), n, np.int32)), pa.array(g[at].view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(held)))],
-                            ["id", "pos", "length", "h", "slots"],
-                        )
+                plain = Words.of(data, own)
+                joined = plain.joined()
+                template, slot = plain.templates()
+                for kind, w, t, s in ((TEMPLATE, plain, template, slot), (LITERAL, plain, plain.value, slot), (NAMES, joined, *joined.templates(True))):
+                    count = np.bincount(w.doc, minlength=hi - lo)
+                    first = np.concatenate([[0], np.cumsum(count)])
+                    slots = np.concatenate([[0], np.cumsum(s)])
+                    for n in lengths:
+                        if len(t) < n:
+                            continue
+                        m = len(t) - n + 1
+                        g = t[:m] + U(kind) * _SALT
+                        for j in range(1, n):
+                            g = mix(g * U(0x9E3779B97F4A7C15) + t[j : m + j])
+                        ok = w.doc[:m] == w.doc[n - 1 :]
+                        if kind != LITERAL or whole:  # a copy in capitals is all slots
+                            ok &= 2 * (slots[n : n + m] - slots[:m]) <= n
+                        if whole and n < longest:
+                            ok &= count[w.doc[:m]] == n
+                        if wanted is not None:
+                            bit = (g & U(_BITS - 1)).astype(np.int64)
+                            ok &= ((wanted.value[bit >> 6] >> (bit & 63).astype(U)) & U(1)).astype(bool)
+                        at = np.flatnonzero(ok)
+                        if len(at):
+                            held = [w.value[a : a + n][s[a : a + n]].view(np.int64) for a in at] if kind != LITERAL else [np.zeros(0, np.int64)] * len(at)
+                            ends = np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int32)
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(ids[lo + w.doc[at]].astype(np.int64)), pa.array(np.full(len(at), kind, np.int32)), pa.array((at - first[w.doc[at]]).astype(np.int32)), pa.array(np.full(len(at), n, np.int32)), pa.array(g[at].view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(held)))],
+                                ["id", "kind", "pos", "length", "h", "slots"],
+                            )
 
     return run
 
 
+def _common(texts: DataFrame, asked: np.ndarray) -> np.ndarray:
+    """Those of the word hashes ``asked`` (sorted) that ``texts`` have more often in lower case than capitalised within a sentence."""
+    shared = texts.sparkSession.sparkContext.broadcast(asked)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
+        total = np.zeros(len(asked), np.int64)
+        for batch in batches:
+            raw, offsets, _ = buffers(batch.column("text"))
+            for _, _, data, own in slices(raw, offsets):
+                w = Words.of(data, own)
+                place = np.minimum(np.searchsorted(asked, w.value), len(asked) - 1)
+                use = (asked[place] == w.value) & ~w.number & ~(w.capital & w.opens)
+                total += np.bincount(place[use & ~w.capital], minlength=len(asked)) - np.bincount(place[use & w.capital], minlength=len(asked))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"i": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
+
+    rows = texts.select("text").mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).where("n > 0").collect()
+    return asked[sorted(r["i"] for r in rows)]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_windows: int = MIN_WINDOWS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, windows, coverage, changed): coverage of the item's windows, and how many placeholders hold another value."""
+    """(doc_id, item_id, windows, coverage, changed): coverage of the item's windows of the kind that found it, and how many placeholders hold another value."""
     spark = docs.sparkSession
     texts = lambda df, i, t: df.select(F.col(i).cast("long").alias("id"), F.col(t).cast("string").alias("text")).where("id is not null and text is not null")
-    items = texts(benchmark, item_col, item_text_col).distinct().mapInArrow(_windows(list(range(min(MIN_WORDS, window), window + 1)), None, True), _SCHEMA)
+    own, theirs = texts(docs, id_col, text_col), texts(benchmark, item_col, item_text_col).distinct()
+    items = theirs.mapInArrow(_windows(list(range(min(MIN_WORDS, window), window + 1)), None, True), _SCHEMA)
     items = written(items, "leak-items")
     lengths = sorted(r[0] for r in items.select("length").distinct().collect()) or [window]
     bits = np.zeros(_BITS // 64, U)
     bit = F.col("h").bitwiseAND(_BITS - 1)
     for w, v in items.select(bit.alias("bit")).groupBy(F.expr("bit div 64")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))")).collect():
         bits[w] = U(v & 0xFFFFFFFFFFFFFFFF)
-    found = texts(docs, id_col, text_col).mapInArrow(_windows(lengths, spark.sparkContext.broadcast(bits), False), _SCHEMA)
-    item = items.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "h", "length", F.col("slots").alias("item_slots"))
-    hits = found.select(F.col("id").alias("doc_id"), "pos", "h", "length", "slots").join(item, ["h", "length"])
+    found = own.mapInArrow(_windows(lengths, spark.sparkContext.broadcast(bits), False), _SCHEMA)
+    item = items.select(F.col("id").alias("item_id"), "kind", F.col("pos").alias("item_pos"), "h", "length", F.col("slots").alias("item_slots"))
+    hits = found.select(F.col("id").alias("doc_id"), "kind", "pos", "h", "length", "slots").join(item, ["kind", "h", "length"])
     hits = hits.withColumn("fill", F.expr("transform(arrays_zip(item_slots, slots), x -> struct(x.item_slots as i, x.slots as d))"))
-    lined = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("delta")).agg(F.countDistinct("item_pos", "length").alias("windows"), F.array_distinct(F.flatten(F.collect_set("fill"))).alias("fills"))
+    lined = hits.groupBy("doc_id", "item_id", "kind", (F.col("pos") - F.col("item_pos")).alias("delta")).agg(F.countDistinct("item_pos", "length").alias("windows"), F.array_distinct(F.flatten(F.collect_set("fill"))).alias("fills"))
     lined = lined.where("size(fills) = size(array_distinct(fills.i)) and size(fills) = size(array_distinct(fills.d))")
-    totals = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("pos", "length").alias("total"))
-    lined = lined.join(totals, "item_id").where(F.col("windows") >= F.least("total", F.lit(min_windows)))
-    best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("windows"), "delta")
+    totals = items.groupBy(F.col("id").alias("item_id"), "kind").agg(F.countDistinct("pos", "length").alias("total"))
+    lined = written(lined.join(totals, ["item_id", "kind"]).where(F.col("windows") >= F.least("total", F.lit(min_windows))), "leak-lined")
+    # Of the slots that hold another value, those at the start of a sentence may be any word; only names may differ.
+    other = F.expr("filter(fills, x -> x.i != x.d)")
+    known = lined.where(F.col("kind") != NAMES).select("doc_id", "item_id").distinct()
+    unsure = lined.where(F.col("kind") == NAMES).join(known, ["doc_id", "item_id"], "left_anti")
+    asked = unsure.select(F.explode(F.expr("concat(transform(filter(fills, x -> x.i != x.d), x -> x.i), transform(filter(fills, x -> x.i != x.d), x -> x.d))")).alias("v")).distinct().toArrow()["v"].to_numpy().view(U)
+    asked = np.setdiff1d(asked, _UNITS)
+    if len(asked):
+        common = _common(own.unionByName(theirs), asked)
+        common = spark.createDataFrame(pa.table({"v": pa.array(common.view(np.int64))}))
+        bad = unsure.select("doc_id", "item_id", "kind", "delta", F.explode(other).alias("f")).select("doc_id", "item_id", "kind", "delta", F.explode(F.array("f.i", "f.d")).alias("v")).join(common, "v", "left_semi")
+        lined = lined.join(bad.select("doc_id", "item_id", "kind", "delta").distinct(), ["doc_id", "item_id", "kind", "delta"], "left_anti")
+    best = Window.partitionBy("doc_id", "item_id").orderBy("kind", F.desc("windows"), "delta")
     out = lined.withColumn("r", F.row_number().over(best)).where("r = 1")
     return out.select("doc_id", "item_id", F.col("windows").cast("long").alias("windows"), F.round(F.col("windows") / F.col("total"), 6).alias("coverage"), F.expr("cast(size(filter(fills, x -> x.i != x.d)) as long)").alias("changed"))
 

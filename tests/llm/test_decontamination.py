@@ -35,3 +35,17 @@ def test_clean_keeps_columns(spark, make_docs):
     bench = spark.createDataFrame([(1, OTHER)], "item_id long, text string")
     kept = D.clean(docs, D.leaks(docs, bench))
     assert kept.columns == docs.columns and sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 2, 3]
+
+
+def test_names_that_open_sentences_case_and_values_of_several_words(spark, make_docs, prose):
+    tom = "Tom has 3 apples. Tom buys 5 more. Tom gives 2 away. Tom sells 4 of them."
+    long = "The old miller paid 40 coins for six sacks to Paris traders"
+    lower = "now how is many with the other thing. "
+    rows = [
+        (1, lower + prose(1) + ".\n" + tom.replace("Tom", "Ann").replace("3", "7")), (2, prose(2) + " " + long.upper()), (3, prose(3) + " " + ITEM.lower()),
+        (4, prose(4) + ". " + long.replace("40", "1,000").replace("Paris", "New York")), (5, prose(5) + ". " + tom.replace("Tom buys", "Ann buys").replace("Tom sells", "Bob sells")),
+        (6, "the capital is where it was, and what it was. Where is the capital now?"), (7, "so he said What is the capital now"),
+    ]
+    got = found(spark, make_docs(rows), [(1, tom, "", ""), (2, long, "", ""), (3, ITEM, "", ""), (4, "What is the capital now?", "", "")])
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 2), (7, 4)}
+    assert got[1, 1][2] == 2 and got[4, 2][2] == 2
