@@ -16,7 +16,7 @@ capitalised within a sentence.
 
 A document holds an item if a consistent alignment has at least ``min_windows`` windows (13 words in
 a row, by default), or all of the item's of that kind if it has fewer. Windows with fewer literal words than half
-their length are not used. Items shorter than the window are compared as one window of their length;
+their length are used verbatim only, so every item has windows. Items shorter than the window are compared as one window of their length;
 those of fewer than MIN_WORDS words can't be told from chance and are not used.
 
 Defined results: rows with a null id or text are in no result; repeated rows count once; where an item
@@ -123,7 +123,7 @@ def _windows(lengths: list[int], wanted: np.ndarray | None, whole: bool):
                         for j in range(1, n):
                             g = mix(g * U(0x9E3779B97F4A7C15) + t[j : m + j])
                         ok = w.doc[:m] == w.doc[n - 1 :]
-                        if kind != LITERAL or whole:  # a copy in capitals is all slots
+                        if kind != LITERAL:
                             ok &= 2 * (slots[n : n + m] - slots[:m]) <= n
                         if whole and n < longest:
                             ok &= count[w.doc[:m]] == n

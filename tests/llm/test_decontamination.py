@@ -49,3 +49,9 @@ def test_names_that_open_sentences_case_and_values_of_several_words(spark, make_
     got = found(spark, make_docs(rows), [(1, tom, "", ""), (2, long, "", ""), (3, ITEM, "", ""), (4, "What is the capital now?", "", "")])
     assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 2), (7, 4)}
     assert got[1, 1][2] == 2 and got[4, 2][2] == 2
+
+
+def test_items_rich_in_slots_are_found_verbatim(spark, make_docs, prose):
+    items = [(1, "3 4 5 12 13 8 15 17 7 24 25 20 21 29", "", ""), (2, "Add Anna Bauer Carl Dorn Emil Frank Gina Haas", "", ""), (3, "WHO WROTE THE BOOK OF JUNGLE TALES IN LONDON", "", "")]
+    rows = [(i, prose(i) + ". " + t + " " + prose(10 + i)) for i, t, _, _ in items] + [(4, prose(4) + " 3 4 5 12 13 8 15 99 7 24 25 20 21 29")]
+    assert set(found(spark, make_docs(rows), items)) == {(1, 1), (2, 2), (3, 3)}
