@@ -24,10 +24,13 @@ from pyspark.sql import functions as F
 from quillon.llm.bytetext import Hasher, U, buffers, fold, slices, words
 
 BUCKETS = 1 << 20
-#: Features of fewer training documents than this stay at weight 0, so that rare words aren't learned by heart.
-MIN_DOCS = 12
+#: Features of fewer training documents than min_docs() stay at weight 0, so that rare words aren't learned by heart: this
+#: many, or a share of the toxic documents if that is less, and two at least.
+MIN_DOCS, MIN_SHARE = 12, 0.05
 RATE, L1 = 0.5, 3e-4
-#: The fit uses at most so many labelled documents (those with the smallest hash of doc_id), none longer than MAX_BYTES.
+#: The fit uses at most so many labelled documents (those with the smallest hash of doc_id), none longer than MAX_BYTES,
+#: and of a class that has fewer than MIN_CLASS among them so many more that it has these, as far as there are any.
+MIN_CLASS = 600
 MAX_DOCS, MAX_BYTES, EPOCHS, BATCH = 6000, 16384, 30, 64
 THRESHOLD, SENTENCE_THRESHOLD = 0.5, 0.3
 _ENDS = np.zeros(256, bool)
@@ -80,6 +83,10 @@ def _scores(model: Model, b: Bags) -> tuple[np.ndarray, np.ndarray]:
     return z, np.logaddexp(0, z)
 
 
+def min_docs(toxic: int) -> int:
+    return min(MIN_DOCS, max(2, int(np.ceil(MIN_SHARE * toxic))))
+
+
 def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 5, weight: float = 3.0) -> Model:
     """Adagrad on the negative log-likelihood of the noisy-or; toxic documents count ``weight`` times."""
     labels = np.asarray(labels, float)
@@ -91,7 +98,7 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     own = [bags(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in texts]
     usable = np.array([i for i, b in enumerate(own) if len(b.doc)])
     docs_with = np.bincount(np.concatenate([np.unique(own[i].features) for i in usable]), minlength=BUCKETS) if len(usable) else np.zeros(BUCKETS, int)
-    known = np.flatnonzero(docs_with >= MIN_DOCS)
+    known = np.flatnonzero(docs_with >= min_docs(int((labels > 0).sum())))
     place = np.zeros(BUCKETS, np.int64)
     place[known] = np.arange(1, len(known) + 1)
     for b in own:
@@ -126,14 +133,25 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> Model:
-    """Fits on at most ``max_docs`` labelled documents of at most ``max_bytes`` bytes, chosen by the hash of their id."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES, min_class: int = MIN_CLASS) -> Model:
+    """Fits on at most ``max_docs`` labelled documents of at most ``max_bytes`` bytes, chosen by the hash of their id, and
+    ``min_class`` of each class: where toxic documents are rare, their share of the fit is larger than that of the labels."""
     lab = labels.select(F.col(id_col).alias("__i"), F.col(label_col).cast("double").alias("__y")).where("__i is not null and __y is not null")
-    picked = lab.select("__i", "__y", F.xxhash64("__i").alias("__h")).orderBy("__h", "__i").limit(2 * max_docs)
-    rows = (
-        docs.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__t")).where(F.col("__t").isNotNull() & (F.octet_length("__t") <= max_bytes))
-        .join(F.broadcast(picked), "__i").orderBy("__h", "__i").limit(max_docs).select("__t", "__y").toArrow()
-    )
+    texts = docs.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__t")).where(F.col("__t").isNotNull() & (F.octet_length("__t") <= max_bytes))
+
+    def sample(lab: DataFrame, most: int) -> pa.Table:
+        picked = lab.select("__i", "__y", F.xxhash64("__i").alias("__h")).orderBy("__h", "__i").limit(2 * most)
+        return texts.join(F.broadcast(picked), "__i").orderBy("__h", "__i").limit(most).select("__i", "__t", "__y").toArrow()
+
+    rows = sample(lab, max_docs)
+    parts, known = [rows], set(rows["__i"].to_pylist())
+    toxic = int((rows["__y"].to_numpy() > 0).sum())
+    for has, where in ((toxic, "__y > 0"), (len(rows) - toxic, "__y <= 0")):
+        if has < min_class:
+            more = sample(lab.where(where), min_class)
+            new = np.array([i not in known for i in more["__i"].to_pylist()], bool)
+            parts.append(more.filter(pa.array(new, pa.bool_())))
+    rows = pa.concat_tables(parts)
     raw, offsets, _ = buffers(rows["__t"])
     return fit([raw[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], rows["__y"].to_numpy())
 

@@ -189,6 +189,23 @@ def test_toxicity_edges(spark, make_docs):
     assert toxicity.offending(make_docs([]), toxicity.Model(np.zeros(toxicity.BUCKETS), 0.0)).count() == 0
 
 
+def test_toxicity_of_rare_toxic_documents(spark, make_docs, toxic_data):
+    """Few toxic labels, in all or in the sample, are enough to find the others."""
+    texts, toxic = toxic_data
+    good, bad = [t for t, y in zip(texts, toxic) if not y], [t for t, y in zip(texts, toxic) if y]
+    unseen = make_docs([(i, t) for i, t in enumerate(bad[-50:] + good[-100:])])
+
+    def flagged(rows, **kw):
+        labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+        m = toxicity.train(make_docs([(i, t) for i, (t, _) in enumerate(rows)]), labels, **kw)
+        return {r["doc_id"] for r in toxicity.offending(unseen, m).collect()}
+
+    few = flagged([(t, 1) for t in bad[:11]] + [(t, 0) for t in good[:76]])
+    rare = flagged([(t, 1) for t in bad[:60]] + [(t, 0) for t in good[:270]] + [(f"{t} {k}", 0) for k in range(9) for t in good[:270]], max_docs=200)
+    for got in (few, rare):
+        assert len({i for i in got if i < 50}) >= 45 and len({i for i in got if i >= 50}) <= 2
+
+
 # Quality
 
 
