@@ -1,8 +1,10 @@
-"""Operator 7, chat formatting: relational, Spark expressions only.
+r"""Operator 7, chat formatting: relational, Spark expressions only.
 
 The turns of a conversation are collected as structs and sorted by turn number, role and text;
 adjacent turns of one role are merged (texts joined by a line feed), and the merged turns are
-written as ``<|role|>``, a line feed, the text, ``<|end|>`` and a line feed.
+written as ``<|role|>``, a line feed, the text, ``<|end|>`` and a line feed. Delimiters inside a role or text
+are escaped, so that no turn can forge another: ``<|`` becomes ``<\|``, and ``<``, n backslashes and ``|`` become
+the same with n + 1 of them (in roles ``|>`` likewise); taking one backslash away gives back what was there.
 
 Defined results: a null turn number sorts last; a null or empty role is "unknown"; a null text is
 empty; a null conversation id is a conversation of its own; repeated rows are repeated turns (and so
@@ -17,8 +19,10 @@ from pyspark.sql import functions as F
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, turns, messages, text): turns as found, messages after merging."""
+    open_ = lambda x: F.regexp_replace(x, r"<(\\*)\|", r"<\\$1|")
     role = F.coalesce(F.nullif(F.col(role_col).cast("string"), F.lit("")), F.lit("unknown"))
-    turn = F.struct(F.col(turn_col).isNull().alias("last"), F.col(turn_col).alias("turn"), role.alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    role = F.regexp_replace(open_(role), r"\|(\\*)>", r"|\\$1>")
+    turn = F.struct(F.col(turn_col).isNull().alias("last"), F.col(turn_col).alias("turn"), role.alias("role"), open_(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"))
     found = turns.select(F.col(conv_col).alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     starts = found.withColumn("starts", F.expr("filter(sequence(0, size(ts) - 1), i -> i = 0 OR ts[greatest(i - 1, 0)].role != ts[i].role)"))
     merged = starts.withColumn("ms", F.expr("""transform(starts, (s, k) -> named_struct('role', ts[s].role, 'text',
@@ -28,8 +32,9 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
 ORACLE = r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(nullif(role, ''), 'unknown') AS role, coalesce(text, '') AS text,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(nullif(role, ''), 'unknown'), coalesce(text, '')) AS i FROM conversations
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS i FROM (
+    SELECT conv_id, turn, regexp_replace(regexp_replace(coalesce(nullif(role, ''), 'unknown'), '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g') AS role,
+      regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g') AS text FROM conversations)
 ), b AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY i) = role THEN 0 ELSE 1 END AS new FROM t),
 g AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS m FROM b),
 m AS (SELECT conv_id, m, any_value(role) AS role, string_agg(text, chr(10) ORDER BY i) AS text, count(*) AS n FROM g GROUP BY conv_id, m)

@@ -12,7 +12,8 @@ proportion to its quota, so each block holds all sources at their weights.
 Tokens are runs of characters other than space, tab, line feed, carriage return and form feed.
 Defined results: rows without tokens (null or empty text) are not drawn; a null source is a source
 of its own, "(none)"; a null id is drawn as a null id; repeated rows count each; ties in the hash
-order fall back on id and tokens; an empty table gives an empty result.
+order fall back on id and tokens; an empty table gives an empty result. A target that no exponent reaches (a
+budget of more than ``max_repeats`` times the corpus, or a share of entropy outside [0, 1]) is an error.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ SEED = 11
 BLOCK_TOKENS = 250_000
 MIX_BLOCK_TOKENS = 500_000
 STEPS = 50
+#: Blocks of a source that one task sorts, about.
+PART_BLOCKS = 4096
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -36,6 +39,10 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def weights(totals: DataFrame, budget_ratio: float = 1.0, max_repeats: float | None = 1.25, entropy: float | None = None, steps: int = STEPS) -> DataFrame:
     """(source, total, weight, quota) from (source, total); one row per source, all of it in the plan."""
+    if entropy is None and (max_repeats is None or budget_ratio > max_repeats):
+        raise ValueError(f"a budget of {budget_ratio} times the corpus repeats some source more than {max_repeats} times, whatever the exponent")
+    if entropy is not None and not 0 <= entropy <= 1:
+        raise ValueError("the target entropy is a share of the largest possible, from 0 to 1")
     all_of = totals.agg(F.sum("total").alias("t"), F.collect_list(F.struct("source", "total")).alias("s")).where("t > 0")
     power = "aggregate(s, 0d, (a, x) -> a + power(x.total / t, {e}))"
     mid = "((b.lo + b.hi) / 2)"
@@ -52,7 +59,7 @@ def weights(totals: DataFrame, budget_ratio: float = 1.0, max_repeats: float | N
         test = f"aggregate(s, 0d, (a, x) -> greatest(a, power(x.total / t, {mid}) / {z} * t * {budget_ratio}d / x.total)) <= {max_repeats}d"
         up, down = f"named_struct('lo', b.lo, 'hi', {mid})", f"named_struct('lo', {mid}, 'hi', b.hi)"
         end = "hi"
-    at_zero = f"named_struct('lo', 0d, 'hi', 0d)" if entropy is None else "named_struct('lo', 1d, 'hi', 1d)"
+    at_zero = "named_struct('lo', 0d, 'hi', 0d)" if entropy is None else "named_struct('lo', 1d, 'hi', 1d)"
     edge = "0d" if entropy is None else "1d"
     z_edge = power.format(e=edge)
     if entropy is None:
@@ -76,10 +83,14 @@ def mix(docs: DataFrame, budget_ratio: float = 1.0, max_repeats: float | None =
     placed = counted.join(w.select("source", "blocks"), "source").withColumn("block", F.pmod(number(F.concat(F.lit(f"{seed}/b/"), doc)), F.col("blocks")))
     # Blocks of every epoch in their random order, with the tokens that lie before each.
     sizes = placed.groupBy("source", "block").agg(F.sum("tokens").alias("size"))
-    epochs = sizes.join(w.select("source", "total", "quota", "n_mix"), "source").where("quota > 0").withColumn("epoch", F.explode(F.expr("sequence(0L, quota div total)")))
+    epochs = sizes.join(w.select("source", "total", "quota", "n_mix", "blocks"), "source").where("quota > 0").withColumn("epoch", F.explode(F.expr("sequence(0L, quota div total)")))
     epochs = epochs.withColumn("bk", F.md5(F.concat_ws("/", F.lit(str(seed)), "epoch", "source", "block")))
-    order = Window.partitionBy("source", "epoch").orderBy("bk", "block")
-    epochs = epochs.withColumn("before", F.col("epoch") * F.col("total") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    # A prefix sum in two levels, so that no task sorts all blocks of a source: over ranges of the order, then within each.
+    epochs = epochs.withColumn("part", F.shiftright(F.conv(F.substring("bk", 1, 8), 16, 10).cast("long") * F.expr(f"(blocks + {PART_BLOCKS - 1}) div {PART_BLOCKS}"), 32))
+    parts = epochs.groupBy("source", "epoch", "part").agg(F.sum("size").alias("in_part"))
+    parts = parts.select("source", "epoch", "part", (F.sum("in_part").over(Window.partitionBy("source", "epoch").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("in_part")).alias("ahead"))
+    order = Window.partitionBy("source", "epoch", "part").orderBy("bk", "block").rowsBetween(Window.unboundedPreceding, 0)
+    epochs = epochs.join(parts, ["source", "epoch", "part"]).withColumn("before", F.col("epoch") * F.col("total") + F.col("ahead") + F.sum("size").over(order) - F.col("size"))
     epochs = epochs.where("before < quota").select("source", "block", "epoch", "before", "quota", "n_mix")
     drawn = placed.join(epochs, ["source", "block"]).withColumn("dk", F.md5(F.concat(F.lit(f"{seed}/"), F.col("epoch").cast("string"), F.lit("/d/"), doc)))
     inner = Window.partitionBy("source", "block", "epoch").orderBy("dk", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
@@ -87,22 +98,27 @@ def mix(docs: DataFrame, budget_ratio: float = 1.0, max_repeats: float | None =
     return drawn.select("doc_id", "source", "epoch", "block", F.expr("start * n_mix div quota").alias("mix_block"), "tokens", "start")
 
 
-def oracle(budget_ratio: float = 1.0, max_repeats: float = 1.25, block_tokens: int = BLOCK_TOKENS, mix_block_tokens: int = MIX_BLOCK_TOKENS, seed: int = SEED, steps: int = STEPS, documents: str = "documents") -> str:
-    """DuckDB SQL for mix() with a repetition limit."""
+def oracle(budget_ratio: float = 1.0, max_repeats: float | None = 1.25, entropy: float | None = None, block_tokens: int = BLOCK_TOKENS, mix_block_tokens: int = MIX_BLOCK_TOKENS, seed: int = SEED, steps: int = STEPS, documents: str = "documents") -> str:
+    """DuckDB SQL for mix()."""
     z = "list_sum(list_transform(s, lambda x: power(x.total / t, {e})))"
     rep = "list_max(list_transform(s, lambda x: power(x.total / t, {e}) / " + z + f" * t * {budget_ratio} / x.total)) <= {max_repeats}"
     rep = rep.replace(z, "list_sum(list_transform(s, lambda y: power(y.total / t, {e})))")
-    mid = "((b.lo + b.hi) / 2)"
+    mid, up, down, edge, end = "((b.lo + b.hi) / 2)", "{'lo': b.lo, 'hi': MID}", "{'lo': MID, 'hi': b.hi}", 0, "hi"
+    if entropy is not None:
+        share = "(power(x.total / t, {e}) / " + z.replace("x", "y") + ")"
+        rep = "list_sum(list_transform(s, lambda x: -" + share + " * ln(" + share + f"))) >= {entropy} * ln(len(s))"
+        up, down, edge, end = down, up, 1, "lo"
+    up, down = up.replace("MID", mid), down.replace("MID", mid)
     return f"""
 WITH RECURSIVE counted AS (
   SELECT doc_id, coalesce(source, '(none)') AS source, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+'))::BIGINT AS tokens FROM {documents}
 ), c AS (SELECT * FROM counted WHERE tokens > 0),
 a AS (SELECT sum(total)::DOUBLE AS t, list({{'source': source, 'total': total::DOUBLE}}) AS s FROM (SELECT source, sum(tokens)::BIGINT AS total FROM c GROUP BY source)),
 steps AS (
-  SELECT 0 AS i, t, s, CASE WHEN {rep.format(e='0')} THEN {{'lo': 0::DOUBLE, 'hi': 0::DOUBLE}} ELSE {{'lo': 0::DOUBLE, 'hi': 1::DOUBLE}} END AS b FROM a WHERE t > 0
+  SELECT 0 AS i, t, s, CASE WHEN {rep.format(e=edge)} THEN {{'lo': {edge}::DOUBLE, 'hi': {edge}::DOUBLE}} ELSE {{'lo': 0::DOUBLE, 'hi': 1::DOUBLE}} END AS b FROM a WHERE t > 0
   UNION ALL
-  SELECT i + 1, t, s, CASE WHEN b.hi = 0 THEN b WHEN {rep.format(e=mid)} THEN {{'lo': b.lo, 'hi': {mid}}} ELSE {{'lo': {mid}, 'hi': b.hi}} END FROM steps WHERE i < {steps}
-), f AS (SELECT t, s, b.hi AS e, {z.format(e='b.hi')} AS z FROM steps WHERE i = {steps}),
+  SELECT i + 1, t, s, CASE WHEN b.lo = b.hi THEN b WHEN {rep.format(e=mid)} THEN {up} ELSE {down} END FROM steps WHERE i < {steps}
+), f AS (SELECT t, s, b.{end} AS e, {z.format(e=f'b.{end}')} AS z FROM steps WHERE i = {steps}),
 x AS (SELECT t, e, z, unnest(s) AS x FROM f),
 w AS (
   SELECT x.source AS source, x.total::BIGINT AS total, floor(round(power(x.total / t, e) / z, 9) * floor(t * {budget_ratio}))::BIGINT AS quota,

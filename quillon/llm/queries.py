@@ -21,6 +21,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), max_repeats=None, entropy=0.9)
+
+
 def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
@@ -48,28 +52,37 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def _by_parity(spark: SparkSession, docs: DataFrame) -> line_dedup.LineStore:
+    """Two batches, of even and of odd ids: the second probes the filters of the first."""
+    return line_dedup.LineStore.empty(spark).insert(docs.where("doc_id % 2 = 0")).insert(docs.where("doc_id % 2 != 0"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return line_dedup.LineStore.empty(spark).insert(docs).dedup(docs.select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _by_parity(spark, docs).dedup(docs)
+
+
+def op9_line_dedup_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, after the documents whose ids end in 0 have been deleted again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    gone, left = docs.where("doc_id % 10 = 0"), docs.where("doc_id % 10 != 0")
+    return _by_parity(spark, docs).delete(gone).dedup(left)
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_pairs(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_language_mixture, op4_mtree_topk, op5_toxicity, op6_decontamination, op7_chat_format, op8_quality, op9_line_dedup, op10_ngram_jaccard)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_language_mixture, op4_mtree_topk, op5_toxicity, op6_decontamination, op7_chat_format, op8_quality, op9_line_dedup, op10_ngram_jaccard, op2_mixing_entropy, op9_line_dedup_delete)}
 
 ORACLES: dict[str, str] = {
     "op1_url_filter": urls.ORACLE,
     "op2_mixing": mixing.oracle(),
+    "op2_mixing_entropy": mixing.oracle(max_repeats=None, entropy=0.9),
     "op4_mtree_topk": mtree.oracle(),
     "op6_decontamination": decontamination.oracle(),
     "op7_chat_format": chat.ORACLE,
-    "op9_line_dedup": f"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
-k AS (SELECT *, lower(trim(line)) AS k FROM l),
-o AS (SELECT *, length(k) >= {line_dedup.MIN_CHARS} AND row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 AS gone FROM k)
-SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text, count(*) FILTER (WHERE gone)::BIGINT AS removed FROM o GROUP BY doc_id
-""",
+    "op9_line_dedup": line_dedup.oracle("doc_id % 2"),
+    "op9_line_dedup_delete": line_dedup.oracle("doc_id % 2", "doc_id % 10 = 0"),
     "op10_ngram_jaccard": ngram_join.oracle(),
 }

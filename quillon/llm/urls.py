@@ -10,7 +10,8 @@ The trie is broadcast while there are at most ``max_entries`` entries; a longer
 the prefixes of each distinct URL instead, with equal results.
 
 Defined results: a null or unparsable URL (no host) has verdict "none" and a null host; repeated
-entries and rows do no harm; null entries are ignored.
+entries and rows do no harm; null entries and those without a host are ignored; empty labels (two dots in a row)
+are labels like others; extra columns don't count and are not returned.
 """
 
 from __future__ import annotations
@@ -23,18 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_ENTRIES = 1_000_000
-_URL = re.compile(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]*)(?::[0-9]*)?([^?#]*)")
-_SQL_URL = r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]*)(?::[0-9]*)?([^?#]*)"
+_SCHEME = r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)"
+_REST = r"(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]*)(?::[0-9]*)?([^?#]*)"
+_SQL_URL = _SCHEME + _REST
+_URL, _ENTRY = re.compile(_SQL_URL), re.compile(f"(?:{_SCHEME}|^//|^){_REST}")
 
 
 def key(url: str | None, entry: bool = False) -> tuple[str, ...]:
-    """The labels, then "/" and the segments; empty if there is no host."""
-    if not url:
-        return ()
-    url = url.strip(" ")
-    if not entry and "://" not in url:
-        return ()
-    m = _URL.match(url.split("://", 1)[-1] if "://" in url else url) if entry else re.match(_SQL_URL, url)
+    """The labels, then "/" and the segments; empty if there is no host. An entry needs no scheme."""
+    m = (_ENTRY if entry else _URL).match((url or "").strip(" "))
     if not m or not m.group(1).strip("."):
         return ()
     host = m.group(1).lower().rstrip(".")
@@ -44,7 +42,7 @@ def key(url: str | None, entry: bool = False) -> tuple[str, ...]:
 
 
 def build(entries: list[tuple[str, str]]) -> dict:
-    """A trie of (action, entry); a node's "" holds its verdict."""
+    """A trie of (action, entry). A node's None holds its verdict: labels may be empty texts, but not None."""
     root: dict = {}
     for action, entry in entries:
         k = key(entry, True)
@@ -53,9 +51,9 @@ def build(entries: list[tuple[str, str]]) -> dict:
         node = root
         for part in k:
             node = node.setdefault(part, {})
-        if node.get("", ("allow",))[0] != "block" or (action == "block" and entry < node[""][1]):
-            if "" not in node or action == "block" or entry < node[""][1]:
-                node[""] = (action, entry)
+        held = node.get(None)
+        if held is None or (action != "block", entry) < (held[0] != "block", held[1]):
+            node[None] = (action, entry)
     return root
 
 
@@ -65,7 +63,7 @@ def look_up(root: dict, k: tuple[str, ...]) -> tuple[str, str | None]:
         node = node.get(part)
         if node is None:
             break
-        found = node.get("", found)
+        found = node.get(None, found)
     return found
 
 
@@ -89,14 +87,23 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     return out.select("page_id", "url", "v.verdict", "v.entry", (F.col("v.verdict") != "block").alias("keep"))
 
 
+def _prefix_keys(k: tuple[str, ...]) -> list[str]:
+    """A text for each prefix; parts carry their length, so no two sequences have the same text."""
+    out, text = [], ""
+    for part in k:
+        text += f"{len(part)}:{part}"
+        out.append(text)
+    return out
+
+
 def _joined(pages: DataFrame, rules: DataFrame, id_col: str, url_col: str) -> DataFrame:
     @F.arrow_udf("array<string>")
     def prefixes(urls: pa.Array) -> pa.Array:
-        return pa.array([["\x1f".join(k[: i + 1]) for i in range(len(k))] for k in map(key, urls.to_pylist())], pa.list_(pa.string()))
+        return pa.array([_prefix_keys(key(u)) for u in urls.to_pylist()], pa.list_(pa.string()))
 
     @F.arrow_udf("string")
     def entry_key(entries: pa.Array) -> pa.Array:
-        return pa.array(["\x1f".join(key(e, True)) for e in entries.to_pylist()], pa.string())
+        return pa.array([(_prefix_keys(key(e, True)) or [""])[-1] for e in entries.to_pylist()], pa.string())
 
     best = F.min(F.struct((F.col("action") != "block").alias("o"), "entry", "action")).alias("b")
     keyed = rules.select("action", "entry", entry_key("entry").alias("k")).where("k != ''").groupBy("k").agg(best).select("k", "b.action", "b.entry")

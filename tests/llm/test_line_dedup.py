@@ -8,16 +8,15 @@ from quillon.llm.line_dedup import LineStore
 A, B, C = "the first line of some length here", "another line that is long enough", "a third line, also long enough to count"
 
 
-def brute(docs, min_chars=20):
+def brute(docs):
     seen, out = set(), {}
     for i, t in sorted(((i, t) for i, t in docs if i is not None and t is not None), key=lambda x: x[0]):
         kept = []
         for line in t.split("\n"):
-            k = line.strip(" ").lower()
-            if len(k) >= min_chars and k in seen:
+            k = line.strip(" \t\r\v\f").lower()
+            if k and k in seen:
                 continue
-            if len(k) >= min_chars:
-                seen.add(k)
+            seen.add(k)
             kept.append(line)
         out[i] = "\n".join(kept)
     return out
@@ -28,13 +27,13 @@ def result(store, docs):
 
 
 def test_edges(spark, make_docs, prose):
-    rows = [(1, f"{A}\nshort\n{B}"), (2, f"  {A.upper()} \nshort\n{C}\n{C}"), (3, None), (4, ""), (None, f"{A}\n{B}"), (5, "\n".join([C] * 5000)), (6, prose(1) + "\n" + "word " * 200_000)]
+    rows = [(1, f"{A}\nshort\n\nx\n{B}"), (2, f"  {A.upper()} \t\r\nshort\n\n  X\r\nyz\n{C}\n{C}"), (3, None), (4, ""), (None, f"{A}\n{B}"), (5, "\n".join([C] * 5000)), (6, prose(1) + "\n" + "word " * 200_000)]
     docs = make_docs(rows)
     store = LineStore.empty(spark).insert(docs)
     got = result(store, docs)
     want = brute(rows)
     assert {k: v for k, v in got.items() if v is not None} == want and got[3] is None
-    assert got[4] == "" and got[5] == "" and got[2] == f"short\n{C}"
+    assert got[4] == "" and got[5] == "" and got[2] == f"\nyz\n{C}"
     nulls = [r for r in store.dedup(docs.select("doc_id", "text")).collect() if r["doc_id"] is None]
     assert nulls[0]["text"] == f"{A}\n{B}" and nulls[0]["removed"] == 0
     # Repeated rows keep the same lines.
@@ -67,12 +66,33 @@ def test_insertions_and_deletions_are_reversible(spark, make_docs):
         assert np.logical_or.reduce([f.contains(h) for f in filters]).all()
 
 
+def test_rows_of_one_id_and_clashing_names(spark, make_docs):
+    rows = [(1, f"{A}\nonly here"), (2, f"{A}\nfirst text of two"), (2, f"a different text\nits unique line 1\n{B}"), (3, f"{B}\n{A}")]
+    docs = make_docs(rows)
+    out = LineStore.empty(spark).insert(docs).dedup(docs)
+    assert {"removed", "removed_"} <= set(out.columns) and out.columns[: len(docs.columns)] == docs.columns
+    assert sorted(r["text"] for r in out.collect()) == sorted([rows[0][1], "first text of two", rows[2][1], ""])
+    assert {r["removed"] for r in out.collect()} == {"x"} and sorted(r["removed_"] for r in out.collect()) == [0, 0, 1, 2]
+
+
+def test_document_of_half_a_million_lines(spark, make_docs):
+    a = "\n".join(f"line {i}" for i in range(500_000))
+    b = "\n".join(f"line {i}" if i % 2 else f"own {i}" for i in range(500_000))
+    docs = make_docs([(1, a), (2, b)])
+    assert result(LineStore.empty(spark).insert(docs), docs) == {1: a, 2: "\n".join(f"own {i}" for i in range(0, 500_000, 2))}
+
+
 def test_full_filter_is_rebuilt(spark, make_docs):
     store = LineStore.empty(spark).insert(make_docs([(0, A)]))
     many = make_docs([(1, "\n".join(f"a generated line with number {i}" for i in range(500)))])
     store = store.insert(many)
     assert store.filters.agg({"held": "sum"}).first()[0] == 501
     assert not store.filters.where("table is null").count()
+    small = LineStore.empty(spark, keys_per_shard=100).insert(make_docs([(0, A)]))
+    assert small.shards == 1
+    grown = small.insert(many)
+    assert grown.shards == 6 and grown.filters.agg({"held": "sum"}).first()[0] == 501 and grown.filters.count() == 6
+    assert result(grown, many) == result(store, many)
 
 
 @settings(max_examples=25, deadline=None)

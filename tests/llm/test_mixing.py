@@ -51,10 +51,19 @@ def test_edges(spark, make_docs, prose):
     assert set(out.source) <= {"(none)", "a"} and out.tokens.max() <= 300_000
 
 
-def test_sql_with_uneven_sources(spark, duck, make_docs):
+def test_targets_out_of_reach_are_errors(spark, make_docs):
+    docs = docs_of(make_docs, {"x": 3})
+    for how in (dict(budget_ratio=3.0, max_repeats=2.0), dict(max_repeats=None), dict(entropy=1.5), dict(entropy=-0.1)):
+        with pytest.raises(ValueError):
+            M.mix(docs, **how)
+
+
+@pytest.mark.parametrize("how", [{}, {"entropy": 0.8, "max_repeats": None}, {"entropy": 0.95, "max_repeats": None, "budget_ratio": 1.0}])
+def test_sql_with_uneven_sources(spark, duck, make_docs, monkeypatch, how):
+    monkeypatch.setattr(M, "PART_BLOCKS", 3)
     docs = docs_of(make_docs, {"x": 70, "y": 9, "z": 2}, 7)
     duck.register("uneven", docs.select("doc_id", "text", "source").toArrow())
-    args = dict(budget_ratio=1.3, max_repeats=3.0, block_tokens=60, mix_block_tokens=100)
+    args = dict(budget_ratio=1.3, max_repeats=3.0, block_tokens=60, mix_block_tokens=100) | how
     got = M.mix(docs, **args)
     rel = duck.sql(M.oracle(documents="uneven", **args))
     order = sorted(got.columns)
