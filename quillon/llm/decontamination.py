@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.bytetext import Hasher, U, buffers, fold, hash_text, mix, slices, words
-from quillon.llm.scratch import written
+from quillon.llm.scratch import fresh, written
 
 WINDOW, MIN_WINDOWS, MIN_WORDS = 8, 6, 5
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "sec", "min", "h", "hours", "hour", "minutes", "minute", "seconds", "second", "days", "day", "weeks", "week", "months", "month", "years", "year", "kmh", "mph", "miles", "mile", "feet", "foot", "inches", "inch", "pounds", "pound", "dollars", "dollar", "euros", "euro", "cents", "cent", "percent", "degrees", "degree", "meters", "metres", "meter", "metre", "liters", "litres", "grams", "gram", "kilograms", "watts", "volts", "joules", "newtons")
@@ -201,8 +201,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_windo
 
 def clean(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs without those in ``found``; rows with a null id stay."""
-    gone = found.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    (name,) = fresh(docs.columns, "gone")
+    gone = found.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
 
 
 def oracle(window: int = WINDOW, min_windows: int = MIN_WINDOWS, documents: str = "documents", benchmark: str = "benchmark") -> str:

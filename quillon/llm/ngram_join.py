@@ -1,7 +1,8 @@
-"""Operator 10, n-gram Jaccard join: all pairs of documents whose sets of word n-grams overlap.
+"""Operator 10, n-gram Jaccard join: which documents' sets of word n-grams overlap.
 
-A document's set holds the hashes of its word n-grams (see bytetext for words; a document of fewer
-words than n has one gram, all its words). The result is exact:
+A document's set holds the 44-bit hashes of its word n-grams (see bytetext for words; a document of fewer
+words than n has one gram, all its words). The result is exact but for collisions of these hashes, and of the
+64-bit ids of whole sets:
 
 1. A sketch counts in how many documents each gram occurs, over the whole corpus, and so gives all
    grams one global order, rare ones first. It has a counter for every few grams, up to MAX_SKETCH
@@ -16,13 +17,19 @@ words than n has one gram, all its words). The result is exact:
    false, must first pass a bound from hashed bitmap signatures, whose length follows the set's size:
    of A, at most |A| - bits(A and not B) grams can be in B.
 4. Each block receives its sets once (a large group is cut in a grid of blocks), bounds the overlaps
-   by bit counts and intersects the sorted sets of the pairs that are left exactly.
-
-Documents with equal sets are one set for all of this, so a group of thousands of copies costs one;
-they appear as pairs with the smallest id of the group. Near pairs are pairs of these smallest ids.
-
-Defined results: rows with a null id or without words (null or empty text) are in no pair; a repeated
-row is no pair with itself; texts of any length are read whole; empty tables give empty results.
+   by bit counts and intersects the sorted sets of the pairs that are left exactly: one set's grams, as
+   ranks in the block's vocabulary, are marked and looked up for all its partners together.
+
+Documents with equal sets are one set for all of this, so a group of thousands of copies costs one.
+``duplicate_classes`` has a row for every document: the class it is in (documents connected by pairs; its smallest id)
+and with how many others it makes a pair. A block passes on, of all its pairs, only each set's number of links
+and the smallest set that it is connected with, so the pairs of a large group of near copies never leave their task.
+``jaccard_pairs`` has the pairs themselves, between the smallest ids of groups of equal sets, and each copy with that id.
+
+Defined results: rows with a null id are in no result; documents without words (null or empty text) are a class
+of their own without links; a repeated row is no pair with itself; an id that has several texts is in the class of
+each of them, which so become one, and has the links of all; texts of any length are read whole; empty tables give
+empty results; columns other than id and text don't count.
 """
 
 from __future__ import annotations
@@ -38,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.bytetext import Hasher, U, buffers, fold, mix, slices, words
-from quillon.llm.scratch import written
+from quillon.llm.scratch import fresh, written
 
 N, THRESHOLD = 2, 0.65
 #: Bytes of text for one counter of the frequency sketch, the least and most counters (powers of two), and how many travel in one row.
@@ -47,6 +54,8 @@ SKETCH_SHARE, MIN_SKETCH, MAX_SKETCH, SEGMENT = 32, 1 << 16, 1 << 26, 1 << 17
 MIN_TILES = 32
 #: Pairs that share a label from which on a group counts as dense: its sets go to one block anyway.
 DENSE = 64
+#: Groups of equal sets that hold more than this share of all documents are joined by broadcast; there are at most 1 / share.
+HOT_SHARE = 1 / 4096
 #: Postings that a tile, documents that a block, and pairs that a block of one group are meant to hold.
 TILE_POSTINGS, BLOCK_DOCS, GRID_PAIRS = 1_200_000, 1000, 400_000
 _GRAM_BITS, _LEVEL_BITS, _DOC_BITS = 44, 7, 13
@@ -405,8 +414,55 @@ def _small(df: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, sketch: int | None = None, id_col: str = "doc_id", text_col: str = "text", tile_postings: int = TILE_POSTINGS, block_docs: int = BLOCK_DOCS, grid_pairs: int = GRID_PAIRS) -> DataFrame:
+def _with_group(known: DataFrame, groups: DataFrame, columns: list[str]) -> DataFrame:
+    """known with columns of its group. The few large groups are joined by broadcast, so that no task has one of them alone."""
+    total = groups.agg(F.sum("docs")).first()[0] or 0
+    groups = groups.select("sid", "docs", *columns)
+    hot = F.broadcast(groups.where(F.col("docs") > total * HOT_SHARE).select("sid", *columns))
+    rest = groups.where(F.col("docs") <= total * HOT_SHARE).select("sid", *columns)
+    return known.join(hot, "sid").unionByName(known.join(hot.select("sid"), "sid", "left_anti").join(rest, "sid"))
+
+
+def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, **kw) -> DataFrame:
     """(doc_a, doc_b, jaccard), doc_a < doc_b; see the module for copies."""
+    known, groups, near = _near(docs, threshold, n, True, **kw)
+    copies = _with_group(known.select("doc_id", "sid"), groups, ["rep"]).where("doc_id != rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
+    return near.unionByName(copies)
+
+
+def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """(doc_id, class_id, links) of every document with an id: the smallest id of its class, and the number of other documents that it makes a pair with."""
+    known, groups, near = _near(docs, threshold, n, False, id_col=id_col, text_col=text_col, **kw)
+    near = written(near, "join-near")
+    rows = written(_with_group(known.select("doc_id", "sid"), groups, ["rep"]), "join-members")
+    # An id with several texts ties their groups together.
+    several = rows.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("most"), F.collect_set("rep").alias("v")).where("u != most").select("u", F.explode("v").alias("v"))
+    classes = components(near.select("u", "v").unionByName(several), "u", "v")
+    links = near.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("near"))
+    groups = groups.join(links, "rep", "left").join(classes.select(F.col("node").alias("rep"), "least"), "rep", "left")
+    groups = written(groups.select("sid", "docs", F.coalesce("least", "rep").alias("class_id"), (F.coalesce("near", F.lit(0)) + F.col("docs") - 1).alias("links")), "join-classes")
+    found = _with_group(rows.select("doc_id", "sid").distinct(), groups, ["class_id", "links"])
+    bare = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("links"))
+    out = found.select("doc_id", "class_id", "links").unionByName(bare).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links"))
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "links")
+
+
+def _block_components(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each of ids the smallest that it is connected with by pairs (a, b) of positions."""
+    least = ids.copy()
+    while True:
+        low = np.minimum(least[a], least[b])
+        new = least.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        if (new == least).all():
+            return least
+        least = new
+
+
+def _near(docs: DataFrame, threshold: float, n: int, pairs_out: bool, sketch: int | None = None, id_col: str = "doc_id", text_col: str = "text", tile_postings: int = TILE_POSTINGS, block_docs: int = BLOCK_DOCS, grid_pairs: int = GRID_PAIRS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents with their sets (doc_id, sid), the sets (sid, rep, size, docs), and between sets either the pairs
+    (doc_a, doc_b, jaccard) or for each block and set (u, v, links): the smallest id connected in the block, and how many documents make a pair with it there."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
     texts = own.select("text")
@@ -425,8 +481,8 @@ def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, ske
 
     known = written(own.mapInArrow(ids, "doc_id long, sid long, size long, sig binary"), "join-ids")
     grams = known.agg(F.sum("size")).first()[0] or 0
-    groups = known.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"))
-    copies = known.join(groups.select("sid", "rep"), "sid").where("doc_id != rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
+    # Repeated rows count once: ids are few bytes, so a set's are made distinct before they are counted.
+    groups = written(known.groupBy("sid", "doc_id").agg(F.max("size").alias("size")).groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"), F.count("*").alias("docs")), "join-sets")
     tiles = max(MIN_TILES, -(-int(grams * (1 - threshold)) // tile_postings))
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
@@ -463,11 +519,12 @@ def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, ske
     cell = lambda x: F.pmod(F.xxhash64(x), F.coalesce("g", F.lit(1)))
     pairs = pairs.join(large, "l", "left").select(F.pmod(F.xxhash64("l", cell("a"), cell("b")), F.lit(blocks)).cast("int").alias("k"), "a", "b")
 
-    # Sets travel to the blocks that ask for them; a bitmap of fixed size spares most other documents the work.
+    # Sets travel to the blocks that ask for them, from one document each; a bitmap spares most other documents the work.
     wanted = pairs.select("k", F.explode(F.array("a", "b")).alias("sid")).distinct()
-    bits = 1 << 22
-    wanted = written(wanted, "join-wanted")
-    needed = wanted.select("sid").distinct().join(groups.select("sid", "rep"), "sid").select(F.pmod(F.xxhash64("rep"), F.lit(bits)).alias("bit"))
+    wanted = written(wanted.join(groups.select("sid", "rep", "docs"), "sid"), "join-wanted")
+    asked = wanted.select("sid").distinct().count()
+    bits = 1 << min(26, max(20, (8 * asked).bit_length()))
+    needed = wanted.select(F.pmod(F.xxhash64("rep"), F.lit(bits)).alias("bit")).distinct()
     filled = np.zeros(bits // 64, U)
     for w, v in needed.groupBy(F.expr("bit div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("v")).collect():
         filled[w] = U(v & 0xFFFFFFFFFFFFFFFF)
@@ -487,23 +544,29 @@ def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, ske
                 yield pa.RecordBatch.from_arrays([pa.array(sid[has].view(np.int64)), ids.slice(lo, hi - lo).take(pa.array(has)), pa.array([_packed(g[at[i] : at[i + 1]]) for i in has], pa.binary())], ["sid", "doc_id", "g"])
 
     found = own.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("bit")).mapInArrow(gather, "sid long, doc_id long, g binary")
-    sent = wanted.join(found, "sid").select(F.col("k").alias("block"), "sid", "doc_id", "g")
+    found = found.withColumnRenamed("doc_id", "rep")
+    sent = wanted.join(found, ["sid", "rep"]).select(F.col("k").alias("block"), "sid", "rep", "docs", "g")
+    shape = "doc_a long, doc_b long, jaccard double" if pairs_out else "u long, v long, links long"
 
     def verify(p: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        s = s.sort_values("doc_id", kind="stable").drop_duplicates("sid")  # of copies that came along, the smallest id
+        s = s.drop_duplicates("sid")  # rows may repeat
         if not len(p) or not len(s):
-            return pd.DataFrame({"doc_a": np.zeros(0, np.int64), "doc_b": np.zeros(0, np.int64), "jaccard": np.zeros(0)})
+            return pd.DataFrame({x.split()[0]: pd.Series([], dtype="float64" if "double" in x else "int64") for x in shape.split(", ")})
         place = pd.Series(np.arange(len(s)), index=s["sid"].to_numpy())
         a, b = place.loc[p["a"]].to_numpy(), place.loc[p["b"]].to_numpy()
         arrays = [_unpacked(x) for x in s["g"]]
         i, overlap = overlaps(arrays, a, b, threshold)
-        size, ids = np.array([len(x) for x in arrays]), s["doc_id"].to_numpy()
-        x, y = ids[a[i]], ids[b[i]]
-        value = np.round(overlap / (size[a[i]] + size[b[i]] - overlap), 9)
-        return pd.DataFrame({"doc_a": np.minimum(x, y), "doc_b": np.maximum(x, y), "jaccard": value})[x != y]
+        a, b, ids = a[i], b[i], s["rep"].to_numpy()
+        if pairs_out:
+            size = np.array([len(x) for x in arrays])
+            value = np.round(overlap / (size[a] + size[b] - overlap), 9)
+            return pd.DataFrame({"doc_a": np.minimum(ids[a], ids[b]), "doc_b": np.maximum(ids[a], ids[b]), "jaccard": value})[ids[a] != ids[b]]
+        docs = s["docs"].to_numpy()
+        links = np.bincount(a, docs[b], len(ids)) + np.bincount(b, docs[a], len(ids))
+        least, has = _block_components(a, b, ids), np.flatnonzero(links > 0)
+        return pd.DataFrame({"u": ids[has], "v": least[has], "links": links[has].astype(np.int64)})
 
-    near = pairs.groupBy("k").cogroup(sent.groupBy("block")).applyInPandas(verify, "doc_a long, doc_b long, jaccard double")
-    return near.unionByName(copies)
+    return known, groups, pairs.groupBy("k").cogroup(sent.groupBy("block")).applyInPandas(verify, shape)
 
 
 def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFrame:
@@ -523,20 +586,28 @@ def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFram
         edges = following
 
 
-def keep_one(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the documents that are connected with one of a smaller id; rows with a null id stay."""
-    gone = components(pairs).select(F.col("node").alias("__gone"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without the documents whose class (of ``duplicate_classes``) has a smaller id; rows with a null id stay."""
+    (name,) = fresh(docs.columns, "gone")
+    gone = classes.where("doc_id != class_id").select(F.col("doc_id").alias(name))
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
 
 
 def oracle(threshold: float = THRESHOLD, n: int = N, documents: str = "documents") -> str:
+    """DuckDB SQL for duplicate_classes(), for tables with one text for each id."""
     word = "regexp_extract_all(lower(text), '[^\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+')"
     return f"""
-WITH w AS (SELECT doc_id, {word} AS w FROM {documents} WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH RECURSIVE w AS (SELECT doc_id, {word} AS w FROM {documents} WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < {n} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n - 1}], ' ')) END) AS g FROM w WHERE len(w) > 0),
 s AS (SELECT doc_id, count(*) AS size, md5(string_agg(g, '|' ORDER BY g)) AS sid FROM g GROUP BY doc_id),
 r AS (SELECT sid, min(doc_id) AS rep, any_value(size) AS size FROM s GROUP BY sid),
-o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id WHERE x.doc_id IN (SELECT rep FROM r) AND y.doc_id IN (SELECT rep FROM r) GROUP BY ALL)
-SELECT a AS doc_a, b AS doc_b, round(o.n / (x.size + y.size - o.n), 9) AS jaccard FROM o JOIN r x ON x.rep = a JOIN r y ON y.rep = b WHERE o.n >= ceil({threshold} / (1 + {threshold}) * (x.size + y.size) - 1e-9)
-UNION ALL SELECT rep, doc_id, 1.0 FROM s JOIN r USING (sid) WHERE doc_id != rep
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id WHERE x.doc_id IN (SELECT rep FROM r) AND y.doc_id IN (SELECT rep FROM r) GROUP BY ALL),
+p AS (SELECT a, b FROM o JOIN r x ON x.rep = a JOIN r y ON y.rep = b WHERE o.n >= ceil({threshold} / (1 + {threshold}) * (x.size + y.size) - 1e-9)),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+reach AS (SELECT rep AS a, rep AS b FROM r UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+c AS (SELECT a AS rep, min(b) AS class_id FROM reach GROUP BY a),
+k AS (SELECT sid, count(*) AS docs FROM s GROUP BY sid),
+l AS (SELECT e.a AS rep, sum(k.docs) AS near FROM e JOIN r ON r.rep = e.b JOIN k USING (sid) GROUP BY e.a),
+f AS (SELECT s.doc_id, c.class_id, (k.docs - 1 + coalesce(l.near, 0))::BIGINT AS links FROM s JOIN k USING (sid) JOIN r USING (sid) JOIN c USING (rep) LEFT JOIN l USING (rep))
+SELECT d.doc_id, coalesce(f.class_id, d.doc_id) AS class_id, coalesce(f.links, 0) AS links FROM (SELECT DISTINCT doc_id FROM {documents} WHERE doc_id IS NOT NULL) d LEFT JOIN f USING (doc_id)
 """

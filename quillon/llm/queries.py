@@ -70,7 +70,7 @@ def op9_line_dedup_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_pairs(table(spark, sf_dir, "documents"))
+    return ngram_join.duplicate_classes(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_language_mixture, op4_mtree_topk, op5_toxicity, op6_decontamination, op7_chat_format, op8_quality, op9_line_dedup, op10_ngram_jaccard, op2_mixing_entropy, op9_line_dedup_delete)}

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import ngram_join as J
 
@@ -29,6 +30,27 @@ def brute(rows, threshold, n):
     return out
 
 
+def brute_classes(rows, threshold, n):
+    """(doc_id, class, links): every pair of rows of different ids is compared."""
+    rows = sorted({(i, t) for i, t in rows if i is not None}, key=str)
+    sets = [(i, grams(t, n)) for i, t in rows]
+    parent, links = {i: i for i, _ in rows}, dict.fromkeys((i for i, _ in rows), 0)
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (i, s) in enumerate(sets):
+        for j, t in sets[k + 1 :]:
+            if i != j and s and t and len(s & t) / len(s | t) >= threshold - 1e-12:
+                links[i] += 1
+                links[j] += 1
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return [(i, root(i), links[i]) for i in parent]
+
+
 def near(text, rate, seed):
     r = random.Random(seed)
     return " ".join(f"w{r.randint(0, 10**6)}" if r.random() < rate else w for w in text.split(" "))
@@ -45,6 +67,8 @@ def test_equals_brute_force(spark, make_docs, prose, n, threshold):
     rows += [(9000, None), (9001, ""), (9002, " .,! "), (9003, "one"), (9004, "One"), (9005, "one two"), (None, rows[0][1]), rows[0], (9006, "word " * 100_000), (9007, prose(7, 30_000)), (9008, prose(7, 30_000) + " more")]
     got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in J.jaccard_pairs(make_docs(rows), threshold, n, tile_postings=700, block_docs=8, grid_pairs=20).collect()}
     assert got == brute(rows, threshold, n)
+    got = [tuple(r) for r in J.duplicate_classes(make_docs(rows), threshold, n, tile_postings=700, block_docs=8, grid_pairs=20).collect()]
+    assert sorted(got) == sorted(brute_classes(rows, threshold, n))
 
 
 def test_nested_sets_beyond_16_bits(spark, make_docs):
@@ -70,13 +94,23 @@ def test_empty(spark, make_docs):
         assert J.jaccard_pairs(make_docs(rows)).count() == 0
 
 
+def test_classes_of_copies_and_of_ids_with_several_texts(spark, make_docs, prose):
+    rows = [(i, prose(1)) for i in range(50, 0, -1)] + [(60, near(prose(1), 0.03, 1)), (61, prose(2)), (62, prose(3)), (62, prose(4)), (63, prose(3)), (64, prose(4)), (50, prose(1)), (70, None), (71, ""), (None, prose(1))]
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in J.duplicate_classes(make_docs(rows)).collect()}
+    assert got == {**{i: (1, 50) for i in range(1, 51)}, 60: (1, 50), 61: (61, 0), 62: (62, 2), 63: (62, 1), 64: (62, 1), 70: (70, 0), 71: (71, 0)}
+    docs = make_docs(rows).withColumn("gone", F.lit(1)).withColumn("gone_", F.lit(1))
+    kept = J.keep_one(docs, J.duplicate_classes(docs))
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "61", "62", "62", "70", "71", "None"]
+    assert J.duplicate_classes(make_docs([])).count() == 0
+
+
 def test_components_and_keep_one(spark, make_docs):
     edges = [(1, 2), (2, 3), (4, 9), (9, 7), (7, 8), (20, 21), *[(100 + i, 101 + i) for i in range(30)]]
     pairs = spark.createDataFrame(edges, "doc_a long, doc_b long")
     got = {r["node"]: r["least"] for r in J.components(pairs).collect()}
     assert got == {2: 1, 3: 1, 9: 4, 7: 4, 8: 4, 21: 20, **{101 + i: 100 for i in range(30)}}
     docs = make_docs([(i, "t") for i in (1, 2, 3, 5, None, 8)])
-    kept = J.keep_one(docs, pairs)
+    kept = J.keep_one(docs, J.components(pairs).select(F.col("node").alias("doc_id"), F.col("least").alias("class_id")))
     assert kept.columns == docs.columns and [r["doc_id"] for r in kept.orderBy("doc_id").collect()] == [None, 1, 5]
 
 
