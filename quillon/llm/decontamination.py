@@ -17,11 +17,13 @@ capitalised within a sentence.
 A document holds an item if a consistent alignment has at least ``min_windows`` windows (13 words in
 a row, by default), or all of the item's of that kind if it has fewer. Windows with fewer literal words than half
 their length are used verbatim only, so every item has windows. Items shorter than the window are compared as one window of their length;
-those of fewer than MIN_WORDS words can't be told from chance and are not used.
+those of fewer than MIN_WORDS words, which within a sentence can't be told from chance, are found where they are whole
+lines (or the whole text) of the document, in any case.
 
-Defined results: rows with a null id or text are in no result; repeated rows count once; where an item
-aligns at several offsets, the one with most windows is reported, then the smallest. Texts of any
-length are read whole; an empty corpus or benchmark gives an empty result.
+Defined results: rows with a null id or text are in no result; repeated rows count once; rows of one id with other
+texts are documents or items of their own, reported under that id by the best of them; where an item
+aligns at several offsets, the one with most windows is reported, then the smallest. Items without words are in no document. Texts of any
+length are read whole; an empty corpus or benchmark gives an empty result; columns other than id and text don't count.
 """
 
 from __future__ import annotations
@@ -44,9 +46,9 @@ NUM, UNIT, NAME = U(0x1D872B41), U(0x2C1B3C6D), U(0x3F4A7C15)
 _BITS = 1 << 22
 _ENDS = np.zeros(256, bool)
 _ENDS[[46, 33, 63, 58, 59, 10]] = True
-_SCHEMA = "id long, kind int, pos int, length int, h long, slots array<long>"
+_SCHEMA = "id long, row long, kind int, pos int, length int, h long, slots array<long>"
 #: Kinds of windows, each with alignments of its own; an item found by several is reported by the first of them.
-TEMPLATE, LITERAL, NAMES = 0, 1, 2
+TEMPLATE, LITERAL, NAMES, WHOLE = 0, 1, 2, 3
 _SALT = U(0x5A17C0DE)
 
 
@@ -62,6 +64,7 @@ class Words:
     number: np.ndarray
     capital: np.ndarray
     opens: np.ndarray  # a sentence
+    fresh: np.ndarray  # whether the word is the first of a line
     between: np.ndarray  # the byte before the word if it alone parts it from the word before, else 0
 
     @staticmethod
@@ -73,11 +76,12 @@ class Words:
         first = data[starts]
         second = data[np.minimum(starts + 1, len(data) - 1)]
         capital = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97))
-        stops = np.concatenate([[0], np.cumsum(_ENDS[data])])
-        opens, between = np.ones(len(starts), bool), np.zeros(len(starts), np.uint8)
+        stops, feeds = np.concatenate([[0], np.cumsum(_ENDS[data])]), np.concatenate([[0], np.cumsum(data == 10)])
+        opens, fresh, between = np.ones(len(starts), bool), np.ones(len(starts), bool), np.zeros(len(starts), np.uint8)
+        fresh[1:] = (doc[1:] != doc[:-1]) | (feeds[starts[1:]] > feeds[ends[:-1]])
         opens[1:] = (doc[1:] != doc[:-1]) | (stops[starts[1:]] > stops[ends[:-1]])
         between[1:] = np.where((doc[1:] == doc[:-1]) & (starts[1:] == ends[:-1] + 1), data[starts[1:] - 1], 0)
-        return Words(hasher, starts, ends, doc, hasher.spans(starts, ends), digits[ends] - digits[starts] == ends - starts, capital, opens, between)
+        return Words(hasher, starts, ends, doc, hasher.spans(starts, ends), digits[ends] - digits[starts] == ends - starts, capital, opens, fresh, between)
 
     def joined(self) -> Words:
         """Digits with , or . and capitalised words with one space between them as one word each."""
@@ -86,7 +90,7 @@ class Words:
         on[1:] = (self.number[1:] & self.number[:-1] & ((self.between[1:] == 44) | (self.between[1:] == 46))) | (name[1:] & name[:-1] & (self.between[1:] == 32))
         head = np.flatnonzero(~on)
         end = self.end[np.concatenate([head[1:], [len(on)]]) - 1] if len(on) else self.end
-        return Words(self.hasher, self.start[head], end, self.doc[head], self.hasher.spans(self.start[head], end), self.number[head], self.capital[head], self.opens[head], self.between[head])
+        return Words(self.hasher, self.start[head], end, self.doc[head], self.hasher.spans(self.start[head], end), self.number[head], self.capital[head], self.opens[head], self.fresh[head], self.between[head])
 
     def templates(self, everywhere: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(template hash, is a slot) of each word; with ``everywhere`` capitalised words that open a sentence are NAME, too."""
@@ -106,24 +110,26 @@ def _windows(lengths: list[int], wanted: np.ndarray | None, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets, _ = buffers(batch.column("text"))
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            ids, rows = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("id", "row"))
             for lo, hi, data, own in slices(raw, offsets):
                 plain = Words.of(data, own)
                 joined = plain.joined()
                 template, slot = plain.templates()
-                for kind, w, t, s in ((TEMPLATE, plain, template, slot), (LITERAL, plain, plain.value, slot), (NAMES, joined, *joined.templates(True))):
+                for kind, w, t, s in ((TEMPLATE, plain, template, slot), (LITERAL, plain, plain.value, slot), (NAMES, joined, *joined.templates(True)), (WHOLE, plain, plain.value, slot)):
                     count = np.bincount(w.doc, minlength=hi - lo)
                     first = np.concatenate([[0], np.cumsum(count)])
                     slots = np.concatenate([[0], np.cumsum(s)])
                     for n in lengths:
-                        if len(t) < n:
+                        if len(t) < n or (kind == WHOLE) != (n < MIN_WORDS):
                             continue
                         m = len(t) - n + 1
                         g = t[:m] + U(kind) * _SALT
                         for j in range(1, n):
                             g = mix(g * U(0x9E3779B97F4A7C15) + t[j : m + j])
                         ok = w.doc[:m] == w.doc[n - 1 :]
-                        if kind != LITERAL:
+                        if kind == WHOLE and not whole:
+                            ok &= w.fresh[:m] & np.append(w.fresh, True)[n : n + m]
+                        if kind in (TEMPLATE, NAMES):
                             ok &= 2 * (slots[n : n + m] - slots[:m]) <= n
                         if whole and n < longest:
                             ok &= count[w.doc[:m]] == n
@@ -132,11 +138,11 @@ def _windows(lengths: list[int], wanted: np.ndarray | None, whole: bool):
                             ok &= ((wanted.value[bit >> 6] >> (bit & 63).astype(U)) & U(1)).astype(bool)
                         at = np.flatnonzero(ok)
                         if len(at):
-                            held = [w.value[a : a + n][s[a : a + n]].view(np.int64) for a in at] if kind != LITERAL else [np.zeros(0, np.int64)] * len(at)
+                            held = [w.value[a : a + n][s[a : a + n]].view(np.int64) for a in at] if kind in (TEMPLATE, NAMES) else [np.zeros(0, np.int64)] * len(at)
                             ends = np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int32)
                             yield pa.RecordBatch.from_arrays(
-                                [pa.array(ids[lo + w.doc[at]].astype(np.int64)), pa.array(np.full(len(at), kind, np.int32)), pa.array((at - first[w.doc[at]]).astype(np.int32)), pa.array(np.full(len(at), n, np.int32)), pa.array(g[at].view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(held)))],
-                                ["id", "kind", "pos", "length", "h", "slots"],
+                                [pa.array(ids[lo + w.doc[at]].astype(np.int64)), pa.array(rows[lo + w.doc[at]].astype(np.int64)), pa.array(np.full(len(at), kind, np.int32)), pa.array((at - first[w.doc[at]]).astype(np.int32)), pa.array(np.full(len(at), n, np.int32)), pa.array(g[at].view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(held)))],
+                                ["id", "row", "kind", "pos", "length", "h", "slots"],
                             )
 
     return run
@@ -166,9 +172,9 @@ def _common(texts: DataFrame, asked: np.ndarray) -> np.ndarray:
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_windows: int = MIN_WINDOWS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, windows, coverage, changed): coverage of the item's windows of the kind that found it, and how many placeholders hold another value."""
     spark = docs.sparkSession
-    texts = lambda df, i, t: df.select(F.col(i).cast("long").alias("id"), F.col(t).cast("string").alias("text")).where("id is not null and text is not null")
+    texts = lambda df, i, t: df.select(F.col(i).cast("long").alias("id"), F.col(t).cast("string").alias("text")).where("id is not null and text is not null").select("id", F.xxhash64("id", "text").alias("row"), "text")
     own, theirs = texts(docs, id_col, text_col), texts(benchmark, item_col, item_text_col).distinct()
-    items = theirs.mapInArrow(_windows(list(range(min(MIN_WORDS, window), window + 1)), None, True), _SCHEMA)
+    items = theirs.mapInArrow(_windows(list(range(1, window + 1)), None, True), _SCHEMA)
     items = written(items, "leak-items")
     lengths = sorted(r[0] for r in items.select("length").distinct().collect()) or [window]
     bits = np.zeros(_BITS // 64, U)
@@ -176,13 +182,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_windo
     for w, v in items.select(bit.alias("bit")).groupBy(F.expr("bit div 64")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))")).collect():
         bits[w] = U(v & 0xFFFFFFFFFFFFFFFF)
     found = own.mapInArrow(_windows(lengths, spark.sparkContext.broadcast(bits), False), _SCHEMA)
-    item = items.select(F.col("id").alias("item_id"), "kind", F.col("pos").alias("item_pos"), "h", "length", F.col("slots").alias("item_slots"))
-    hits = found.select(F.col("id").alias("doc_id"), "kind", "pos", "h", "length", "slots").join(item, ["kind", "h", "length"])
+    item = items.select(F.col("id").alias("item_id"), F.col("row").alias("item_row"), "kind", F.col("pos").alias("item_pos"), "h", "length", F.col("slots").alias("item_slots"))
+    hits = found.select(F.col("id").alias("doc_id"), F.col("row").alias("doc_row"), "kind", "pos", "h", "length", "slots").join(item, ["kind", "h", "length"])
     hits = hits.withColumn("fill", F.expr("transform(arrays_zip(item_slots, slots), x -> struct(x.item_slots as i, x.slots as d))"))
-    lined = hits.groupBy("doc_id", "item_id", "kind", (F.col("pos") - F.col("item_pos")).alias("delta")).agg(F.countDistinct("item_pos", "length").alias("windows"), F.array_distinct(F.flatten(F.collect_set("fill"))).alias("fills"))
+    lined = hits.groupBy("doc_id", "item_id", "doc_row", "item_row", "kind", (F.col("pos") - F.col("item_pos")).alias("delta")).agg(F.countDistinct("item_pos", "length").alias("windows"), F.array_distinct(F.flatten(F.collect_set("fill"))).alias("fills"))
     lined = lined.where("size(fills) = size(array_distinct(fills.i)) and size(fills) = size(array_distinct(fills.d))")
-    totals = items.groupBy(F.col("id").alias("item_id"), "kind").agg(F.countDistinct("pos", "length").alias("total"))
-    lined = written(lined.join(totals, ["item_id", "kind"]).where(F.col("windows") >= F.least("total", F.lit(min_windows))), "leak-lined")
+    totals = items.groupBy(F.col("row").alias("item_row"), "kind").agg(F.countDistinct("pos", "length").alias("total"))
+    lined = written(lined.join(totals, ["item_row", "kind"]).where(F.col("windows") >= F.least("total", F.lit(min_windows))), "leak-lined")
     # Of the slots that hold another value, those at the start of a sentence may be any word; only names may differ.
     other = F.expr("filter(fills, x -> x.i != x.d)")
     known = lined.where(F.col("kind") != NAMES).select("doc_id", "item_id").distinct()
@@ -192,9 +198,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_windo
     if len(asked):
         common = _common(own.unionByName(theirs), asked)
         common = spark.createDataFrame(pa.table({"v": pa.array(common.view(np.int64))}))
-        bad = unsure.select("doc_id", "item_id", "kind", "delta", F.explode(other).alias("f")).select("doc_id", "item_id", "kind", "delta", F.explode(F.array("f.i", "f.d")).alias("v")).join(common, "v", "left_semi")
-        lined = lined.join(bad.select("doc_id", "item_id", "kind", "delta").distinct(), ["doc_id", "item_id", "kind", "delta"], "left_anti")
-    best = Window.partitionBy("doc_id", "item_id").orderBy("kind", F.desc("windows"), "delta")
+        at = ["doc_row", "item_row", "kind", "delta"]
+        bad = unsure.select(*at, F.explode(other).alias("f")).select(*at, F.explode(F.array("f.i", "f.d")).alias("v")).join(common, "v", "left_semi")
+        lined = lined.join(bad.select(*at).distinct(), at, "left_anti")
+    best = Window.partitionBy("doc_id", "item_id").orderBy("kind", F.desc("windows"), "delta", "doc_row", "item_row")
     out = lined.withColumn("r", F.row_number().over(best)).where("r = 1")
     return out.select("doc_id", "item_id", F.col("windows").cast("long").alias("windows"), F.round(F.col("windows") / F.col("total"), 6).alias("coverage"), F.expr("cast(size(filter(fills, x -> x.i != x.d)) as long)").alias("changed"))
 

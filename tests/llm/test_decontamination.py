@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from quillon.llm import decontamination as D
 
 ITEM = "A train leaves the station at 40 km from the old Paris bridge and reaches the 90 meters tall tower after 12 minutes of slow travel."
@@ -17,7 +19,7 @@ def test_verbatim_parameters_and_consistency(spark, make_docs, prose):
         (1, prose(1) + " " + ITEM + " " + prose(2)), (2, prose(3) + ". " + other + " " + prose(4)), (3, prose(5)), (4, OTHER.split(" of ")[0]), (5, consistent), (6, broken),
         (7, None), (8, ""), (None, ITEM), (9, (prose(9, 40_000) + ".\n") + OTHER), (10, OTHER), (10, OTHER), (11, "NUM " * 50),
     ]
-    got = found(spark, make_docs(rows), [(1, ITEM, "", ""), (2, OTHER, "", ""), (3, same, "", ""), (4, None, "", ""), (None, "x", "", ""), (5, "", "", ""), (6, "too short", "", "")])
+    got = found(spark, make_docs(rows), [(1, ITEM, "", ""), (2, OTHER, "", ""), (3, same, "", ""), (4, None, "", ""), (None, "x", "", ""), (5, "", "", ""), (6, "too short", "", ""), (7, "...", "", "")])
     assert {k for k in got} == {(1, 1), (2, 1), (5, 3), (9, 2), (10, 2)}
     assert got[1, 1][2] == 0 and got[2, 1][2] == 4 and got[5, 3][2] == 1 and got[10, 2][1] == 1.0
 
@@ -55,3 +57,22 @@ def test_items_rich_in_slots_are_found_verbatim(spark, make_docs, prose):
     items = [(1, "3 4 5 12 13 8 15 17 7 24 25 20 21 29", "", ""), (2, "Add Anna Bauer Carl Dorn Emil Frank Gina Haas", "", ""), (3, "WHO WROTE THE BOOK OF JUNGLE TALES IN LONDON", "", "")]
     rows = [(i, prose(i) + ". " + t + " " + prose(10 + i)) for i, t, _, _ in items] + [(4, prose(4) + " 3 4 5 12 13 8 15 99 7 24 25 20 21 29")]
     assert set(found(spark, make_docs(rows), items)) == {(1, 1), (2, 2), (3, 3)}
+
+
+def test_items_of_few_words_are_found_as_whole_lines(spark, make_docs, prose):
+    items = [(1, "Seven plus four?", "", ""), (2, "Yes", "", ""), (3, "7 + 4 = 11", "", ""), (4, "Name the capital city", "", "")]
+    rows = [(1, prose(1) + "\n  seven PLUS four ?\n" + prose(2)), (2, "It is said that seven plus four is eleven, yes."), (3, "YES"), (4, "7 + 4 = 11\nmore"), (5, "1 7 4 11"), (6, "yes\nseven plus\nfour"), (7, "a b c\nName the capital city")]
+    assert {k: v[:2] for k, v in found(spark, make_docs(rows), items).items()} == {(1, 1): (1, 1.0), (3, 2): (1, 1.0), (4, 3): (1, 1.0), (6, 1): (1, 1.0), (6, 2): (1, 1.0), (7, 4): (1, 1.0)}
+
+
+def test_rows_of_one_id_are_documents_and_items_of_their_own(spark, make_docs, prose):
+    words = OTHER.split(" ")
+    rows = [(1, " ".join(words[:9])), (1, " ".join(["x"] * 6 + words[6:])), (2, OTHER), (2, prose(1)), (3, prose(2) + ". " + ITEM)]
+    got = found(spark, make_docs(rows), [(1, OTHER, "", ""), (1, ITEM, "", "")])
+    assert set(got) == {(1, 1), (2, 1), (3, 1)} and got[2, 1][1] == got[3, 1][1] == 1.0 and got[1, 1][0] == len(words) - 6 - 7
+
+
+def test_clean_with_clashing_names(spark, make_docs):
+    docs = make_docs([(1, OTHER), (2, "clean")]).withColumns({c: F.lit(1) for c in ("gone", "__gone", "gone_")})
+    kept = D.clean(docs, D.leaks(docs, spark.createDataFrame([(1, OTHER)], "item_id long, text string")))
+    assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [2]

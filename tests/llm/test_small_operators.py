@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import chat, langid, mtree, quality, toxicity, urls
 
@@ -139,6 +140,43 @@ def test_mtree_equals_brute_force(spark):
     assert set(got) == set(range(900))
 
 
+@pytest.mark.parametrize("clusters", [1, 40])
+def test_mtree_of_many_leaves(spark, clusters):
+    """Two routing levels, three rounds, leaves in several parts and groups of few queries; some queries only."""
+    rng = np.random.default_rng(clusters)
+    centres = rng.standard_normal((clusters, 6)) * 8
+    v = centres[rng.integers(0, clusters, 3000)] + rng.standard_normal((3000, 6))
+    v[1000:1400] = v[1000]  # a crowd of equal vectors fills several parts of a leaf
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in mtree.top_k(df, k=5, node_size=60, group=9, second=4, asked=F.col("id") % 7 == 0).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["distance"], r["neighbor_id"])
+    assert sorted(got) == list(range(0, 3000, 7))
+    for i in got:
+        d = np.round(np.sqrt(((v - v[i]) ** 2).sum(axis=1)), 6)
+        d[i] = np.inf
+        order = np.lexsort((np.arange(3000), d))[:5]
+        assert [got[i][r] for r in range(1, 6)] == [(d[j], j) for j in order]
+
+
+def test_routing_bounds_are_safe_and_prune():
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((64, 8)) * 20
+    v = centres[rng.integers(0, 64, 5000)] + rng.standard_normal((5000, 8))
+    r = mtree.Routing(v[:100])
+    leaf, d, to_inner = r.descend(v)
+    for j in range(100):
+        own = leaf == j
+        if own.any():
+            r.radius[j] = d[own].max()
+            r.inner_radius[r.top[j]] = max(r.inner_radius[r.top[j]], to_inner[own].max())
+    q, c, low = r.reached(v[:50], np.full(50, 3.0))
+    for i in range(50):
+        near = np.flatnonzero(np.sqrt(((v - v[i]) ** 2).sum(axis=1)) <= 3.0)
+        assert set(leaf[near]) <= set(c[q == i])
+    assert len(q) < 0.2 * 50 * 100
+
+
 def test_mtree_prunes_and_edges(spark):
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((20, 4)) * 50
