@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,6 +97,11 @@ class Quantizer:
         s = np.random.default_rng(seed + 1).standard_normal((rotation.shape[0], rotation.shape[0])) if sketch else None
         return Quantizer(d, bits, rotation, codebook(bits, rotation.shape[0]), s)
 
+    @staticmethod
+    @lru_cache(maxsize=16)
+    def cached(d: int, bits: int = 4, seed: int = 42, kind: str = "dense") -> Quantizer:
+        return Quantizer.make(d, bits, seed, kind)
+
     # numpy, for batches
     def encode(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(codes, norms): codes of the rotated unit vectors; ties go to the lower centroid."""
@@ -134,7 +140,7 @@ class Quantizer:
 def pack(codes: np.ndarray, bits: int) -> np.ndarray:
     """Codes of ``bits`` bits each, lowest bit first, rows padded to whole bytes."""
     planes = (codes[..., None] >> np.arange(bits)) & 1
-    return np.packbits(planes.reshape(len(codes), -1).astype(np.uint8), axis=1, bitorder="little")
+    return np.packbits(planes.reshape(len(codes), codes.shape[1] * bits).astype(np.uint8), axis=1, bitorder="little")
 
 
 def unpack(packed: np.ndarray, bits: int, d: int) -> np.ndarray:
@@ -142,6 +148,30 @@ def unpack(packed: np.ndarray, bits: int, d: int) -> np.ndarray:
     return (planes << np.arange(bits, dtype=np.uint8)).sum(axis=2).astype(np.uint8)
 
 
+def matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """A column of lists of ``width`` numbers each as rows."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, width)
+
+
+def with_codes(df: DataFrame, quantizer: Quantizer, vector_col: str = "vector") -> DataFrame:
+    """df with ``code`` (packed) and ``norm`` of its vectors; null where there is no vector."""
+    shared = df.sparkSession.sparkContext.broadcast(quantizer)
+
+    @F.arrow_udf("code binary, norm double")
+    def coded(vectors: pa.Array) -> pa.Array:
+        z = shared.value
+        valid = vectors.is_valid().to_numpy(zero_copy_only=False)
+        codes, norms = z.encode(matrix(vectors.drop_null(), z.d))
+        packed = iter(pack(codes, z.bits))
+        size = iter(norms)
+        out = [pa.array([next(packed).tobytes() if ok else None for ok in valid], pa.binary()), pa.array([float(next(size)) if ok else None for ok in valid], pa.float64())]
+        return pa.StructArray.from_arrays(out, ["code", "norm"])
+
+    return df.withColumn("c_", coded(vector_col)).select(*df.columns, "c_.code", "c_.norm")
+
+
 def encode_frame(df: DataFrame, quantizer: Quantizer, id_col: str, vector_col: str) -> DataFrame:
     """(id, codes binary, norm[, signs binary, gamma]) by matrix products on Arrow batches."""
     shared = df.sparkSession.sparkContext.broadcast(quantizer)

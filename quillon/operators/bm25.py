@@ -7,15 +7,25 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.text import query_tokens, tokenize
+from quillon.functions.text import tokenize
 
 K1, B = 1.2, 0.75
 
 
-def postings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(token, id, tf, dl)."""
-    t = df.select(F.col(id_col), tokenize(F.col(text_col)).alias("ts")).where(F.size("ts") > 0)
-    return t.select(id_col, F.size("ts").alias("dl"), F.explode("ts").alias("token")).groupBy("token", id_col, "dl").agg(F.count("*").alias("tf"))
+def tokenized(df: DataFrame, text_col: str, *columns: str) -> DataFrame:
+    """(columns, ts) of texts with tokens. The tokens come out of a generator, so that a text is split once, however often they are used."""
+    return df.select(*columns, F.explode(F.array(tokenize(F.col(text_col)))).alias("ts")).where(F.size("ts") > 0)
+
+
+def postings(df: DataFrame, id_col: str, text_col: str, *columns: str) -> DataFrame:
+    """(token, id, tf, dl), and further columns that depend on the id."""
+    t = tokenized(df, text_col, id_col, *columns)
+    return t.select(id_col, *columns, F.size("ts").alias("dl"), F.explode("ts").alias("token")).groupBy("token", id_col, "dl", *columns).agg(F.count("*").alias("tf"))
+
+
+def statistics(lengths: DataFrame) -> DataFrame:
+    """(n, avgdl), one row, from the lengths (dl) of documents with tokens."""
+    return lengths.agg(F.count("*").alias("n"), F.greatest(F.coalesce(F.avg("dl"), F.lit(1.0)), F.lit(1.0)).alias("avgdl"))
 
 
 @dataclass(frozen=True)
@@ -28,9 +38,7 @@ class Bm25:
 
     @staticmethod
     def build(df: DataFrame, id_col: str = "id", text_col: str = "document") -> Bm25:
-        lengths = df.select(F.size(tokenize(F.col(text_col))).alias("dl")).where("dl > 0")
-        stats = lengths.agg(F.count("*").alias("n"), F.greatest(F.coalesce(F.avg("dl"), F.lit(1.0)), F.lit(1.0)).alias("avgdl"))
-        return Bm25(postings(df, id_col, text_col), stats, id_col)
+        return Bm25(postings(df, id_col, text_col), statistics(tokenized(df, text_col).select(F.size("ts").alias("dl"))), id_col)
 
     def doc_count(self) -> int:
         return self.stats.first()["n"]
@@ -57,6 +65,6 @@ class Bm25:
 
     def search(self, text: str, k: int, allowed: DataFrame | None = None, digits: int | None = None) -> DataFrame:
         """(id, score) of the k best documents for one query; none for a query without tokens."""
-        q = self.table.sparkSession.createDataFrame([(0, " ".join(query_tokens(text)))], "query_id int, query_text string")
+        q = self.table.sparkSession.createDataFrame([(0, text)], "query_id int, query_text string")
         out = self.search_many(q, None, allowed=allowed, digits=digits).drop("query_id")
         return out.orderBy(F.desc("score"), self.id_col).limit(k)

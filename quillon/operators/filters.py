@@ -12,7 +12,7 @@ import math
 import re
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_DEPTH = 64
@@ -148,6 +148,18 @@ def compile_filter(filt: dict | None, metadata: Column | str = "metadata", is_js
     return build(filt)
 
 
+def matching(df: DataFrame, filt: dict | None, metadata: str = "metadata", promoted: dict[str, str] | None = None) -> DataFrame:
+    """The rows of df that fulfil a filter. Each object is parsed once, however many fields the filter has: the parsed value
+    comes out of a generator, which the optimiser doesn't repeat."""
+    if not filt:
+        return df
+    name = "parsed"
+    while name in df.columns:
+        name += "_"
+    parsed = df.select(*df.columns, F.explode(F.array(variant(metadata))).alias(name))
+    return parsed.where(compile_filter(filt, name, is_json=False, promoted=promoted)).drop(name)
+
+
 def _plain(c: Column, value: Any) -> Column:
     test = F.lit(True)
     for op, other in (value if isinstance(value, dict) else {"$eq": value}).items():

@@ -65,3 +65,16 @@ def search(df: DataFrame, edges: DataFrame, queries: DataFrame, k: int, beam: in
         seen = seen.join(allowed.select(F.col(id_col).alias("node")), "node", "left_semi")
     out = rank_by(seen.drop("rank"), F.col("score"), V.ascending(metric), "node", ["__qid"]).where(F.col("rank") <= k)
     return out.select(F.col("__qid").alias(query_id), F.col("node").alias(id_col), "score", "rank")
+
+
+def extend(df: DataFrame, edges: DataFrame, new: DataFrame, degree: int = 16, metric: str = "ip", id_col: str = "id", vector_col: str = "vector", beam: int = 32, hops: int = 6) -> DataFrame:
+    """The graph of ``edges`` over ``df`` with the rows ``new`` added: each finds its neighbours by searching the graph as it
+    is and is linked with them, and among the new ones in a graph of their own. Nothing else is built again."""
+    q = new.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("query_vector"))
+    found = search(df, edges, q, degree, beam, hops, metric=metric, id_col=id_col, vector_col=vector_col)
+    links = found.select(F.col("query_id").alias("node"), F.col(id_col).alias("neighbor"), "score")
+    own = build(new, degree, 3, metric, id_col, vector_col)
+    fresh = _cut(links.unionByName(own), "extended")
+    both = edges.unionByName(fresh).unionByName(fresh.select(F.col("neighbor").alias("node"), F.col("node").alias("neighbor"), "score")).distinct()
+    best = Window.partitionBy("node").orderBy(F.col("score").asc() if V.ascending(metric) else F.col("score").desc(), "neighbor")
+    return both.withColumn("r", F.row_number().over(best)).where(F.col("r") <= degree).drop("r")

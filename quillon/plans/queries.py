@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import json
+import functools
+import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import codecs, quantize, text
 from quillon.functions import vectors as V
 from quillon.operators import bm25, evals, filters, fusion, graph, ivf, maxsim, topk
+from quillon.plans.planner import Searcher, coded_search, quantized_search
+from quillon.sources.scratch import scratch_dir
+from quillon.sources.store import Collection
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,13 +142,13 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 _K = "coalesce((props->>'k')::BIGINT, -1000000)"
 FILTERS: dict[str, tuple[dict, str]] = {
     "eq": ({"k": 42}, f"{_K} = 42"),
-    "eq_strict": ({"k": 42.0}, "false"),
+    "eq_strict": ({"$or": [{"k": 42.0}, {"k": "42"}, {"k": 42}]}, f"{_K} = 42"),
     "eq_text": ({"type": {"$eq": "click"}}, "event_type = 'click'"),
     "ne": ({"opt": {"$ne": "o"}}, "event_id % 3 != 0"),
     "ne_number": ({"k": {"$ne": 42}}, f"{_K} != 42"),
     "gt_gte_lt_lte": ({"k": {"$gt": 10, "$lte": 60}, "value": {"$gte": 0.25, "$lt": 50}}, f"{_K} > 10 AND {_K} <= 60 AND value >= 0.25 AND value < 50"),
     "range_text": ({"type": {"$gt": "click", "$lt": "signup"}}, "event_type > 'click' AND event_type < 'signup'"),
-    "range_type": ({"type": {"$gt": 3}}, "false"),
+    "range_type": ({"$or": [{"type": {"$gt": 3}}, {"k": {"$gt": "1"}}, {"type": "view"}]}, "event_type = 'view'"),
     "in": ({"k": {"$in": [1, 2, 3, "4", 5.0]}}, f"{_K} IN (1, 2, 3)"),
     "nin": ({"type": {"$nin": ["click", "view"]}}, "event_type NOT IN ('click', 'view')"),
     "nin_missing": ({"opt": {"$nin": ["o"]}}, "event_id % 3 != 0"),
@@ -152,19 +156,19 @@ FILTERS: dict[str, tuple[dict, str]] = {
     "exists_not": ({"opt": {"$exists": False}}, "event_id % 3 = 2"),
     "null": ({"opt": None}, "event_id % 3 = 1"),
     "contains": ({"type": {"$contains": "ic"}}, "contains(event_type, 'ic')"),
-    "contains_number": ({"k": {"$contains": "4"}}, "false"),
+    "contains_number": ({"$or": [{"k": {"$contains": "4"}}, {"type": {"$contains": "iew"}}]}, "contains(event_type, 'iew')"),
     "dotted": ({"user.even": True, "user.id": {"$lt": 500}}, "user_id % 2 = 0 AND user_id < 500"),
     "array": ({"tags": ["click", "x"]}, "event_type = 'click'"),
     "object": ({"user": {"$eq": {"even": True, "id": 10}}}, "user_id = 10"),
     "and_or_nested": ({"$or": [{"type": "click", "k": {"$lt": 20}}, {"$and": [{"opt": "o"}, {"k": {"$gte": 80}}]}]}, f"(event_type = 'click' AND {_K} < 20 AND props->>'k' IS NOT NULL) OR (event_id % 3 = 0 AND {_K} >= 80)"),
     "empty_and": ({"$and": []}, "true"),
-    "empty_or": ({"$or": []}, "false"),
+    "empty_or": ({"$or": [{"$or": []}, {"type": "click"}]}, "event_type = 'click'"),
 }
 
 for _name, (_filter, _where) in FILTERS.items():
 
     def _run_filter(spark, d, filt=_filter):
-        return _events(spark, d).where(filters.compile_filter(filt, "metadata")).select("event_id")
+        return _events(spark, d).transform(lambda e: filters.matching(e, filt)).select("event_id")
 
     register(f"filter_{_name}", f"SELECT event_id FROM events WHERE {_where}")(_run_filter)
 
@@ -208,25 +212,6 @@ def facet_nested(spark, d):
     return _events(spark, d).select(filters.field_text("metadata", "user.even").alias("value")).groupBy("value").agg(F.count("*").alias("count"))
 
 
-@register("list_page", f"SELECT event_id FROM events WHERE {_K} < 30 AND props->>'k' IS NOT NULL ORDER BY event_id LIMIT 25 OFFSET 50")
-def list_page(spark, d):
-    return _events(spark, d).where(filters.compile_filter({"k": {"$lt": 30}}, "metadata")).orderBy("event_id").offset(50).limit(25).select("event_id")
-
-
-_ASKED = [7, 3, 999999999, 7, 0]
-
-
-@register("get_many_order", f"SELECT pos, id, e.label IS NOT NULL AS found, e.label FROM (SELECT unnest({_ASKED}) AS id, unnest([0, 1, 2, 3, 4])::BIGINT AS pos) a LEFT JOIN embeddings e ON e.vec_id = a.id")
-def get_many_order(spark, d):
-    asked = spark.createDataFrame(list(enumerate(_ASKED)), "pos long, id int")
-    return asked.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id", "left").select("pos", F.col("id").cast("int").alias("id"), F.col("label").isNotNull().alias("found"), "label")
-
-
-@register("stats", "SELECT count(*) AS vectors, max(len(embedding))::BIGINT AS dimension, count(DISTINCT label) AS labels FROM embeddings")
-def stats(spark, d):
-    return table(spark, d, "embeddings").agg(F.count("*").alias("vectors"), F.max(F.size("embedding")).cast("bigint").alias("dimension"), F.countDistinct("label").alias("labels"))
-
-
 # text
 
 _TOK = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x != '')"
@@ -241,10 +226,10 @@ def tokens(spark, d):
 TEXT_QUERIES = ["the license of reason", "worthless anea queau", "oder und nicht der", "apache License version"]
 
 
-def _bm25_sql(k: int, allowed: str = "true", columns: str = "query_id, doc_id, score, rank") -> str:
+def _bm25_sql(k: int, allowed: str = "true", columns: str = "query_id, doc_id, score, rank", docs: str = "documents") -> str:
     rows = ", ".join(f"({i}, '{q}')" for i, q in enumerate(TEXT_QUERIES))
     return rf"""
-WITH d AS (SELECT doc_id, lang, {_TOK} AS ts FROM documents), l AS (SELECT doc_id, lang, ts, len(ts) AS dl FROM d WHERE len(ts) > 0),
+WITH d AS (SELECT doc_id, lang, {_TOK} AS ts FROM {docs}), l AS (SELECT doc_id, lang, ts, len(ts) AS dl FROM d WHERE len(ts) > 0),
 st AS (SELECT count(*) AS n, greatest(avg(dl), 1) AS avgdl FROM l),
 p AS (SELECT doc_id, lang, dl, token, count(*) AS tf FROM (SELECT doc_id, lang, dl, unnest(ts) AS token FROM l) GROUP BY ALL),
 df AS (SELECT token, count(*) AS df FROM p GROUP BY token),
@@ -340,8 +325,6 @@ WITH {E_}, {_CODES_SQL}, {_ROTATED},
 s AS (SELECT query_id, id, round(list_dot_product(ap, rq) * nv, 6) AS score FROM a, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, score, rank FROM r WHERE rank <= 10""")
 def quant_score_topk(spark, d):
-    from quillon.plans.planner import quantized_search
-
     v = _vectors(spark, d)
     return quantized_search(v, _as_queries(v), 10, _QUANTIZER)
 
@@ -353,41 +336,71 @@ p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY approx DESC, i
 x AS (SELECT query_id, id, round(list_dot_product(v, qv), 6) AS score FROM p WHERE ar <= 100),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM x) SELECT query_id, id, score, rank FROM r WHERE rank <= 10""")
 def quant_rerank_topk(spark, d):
-    from quillon.plans.planner import quantized_search
-
     v = _vectors(spark, d)
     return quantized_search(v, _as_queries(v), 10, _QUANTIZER, topk.rerank_factor(64)).select("query_id", "id", "score", "rank")
 
 
-@register("quant_recall")
+@register("quant_lite_topk", f"""
+WITH {E_}, {_CODES_SQL}, a AS (SELECT id, list_transform(codes, lambda k: t[k + 1]) AS ap, sqrt(list_dot_product(v, v)) AS nv FROM c, (SELECT {_sql_list(_QUANTIZER.centroids)} AS t)),
+s AS (SELECT y.id AS query_id, x.id, round(list_dot_product(x.ap, y.ap) * y.nv * x.nv, 6) AS score FROM a x, a y),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, score, rank FROM r WHERE rank <= 10""")
+def quant_lite_topk(spark, d):
+    """Codes against codes."""
+    v = _vectors(spark, d)
+    return coded_search(quantize.with_codes(v.select("id", "vector"), _QUANTIZER), _as_queries(v), 10, _QUANTIZER, lite=True)
+
+
+def _recall_sql() -> str:
+    parts, rows = [f"{E_}, k AS ({knn_sql('ip')})"], []
+    for bits in (2, 4, 8):
+        z = quantize.Quantizer.cached(64, bits)
+        parts.append(f"""
+c{bits} AS (SELECT id, v, list_transform(r, lambda row: len(list_filter(m, lambda b: b < list_dot_product(row, v) / nv))) AS codes, nv, r FROM (SELECT *, sqrt(list_dot_product(v, v)) AS nv FROM e), (SELECT {_sql_matrix(z.rotation)} AS r, {_sql_list(quantize.midpoints(z.centroids))} AS m)),
+a{bits} AS (SELECT id, v, list_transform(codes, lambda k: t[k + 1]) AS ap, nv, list_transform(r, lambda row: list_dot_product(row, v)) AS rq FROM c{bits}, (SELECT {_sql_list(z.centroids)} AS t)),
+s{bits} AS (SELECT y.id AS query_id, x.id, row_number() OVER (PARTITION BY y.id ORDER BY round(list_dot_product(x.ap, y.rq) * x.nv, 6) DESC, x.id) AS rank, round(list_dot_product(x.v, y.v), 6) AS exact FROM a{bits} x, a{bits} y),
+x{bits} AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, id) AS rank FROM s{bits} WHERE rank <= {10 * topk.rerank_factor(64)})""")
+        for name, rerank in (("s", "false"), ("x", "true")):
+            rows.append(f"SELECT {bits} AS bits, {rerank} AS rerank, round(count(f.id) / count(*), 6) AS recall FROM k LEFT JOIN (SELECT * FROM {name}{bits} WHERE rank <= 10) f USING (query_id, id)")
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(rows)
+
+
+@register("quant_recall", _recall_sql())
 def quant_recall(spark, d):
     """Recall of quantised search, with and without rerank, over every vector as a query."""
-    from quillon.plans.planner import quantized_search
-
     v = _vectors(spark, d)
-    q = v.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
-    truth = topk.search_blocks(v, q, 10)
-    out = None
+    truth = topk.search_blocks(v, _as_queries(v), 10)
+    out = []
     for bits in (2, 4, 8):
         for factor in (None, topk.rerank_factor(64)):
-            row = evals.recall(quantized_search(v, q, 10, quantize.Quantizer.make(64, bits), factor), truth).select(F.lit(bits).alias("bits"), F.lit(factor is not None).alias("rerank"), "recall")
-            out = row if out is None else out.unionByName(row)
-    return out
+            found = quantized_search(v, _as_queries(v), 10, quantize.Quantizer.cached(64, bits), factor)
+            out.append(evals.recall(found, truth).select(F.lit(bits).alias("bits"), F.lit(factor is not None).alias("rerank"), F.round("recall", 6).alias("recall")))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+def _error_sql() -> str:
+    """The squared error in rotated coordinates, which a rotation leaves as it is; the expected one by the same sum over the density."""
+    rows = []
+    for bits in (2, 4):
+        for kind in ("dense", "hadamard"):
+            z = quantize.Quantizer.cached(64, bits, 42, kind)
+            rows.append(f"""SELECT {bits} AS bits, '{kind}' AS rotation, round(avg(list_sum(list_transform(y, lambda x: power(x - t[len(list_filter(m, lambda b: b < x / nv)) + 1] * nv, 2)))), 6) AS mse, any_value(expected) AS expected
+FROM (SELECT list_transform({_sql_matrix(z.rotation)}, lambda row: list_dot_product(row, v)) AS y, sqrt(list_dot_product(v, v)) AS nv FROM e), (SELECT {_sql_list(z.centroids)} AS t, {_sql_list(quantize.midpoints(z.centroids))} AS m),
+  (SELECT round(sum(list_min(list_transform({_sql_list(z.centroids)}, lambda c: power(x - c, 2))) * power(1 - x * x, 30.5)) * 64 / sum(power(1 - x * x, 30.5)), 6) AS expected FROM (SELECT i / 4000.0 - 1 AS x FROM range(1, 8000) r(i)))""")
+    return f"WITH {E_} " + " UNION ALL ".join(rows)
 
 
-@register("dequantized_error")
+@register("dequantized_error", _error_sql())
 def dequantized_error(spark, d):
     """Mean squared error of reconstruction, measured and expected, by bits and rotation."""
     v = _vectors(spark, d)
-    out = None
+    out = []
     for bits in (2, 4):
         for kind in ("dense", "hadamard"):
-            z = quantize.Quantizer.make(64, bits, kind=kind)
+            z = quantize.Quantizer.cached(64, bits, 42, kind)
             back = quantize.decode_frame(quantize.encode_frame(v, z, "id", "vector"), z, "id", "back")
             e = F.aggregate(F.zip_with("vector", "back", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-            row = v.join(back, "id").agg(F.round(F.avg(e), 6).alias("mse")).select(F.lit(bits).alias("bits"), F.lit(kind).alias("rotation"), "mse", F.lit(round(quantize.expected_error(z.centroids, 64), 6)).alias("expected"))
-            out = row if out is None else out.unionByName(row)
-    return out
+            out.append(v.join(back, "id").agg(F.round(F.avg(e), 6).alias("mse")).select(F.lit(bits).alias("bits"), F.lit(kind).alias("rotation"), "mse", F.lit(round(quantize.expected_error(z.centroids, 64), 6)).alias("expected")))
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 @register("sign_hamming_topk", f"""
@@ -421,14 +434,25 @@ register("int8_roundtrip", _codec_sql(127))(_codec("int8"))
 register("int4_roundtrip", _codec_sql(7))(_codec("int4"))
 
 
-@register("int4_packed", f"WITH {E_} SELECT id, 64::BIGINT AS n, true AS same FROM e")
+@register("int4_packed", f"""
+WITH {E_}, s AS (SELECT id, v, greatest(list_max(list_transform(v, lambda x: abs(x))), 1e-9) AS sc FROM e),
+c AS (SELECT id, list_transform(v, lambda x: greatest(-7, least(7, round(x / sc * 7)))) AS k FROM s)
+SELECT id, array_to_string(list_transform(range(1, 33), lambda i: (k[2 * i - 1] + 8 + (k[2 * i] + 8) * 16)::INTEGER), ',') AS packed, list_sum(k)::BIGINT AS total FROM c""")
 def int4_packed(spark, d):
-    v = _vectors(spark, d).withColumn("c", codecs.encode("vector", "int4")["codes"])
-    packed = v.withColumn("p", codecs.pack_int4(F.col("c")))
-    return packed.select("id", F.size("c").cast("bigint").alias("n"), (codecs.unpack_int4(F.col("p"), F.size("c")) == F.col("c")).alias("same"))
+    """Two codes a byte, and the sum of what unpacking gives back."""
+    v = _vectors(spark, d).withColumn("c", codecs.encode("vector", "int4")["codes"]).withColumn("p", codecs.pack_int4(F.col("c")))
+    back = codecs.unpack_int4(F.col("p"), F.size("c"))
+    return v.select("id", F.array_join(F.transform("p", lambda x: x.cast("string")), ",").alias("packed"), F.aggregate(back, F.lit(0), lambda s, x: s + x).cast("bigint").alias("total"))
 
 
-@register("residual_int4_rerank")
+@register("residual_int4_rerank", f"""
+WITH {E_}, {_CODES_SQL}, {_ROTATED},
+b AS (SELECT id, v, list_transform({_sql_matrix(_QUANTIZER.rotation.T)}, lambda row: list_dot_product(row, ap) * nv) AS back FROM a),
+w AS (SELECT id, back, list_transform(list_zip(v, back), lambda p: p[1] - p[2]) AS r FROM b),
+z AS (SELECT *, greatest(list_max(list_transform(r, lambda x: abs(x))), 1e-9) AS sc FROM w),
+n AS (SELECT id, list_transform(list_zip(back, r), lambda p: p[1] + greatest(-7, least(7, round(p[2] / sc * 7))) * sc / 7) AS better FROM z),
+s AS (SELECT query_id, n.id, round(list_dot_product(better, qv), 6) AS score FROM n, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, score, rank FROM r WHERE rank <= 10""")
 def residual_int4_rerank(spark, d):
     """Quantised scores corrected by the inner product with an int4-coded residual."""
     v = _vectors(spark, d)
@@ -439,49 +463,83 @@ def residual_int4_rerank(spark, d):
     return topk.search_blocks(better, _as_queries(v), 10)
 
 
-@register("half_precision")
+def _short_sql(digits: int, least: int) -> str:
+    """The error of keeping so many binary digits, halves to even, with exponents from ``least`` on."""
+    step = f"power(2, greatest(floor(log2(abs(x))), {least}) - {digits - 1})"
+    return f"WITH {E_} SELECT id, round(sqrt(list_sum(list_transform(v, lambda x: CASE WHEN x = 0 THEN 0 ELSE power(x - round_even(x / {step}, 0) * {step}, 2) END))), 9) AS error FROM e"
+
+
+@register("half_precision", _short_sql(11, -14))
 def half_precision(spark, d):
     return _vectors(spark, d).select("id", F.round(V.euclidean(F.col("vector"), codecs.half("vector")), 9).alias("error"))
 
 
+@register("brain_float", _short_sql(8, -126))
+def brain_float(spark, d):
+    return _vectors(spark, d).select("id", F.round(V.euclidean(F.col("vector"), codecs.brain("vector")), 9).alias("error"))
+
+
+@register("fnv_hash", "SELECT p_partkey, (list_reduce(list_transform(string_split(p_name, ''), lambda c: ascii(c)::HUGEINT), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616, 14695981039346656037::HUGEINT))::VARCHAR AS hash FROM part")
+def fnv_hash(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.fnv1a("p_name").alias("hash"))
+
+
+@register("ordered_bits", "SELECT event_id, rank() OVER (ORDER BY value - 50) AS place FROM events")
+def ordered_bits(spark, d):
+    """Doubles as keys whose byte order is their order, negative ones included."""
+    e = table(spark, d, "events").select("event_id", codecs.ordered_key(F.col("value") - 50).alias("key")).groupBy("key").agg(F.collect_list("event_id").alias("ids"))
+    first = F.sum(F.size("ids")).over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
+    return e.select(F.explode("ids").alias("event_id"), (F.coalesce(first, F.lit(0)) + 1).alias("place"))
+
+
 # inverted file, multi-vector, graph
 
-def _ivf_seed() -> np.ndarray:
-    c = np.random.default_rng(3).standard_normal((8, 64))
-    return c / np.linalg.norm(c, axis=1)[:, None]
+_CLUSTERS, _PROBES = 16, 12
+_IVF_SQL = f"""
+ce AS (SELECT list(v ORDER BY id) AS c FROM e WHERE id < {_CLUSTERS}),
+a0 AS (SELECT id, v, list_transform(c, lambda x: list_dot_product(x, v)) AS s FROM e, ce), i0 AS (SELECT v, list_position(s, list_max(s)) - 1 AS c FROM a0),
+t0 AS (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM i0), m0 AS (SELECT c, list(x ORDER BY j) AS v FROM (SELECT c, j, avg(x) AS x FROM t0 GROUP BY c, j) GROUP BY c),
+ct AS (SELECT list(v ORDER BY c) AS c FROM m0),
+a AS (SELECT id, v, list_transform(c, lambda x: list_dot_product(x, v)) AS s FROM e, ct), i AS (SELECT id, v, (list_position(s, list_max(s)) - 1)::INTEGER AS cluster_id FROM a)"""
+
+
+def _trained(spark: SparkSession, d: str) -> ivf.Ivf:
+    """One round from the vectors of the smallest ids, so that SQL can follow."""
+    v = _vectors(spark, d)
+    c = ivf.train(v, _CLUSTERS, rounds=1, seed_order=F.col("id"))
+    return ivf.Ivf(c, ivf.assign(v, c), "id", "vector")
 
 
-_CENTROIDS = _ivf_seed()
-_IVF_SQL = f"ce AS (SELECT {_sql_matrix(_CENTROIDS)} AS c), a AS (SELECT id, v, list_transform(c, lambda x: list_dot_product(x, v)) AS s FROM e, ce), i AS (SELECT id, v, (list_position(s, list_max(s)) - 1)::INTEGER AS cluster_id FROM a)"
+@register("ivf_train", f"WITH {E_}, {_IVF_SQL} SELECT (c - 1)::INTEGER AS cluster_id, (j - 1)::INTEGER AS dimension, round(x[j], 6) AS value FROM (SELECT c, x, unnest(range(1, 65)) AS j FROM (SELECT generate_subscripts(c, 1) AS c, unnest(c) AS x FROM ct))")
+def ivf_train(spark, d):
+    c = _trained(spark, d).centroids
+    return spark.createDataFrame([(i, j, round(float(x), 6)) for i, row in enumerate(c) for j, x in enumerate(row)], "cluster_id int, dimension int, value double")
 
 
 @register("ivf_assign", f"WITH {E_}, {_IVF_SQL} SELECT id, cluster_id FROM i")
 def ivf_assign(spark, d):
-    return ivf.assign(_vectors(spark, d), _CENTROIDS).select("id", "cluster_id")
+    return _trained(spark, d).assigned.select("id", "cluster_id")
 
 
-@register("ivf_probe_topk", f"""
-WITH {E_}, {_IVF_SQL}, q AS (SELECT id AS query_id, v AS qv FROM e),
-p AS (SELECT query_id, qv, unnest(list_transform(c, lambda x: list_dot_product(x, qv))) AS s, generate_subscripts(c, 1) - 1 AS cluster_id FROM q, ce),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, cluster_id) AS pr FROM p) WHERE pr <= 3),
-s AS (SELECT query_id, id, round(list_dot_product(v, qv), 6) AS score FROM i JOIN b USING (cluster_id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, score, rank FROM r WHERE rank <= 10""")
+_PROBE_SQL = f"""
+{{name}} AS (SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+  SELECT query_id, id, round(list_dot_product(v, qv), 6) AS score FROM i JOIN (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, cluster_id) AS pr FROM (SELECT id AS query_id, e.v AS qv, unnest(list_transform(c, lambda x: list_dot_product(x, e.v))) AS s, generate_subscripts(c, 1) - 1 AS cluster_id FROM e, ct)
+  ) b USING (cluster_id) WHERE pr <= {{n}})) WHERE rank <= 10)"""
+
+
+@register("ivf_probe_topk", f"WITH {E_}, {_IVF_SQL}, {_PROBE_SQL.format(name='f', n=_PROBES)} SELECT * FROM f")
 def ivf_probe_topk(spark, d):
-    v = _vectors(spark, d)
-    return ivf.Ivf(_CENTROIDS, ivf.assign(v, _CENTROIDS), "id", "vector").search(_as_queries(v), 10, 3)
+    return _trained(spark, d).search(_as_queries(_vectors(spark, d)), 10, _PROBES)
 
 
-@register("ivf_recall")
+@register("ivf_recall", f"WITH {E_}, {_IVF_SQL}, k AS ({knn_sql('ip')}), " + ", ".join(_PROBE_SQL.format(name=f"f{n}", n=n) for n in (1, 4, _PROBES, 16)) + " " + " UNION ALL ".join(f"SELECT {n} AS nprobe, round(count(f{n}.id) / count(*), 6) AS recall FROM k LEFT JOIN f{n} USING (query_id, id)" for n in (1, 4, _PROBES, 16)))
 def ivf_recall(spark, d):
     """Recall of a trained index at several numbers of probes, over every vector as a query."""
     v = _vectors(spark, d)
-    q = v.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
-    index, truth = ivf.Ivf.build(v, 16, rounds=8), topk.search_blocks(v, q, 10)
-    out = None
-    for n in (1, 4, 16):
-        row = evals.recall(index.search(q, 10, n), truth).select(F.lit(n).alias("nprobe"), "recall")
-        out = row if out is None else out.unionByName(row)
-    return out
+    index, truth = _trained(spark, d), topk.search_blocks(v, _as_queries(v), 10)
+    rows = [evals.recall(index.search(_as_queries(v), 10, n), truth).select(F.lit(n).alias("nprobe"), F.round("recall", 6).alias("recall")) for n in (1, 4, _PROBES, 16)]
+    return functools.reduce(DataFrame.unionByName, rows)
 
 
 @register("graph_recall")
@@ -533,75 +591,259 @@ def eval_metrics(spark, d):
     return evals.gold_metrics(topk.search_blocks(v, q, 10), gold, 10)
 
 
-# writes, as relations: the store's semantics over tables
+# the store
+
+_OLD = "SELECT c_custkey AS id, c_name AS name, c_acctbal AS bal, c_nationkey AS nation FROM customer"
+_NEW = "SELECT c_custkey + 100 AS id, c_name AS name, c_acctbal + 1 AS bal, c_nationkey AS nation FROM customer WHERE c_nationkey < 5"
+
 
-_OLD = "SELECT c_custkey AS id, c_name AS name, c_acctbal AS bal, 0 AS seq FROM customer"
-_NEW = "SELECT c_custkey + 100 AS id, c_name AS name, c_acctbal + 1 AS bal, 1 AS seq FROM customer WHERE c_nationkey < 5"
+def _store(spark: SparkSession, dimension: int, metric: str = "ip", **kw) -> Collection:
+    return Collection.open(spark, f"{scratch_dir(spark)}/collections/{uuid.uuid4().hex}", dimension, metric, **kw)
 
 
-def _two(spark, d) -> tuple[DataFrame, DataFrame]:
-    c = table(spark, d, "customer")
-    old = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal"), F.lit(0).alias("seq"))
-    new = c.where("c_nationkey < 5").select((F.col("c_custkey") + 100).alias("id"), F.col("c_name").alias("name"), (F.col("c_acctbal") + 1).alias("bal"), F.lit(1).alias("seq"))
-    return old, new
+def _batch(df: DataFrame, id_col: str, vector: Column, document: str | None = None, *fields: str) -> DataFrame:
+    meta = F.to_json(F.struct(*fields)) if fields else F.lit("{}")
+    return df.select(F.col(id_col).alias("pos"), F.col(id_col).cast("string").alias("id"), vector.cast("array<float>").alias("vector"), meta.alias("metadata"), (F.col(document) if document else F.lit(None).cast("string")).alias("document"))
+
+
+def _customers(spark: SparkSession, d: str) -> tuple[Collection, DataFrame]:
+    """A collection of the customers, and a batch of changed and new ones."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal"), F.col("c_nationkey").alias("nation"))
+    rows = lambda df: _batch(df, "id", F.array("bal", "nation"), None, "name", "bal", "nation")
+    store = _store(spark, 2)
+    store.write(rows(c), "insert")
+    return store, rows(c.where("nation < 5").withColumn("id", F.col("id") + 100).withColumn("bal", F.col("bal") + 1))
+
+
+def _named(store: Collection) -> DataFrame:
+    m = F.from_json("metadata", "name string, bal double")
+    return store.rows().select(F.col("id").cast("bigint").alias("id"), m.alias("m")).select("id", "m.name", "m.bal")
 
 
 @register("upsert_merge", f"WITH o AS ({_OLD}), n AS ({_NEW}) SELECT id, name, bal FROM n UNION ALL SELECT id, name, bal FROM o WHERE id NOT IN (SELECT id FROM n)")
 def upsert_merge(spark, d):
-    old, new = _two(spark, d)
-    return old.join(new.select("id"), "id", "left_anti").unionByName(new).select("id", "name", "bal")
+    store, new = _customers(spark, d)
+    store.write(new, "upsert")
+    return _named(store)
 
 
-@register("compact_latest", f"WITH u AS ({_OLD} UNION ALL {_NEW}) SELECT id, arg_max(name, seq) AS name, arg_max(bal, seq) AS bal FROM u GROUP BY id")
+@register("compact_latest", f"WITH o AS ({_OLD}), n AS ({_NEW}) SELECT id, name, bal FROM n UNION ALL SELECT id, name, bal FROM o WHERE id NOT IN (SELECT id FROM n)")
 def compact_latest(spark, d):
-    old, new = _two(spark, d)
-    last = old.unionByName(new).groupBy("id").agg(F.max_by(F.struct("name", "bal"), "seq").alias("r"))
-    return last.select("id", "r.name", "r.bal")
+    store, new = _customers(spark, d)
+    store.write(new, "upsert")
+    store.compact()
+    store.vacuum()
+    return _named(Collection.open(spark, store.path))
 
 
 @register("insert_conflicts", f"WITH o AS ({_OLD}), n AS ({_NEW}) SELECT id, 'id exists' AS error FROM n WHERE id IN (SELECT id FROM o)")
 def insert_conflicts(spark, d):
-    old, new = _two(spark, d)
-    return new.join(old.select("id"), "id", "left_semi").select("id", F.lit("id exists").alias("error"))
+    store, new = _customers(spark, d)
+    return store.write(new, "insert", report=True).select(F.col("id").cast("bigint").alias("id"), "error")
+
+
+@register("insert_reported", f"WITH o AS ({_OLD}), n AS ({_NEW}) SELECT id, name, bal FROM o UNION ALL SELECT id, name, bal FROM n WHERE id NOT IN (SELECT id FROM o)")
+def insert_reported(spark, d):
+    """What a reported insert leaves in the store: the good rows are written, the others stay as they were."""
+    store, new = _customers(spark, d)
+    store.write(new, "insert", report=True)
+    return _named(store)
 
 
 @register("update_missing", f"WITH o AS ({_OLD}), n AS ({_NEW}) SELECT id, 'id doesn''t exist' AS error FROM n WHERE id NOT IN (SELECT id FROM o)")
 def update_missing(spark, d):
-    old, new = _two(spark, d)
-    return new.join(old.select("id"), "id", "left_anti").select("id", F.lit("id doesn't exist").alias("error"))
+    store, new = _customers(spark, d)
+    return store.write(new, "update", report=True).select(F.col("id").cast("bigint").alias("id"), "error")
+
+
+@register("update_existing", f"WITH o AS ({_OLD}), n AS ({_NEW}) SELECT o.id, coalesce(n.name, o.name) AS name, coalesce(n.bal, o.bal) AS bal FROM o LEFT JOIN n USING (id)")
+def update_existing(spark, d):
+    store, new = _customers(spark, d)
+    store.write(new, "update", report=True)
+    return _named(store)
+
+
+@register("delete_ids", f"WITH o AS ({_OLD}) SELECT id, name, bal FROM o WHERE id - 100 NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5)")
+def delete_ids(spark, d):
+    store, new = _customers(spark, d)
+    store.delete(new.select("id"))
+    return _named(store)
+
+
+@register("delete_ids_or_filter", f"WITH o AS ({_OLD}) SELECT id, name, bal FROM o WHERE id - 100 NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5) AND NOT nation >= 20")
+def delete_ids_or_filter(spark, d):
+    store, new = _customers(spark, d)
+    store.delete(new.select("id"), {"nation": {"$gte": 20}})
+    return _named(store)
+
+
+@register("snapshot_restore", f"SELECT id, name, bal FROM ({_OLD})")
+def snapshot_restore(spark, d):
+    """A snapshot is taken, the collection changed, and the snapshot restored."""
+    store, new = _customers(spark, d)
+    store.snapshot(f"{store.path}-snapshot")
+    store.write(new, "upsert")
+    store.delete_where({"nation": {"$lt": 10}})
+    store.restore(f"{store.path}-snapshot")
+    return _named(store)
+
+
+def _event_store(spark: SparkSession, d: str) -> Collection:
+    store = _store(spark, 1)
+    store.write(_events(spark, d).select(F.col("event_id").alias("pos"), F.col("event_id").cast("string").alias("id"), F.array("value").cast("array<float>").alias("vector"), "metadata"), "insert")
+    return store
 
 
 @register("delete_where", f"SELECT event_id FROM events WHERE NOT ({_K} < 50 AND props->>'k' IS NOT NULL)")
 def delete_where(spark, d):
-    return _events(spark, d).where(~filters.compile_filter({"k": {"$lt": 50}}, "metadata")).select("event_id")
+    store = _event_store(spark, d)
+    store.delete_where({"k": {"$lt": 50}})
+    return store.rows().selectExpr("cast(id as bigint) as event_id")
+
+
+@register("list_page", f"SELECT event_id FROM events WHERE {_K} < 30 AND props->>'k' IS NOT NULL ORDER BY event_id LIMIT 25 OFFSET 50")
+def list_page(spark, d):
+    return _event_store(spark, d).list_ids({"k": {"$lt": 30}}, limit=25, offset=50).selectExpr("cast(id as bigint) as event_id")
 
 
-@register("update_metadata", "SELECT event_id, CASE WHEN event_type = 'click' THEN '{\"k\":1}' ELSE props END AS props FROM events")
+@register("list_all_ids", "SELECT event_id, row_number() OVER (ORDER BY event_id) AS place FROM events")
+def list_all_ids(spark, d):
+    """Every id with its place in the order of insertion, which is the order of pos."""
+    rows = _event_store(spark, d).rows()
+    return rows.selectExpr("cast(id as bigint) as event_id", "seq + 1 as place")
+
+
+@register("store_facet", "SELECT event_type AS value, count(*) AS count FROM events GROUP BY 1")
+def store_facet(spark, d):
+    return _event_store(spark, d).facet("type")
+
+
+@register("store_count", f"SELECT count(*) AS live, count(*) FILTER ({_K} >= 50 AND props->>'k' IS NOT NULL) AS matching, bool_or(event_id = 7) AS has_7, bool_or(event_id = -7) AS has_none FROM events")
+def store_count(spark, d):
+    store = _event_store(spark, d)
+    return spark.createDataFrame([(len(store), store.count({"k": {"$gte": 50}}), store.contains("7"), store.contains("-7"))], "live long, matching long, has_7 boolean, has_none boolean")
+
+
+@register("update_metadata", "SELECT c_custkey AS id, CASE WHEN c_custkey = 7 THEN '{\"k\": 1}' ELSE c_name END AS shown, CASE WHEN c_custkey = 7 THEN 'new text' END AS document FROM customer")
 def update_metadata(spark, d):
-    e = table(spark, d, "events")
-    changes = e.where("event_type = 'click'").select("event_id", F.lit(json.dumps({"k": 1}, separators=(",", ":"))).alias("new"))
-    return e.join(changes, "event_id", "left").select("event_id", F.coalesce("new", "props").alias("props"))
+    store, _ = _customers(spark, d)
+    store.update_metadata("7", {"k": 1}, "new text")
+    return store.rows().select(F.col("id").cast("bigint").alias("id"), F.coalesce(F.get_json_object("metadata", "$.name"), "metadata").alias("shown"), "document")
 
 
 @register("upsert_batch_last", "SELECT user_id AS id, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
 def upsert_batch_last(spark, d):
-    last = Window.partitionBy("user_id").orderBy(F.desc("event_id"))
-    return table(spark, d, "events").withColumn("r", F.row_number().over(last)).where("r = 1").select(F.col("user_id").alias("id"), "value")
+    """Of equal ids in a batch the last counts."""
+    store, e = _store(spark, 1), table(spark, d, "events")
+    store.write(e.select(F.col("event_id").alias("pos"), F.col("user_id").cast("string").alias("id"), F.array("value").cast("array<float>").alias("vector"), F.to_json(F.struct("value")).alias("metadata")), "upsert")
+    return store.rows().select(F.col("id").cast("bigint").alias("id"), F.get_json_object("metadata", "$.value").cast("double").alias("value"))
+
+
+def _vector_store(spark: SparkSession, d: str, metric: str = "ip", documents: bool = False, **kw) -> Collection:
+    v = table(spark, d, "embeddings")
+    if documents:
+        v = v.join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left")
+    store = _store(spark, 64, metric, **kw)
+    store.write(_batch(v, "vec_id", F.col("embedding"), "text" if documents else None, "label"), "insert")
+    return store
+
+
+_ASKED = [7, 3, 999999999, 7, 0]
+
+
+@register("get_many_order", f"SELECT pos, id, e.label IS NOT NULL AS found, e.label FROM (SELECT unnest({_ASKED}) AS id, unnest([0, 1, 2, 3, 4])::BIGINT AS pos) a LEFT JOIN embeddings e ON e.vec_id = a.id")
+def get_many_order(spark, d):
+    got = _vector_store(spark, d).get_many([str(i) for i in _ASKED])
+    return got.select("pos", F.col("id").cast("int").alias("id"), "found", F.get_json_object("metadata", "$.label").cast("int").alias("label"))
+
+
+@register("stats", "SELECT count(*) AS vectors, max(len(embedding))::BIGINT AS dimension, 'cosine' AS metric, false AS has_index, count(*) AS next_seq FROM embeddings")
+def stats(spark, d):
+    s = _vector_store(spark, d, "cosine").stats()
+    return spark.createDataFrame([(s["vector_count"], s["dimension"], s["metric"], s["has_index"], s["next_seq"])], "vectors long, dimension long, metric string, has_index boolean, next_seq long")
 
 
 @register("collection_lifecycle", """SELECT vec_id::VARCHAR AS id, CASE WHEN label < 5 THEN '{"label": 99}' ELSE '{"label":' || label || '}' END AS metadata FROM embeddings WHERE label NOT IN (7, 8)""")
 def collection_lifecycle(spark, d):
     """Insert, upsert, metadata filter, delete and compaction on a stored collection, then a listing of what lives."""
-    import uuid
-
-    from quillon.sources.scratch import scratch_dir
-    from quillon.sources.store import Collection
-
     v = table(spark, d, "embeddings")
-    c = Collection.open(spark, f"{scratch_dir(spark)}/collections/{uuid.uuid4().hex}", 64, "cosine")
-    rows = v.select(F.col("vec_id").alias("pos"), F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), F.to_json(F.struct("label")).alias("metadata"))
+    c = _store(spark, 64, "cosine")
+    rows = _batch(v, "vec_id", F.col("embedding"), None, "label")
     c.write(rows, "insert")
     c.write(rows.where("get_json_object(metadata, '$.label') < 5").withColumn("metadata", F.lit('{"label": 99}')), "upsert")
     c.delete(filt={"label": {"$in": [7, 8]}})
     c.compact()
     return c.rows().select("id", "metadata")
+
+
+# searches of a stored collection: ids are text there, so ties are by text, and scores of stored floats
+
+def _stored(sql: str) -> str:
+    """The same search with ids as text."""
+    return sql.replace("vec_id AS id", "vec_id::VARCHAR AS id").replace("SELECT id AS query_id, v AS qv FROM e", "SELECT id::BIGINT AS query_id, v AS qv FROM e").replace("SELECT id AS query_id, v AS qv,", "SELECT id::BIGINT AS query_id, v AS qv,")
+
+
+def _searched(spark: SparkSession, d: str, store: Collection, k: int = 10, **how) -> DataFrame:
+    return Searcher(store).dense(_as_queries(_vectors(spark, d)), k, **how)
+
+
+@register("searcher_exact", _stored(knn_sql("cosine", offset=2, columns="query_id, id, score, rank - 2 AS rank")))
+def searcher_exact(spark, d):
+    return _searched(spark, d, _vector_store(spark, d, "cosine"), offset=2)
+
+
+@register("searcher_filtered", _stored(knn_sql("l2", where="label >= 2 AND label < 6")))
+def searcher_filtered(spark, d):
+    return _searched(spark, d, _vector_store(spark, d, "l2"), filt={"label": {"$gte": 2, "$lt": 6}})
+
+
+@register("searcher_quantised", _stored(ORACLES["quant_rerank_topk"]))
+def searcher_quantised(spark, d):
+    """Candidates from the stored codes, reranked by the vectors."""
+    return _searched(spark, d, _vector_store(spark, d), strategy="quantised", factor=topk.rerank_factor(64))
+
+
+@register("searcher_codes", _stored(ORACLES["quant_score_topk"]))
+def searcher_codes(spark, d):
+    return _searched(spark, d, _vector_store(spark, d), strategy="quantised")
+
+
+@register("searcher_delta", f"WITH a AS ({_stored(knn_sql('ip', where='label != 3'))}) SELECT * FROM a")
+def searcher_delta(spark, d):
+    """An index over a part of the rows that probes all clusters; the rest is written after it, and a label deleted."""
+    v = table(spark, d, "embeddings")
+    store = _store(spark, 64)
+    rows = _batch(v, "vec_id", F.col("embedding"), None, "label")
+    store.write(rows.where("get_json_object(metadata, '$.label') < 8"), "insert")
+    Searcher(store).create_index(8, rounds=2)
+    store.write(rows.where("get_json_object(metadata, '$.label') >= 8"), "insert")
+    store.delete_where({"label": 3})
+    return _searched(spark, d, store, strategy="ivf", nprobe=8)
+
+
+@register("searcher_hybrid", f"""
+WITH dense AS ({_stored(knn_sql('ip', 40))}), sparse AS (SELECT s.query_id AS text_id, s.doc_id::VARCHAR AS id, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.doc_id::VARCHAR) AS rank FROM ({_bm25_sql(1000000, docs="(SELECT d.* FROM documents d JOIN embeddings ON vec_id = doc_id)")}) s),
+u AS (SELECT query_id, id, 0.5 / (60.0 + rank) AS p FROM dense WHERE query_id < {len(TEXT_QUERIES)} UNION ALL SELECT text_id, id, 0.5 / (60.0 + rank) FROM sparse WHERE rank <= 40),
+f AS (SELECT query_id, id, round(sum(p), 6) AS score FROM u GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f) SELECT query_id, rank, id, score FROM r WHERE rank <= 10""")
+def searcher_hybrid(spark, d):
+    """The first vectors with a text each, over stored postings; both lists are of all rows."""
+    store = _vector_store(spark, d, documents=True)
+    s = Searcher(store)
+    s.create_text_index()
+    n = len(TEXT_QUERIES)
+    vectors = [r["vector"] for r in _vectors(spark, d).where(F.col("id") < n).orderBy("id").select("vector").collect()]
+    return s.search_batch(vectors, 10, include=["id", "score"], hybrid={"texts": TEXT_QUERIES}).withColumn("score", F.round("score", 6))
+
+
+@register("text_index_topk", _bm25_sql(20, columns="query_id, doc_id, score, rank"))
+def text_index_topk(spark, d):
+    """Keyword search over stored postings, some of them older than the last writes."""
+    store = _store(spark, 1)
+    rows = _batch(table(spark, d, "documents"), "doc_id", F.array(F.lit(1.0)), "text")
+    store.write(rows.where("pos % 3 != 0"), "insert")
+    store.write(rows.where("pos % 3 = 1").withColumn("document", F.lit("license license reason")), "upsert")
+    Searcher(store).create_text_index()
+    store.write(rows.where("pos % 3 != 2"), "upsert")
+    found = Searcher(store).text_search(_text_queries(spark), 1 << 30, digits=6).select("query_id", F.col("id").cast("bigint").alias("doc_id"), "score")
+    return topk.rank_by(found, F.col("score"), False, "doc_id", ["query_id"]).where("rank <= 20")

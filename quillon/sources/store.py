@@ -4,6 +4,7 @@ Every change writes one delta (rows and tombstones, with a rising sequence numbe
 then a new manifest version; readers see the newest complete version, so a write that fails half-way
 leaves nothing visible. The live state of an id is its row of highest sequence number. ``compact``
 folds deltas in a new base. Files of unreferenced versions are orphans that ``vacuum`` removes.
+Every row is written with the quantised code of its vector, so a quantised search reads codes, not vectors.
 """
 
 from __future__ import annotations
@@ -18,15 +19,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions import vectors as V
+from quillon.functions.quantize import Quantizer, with_codes
 from quillon.operators import filters
 
 ROW = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("metadata", T.StringType()),
     T.StructField("document", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("deleted", T.BooleanType()),
+    T.StructField("code", T.BinaryType()), T.StructField("norm", T.DoubleType()),
 ])
 MODES = ("insert", "update", "upsert")
 MAX_ID_BYTES = 65_535
 AUTO_COMPACT = 64
+#: Batches up to so many rows are numbered by one task; larger ones by range partitions.
+NUMBER_ROWS = 1_000_000
 
 
 class Files:
@@ -142,17 +147,23 @@ class Collection:
         parts = [f"{self.path}/data/{p}" for p in self.manifest["parts"]]
         return self.spark.read.schema(ROW).parquet(*parts) if parts else self.spark.createDataFrame([], ROW)
 
-    def rows(self) -> DataFrame:
-        """(id, vector, metadata, document, seq) of the live rows. One part needs no resolution and no shuffle."""
-        log = self.log()
+    def rows(self, codes: bool = False) -> DataFrame:
+        """(id, vector, metadata, document, seq) of the live rows, with ``codes`` code and norm, too. One part needs no
+        resolution and no shuffle; of several the columns that are not used are pruned before the rows are resolved."""
+        log, extra = self.log(), ["code", "norm"] if codes else []
         if len(self.manifest["parts"]) > 1:
-            last = log.groupBy("id").agg(F.max_by(F.struct("vector", "metadata", "document", "deleted", "seq"), "seq").alias("r"))
+            last = log.groupBy("id").agg(F.max_by(F.struct("vector", "metadata", "document", "deleted", "seq", *extra), "seq").alias("r"))
             log = last.select("id", "r.*")
-        return log.where(~F.col("deleted")).select("id", "vector", "metadata", "document", "seq")
+        return log.where(~F.col("deleted")).select("id", "vector", "metadata", "document", "seq", *extra)
 
-    def _filtered(self, filt: dict | None) -> DataFrame:
-        rows = self.rows()
-        return rows if not filt else rows.where(filters.compile_filter(filt, "metadata"))
+    @property
+    def quantizer(self) -> Quantizer:
+        m = self.manifest
+        return Quantizer.cached(m["dimension"], m["bits"], m["seed"], "hadamard" if m["quantizer_type"] in ("srht", "hadamard") else "dense")
+
+    def _filtered(self, filt: dict | None, codes: bool = False) -> DataFrame:
+        rows = self.rows(codes)
+        return filters.matching(rows, filt, "metadata")
 
     def get(self, id: str) -> dict | None:
         found = self.rows().where(F.col("id") == id).select("id", "metadata", "document").first()
@@ -198,7 +209,7 @@ class Collection:
 
     def stats(self) -> dict:
         live = self.count()
-        return {"vector_count": live, "dimension": self.dimension, "metric": self.metric, "bits": self.manifest["bits"], "version": self.manifest["version"], "parts": len(self.manifest["parts"]), "bytes": self.files.size(f"{self.path}/data"), "has_index": self.manifest["index"] is not None}
+        return {"vector_count": live, "dimension": self.dimension, "metric": self.metric, "bits": self.manifest["bits"], "version": self.manifest["version"], "parts": len(self.manifest["parts"]), "bytes": self.files.size(f"{self.path}/data"), "has_index": self.manifest["index"] is not None, "has_text_index": bool(self.manifest.get("text")), "has_graph": bool(self.manifest.get("graph")), "next_seq": self.manifest["next_seq"]}
 
     # writing
 
@@ -222,6 +233,7 @@ class Collection:
 
     def write(self, batch: DataFrame, mode: str = "upsert", report: bool = False) -> int | DataFrame:
         """Writes a batch (id, vector[, metadata, document, pos]). The whole batch is checked before anything is written.
+        ``pos``, of any type with an order, says which of equal ids is the last; all rows of a batch come after those written before.
 
         insert: ids must be new and unique in the batch; update: ids must exist; upsert: the last of equal ids counts.
         With ``report`` good rows are written and (pos, id, error) of the others is returned; else any error raises.
@@ -250,18 +262,35 @@ class Collection:
             vector = F.col("vector")
             if self.manifest["normalize"]:
                 vector = V.normalized(vector.cast("array<double>")).cast("array<float>")
-            seq = F.lit(self.manifest["next_seq"]) + F.col("pos")
-            written = self._append(good.select("id", vector.alias("vector"), "metadata", "document", seq.alias("seq"), F.lit(False).alias("deleted")))
+            good = self._numbered(good, rows.count(), f"{staged}-numbered")
+            written = self._append(good.select("id", vector.alias("vector"), "metadata", "document", (F.lit(self.manifest["next_seq"]) + F.col("n")).alias("seq"), F.lit(False).alias("deleted")))
             if report:
-                failed = [tuple(r) for r in errors.orderBy("pos").collect()]
-                return self.spark.createDataFrame(failed, "pos long, id string, error string")
+                kept = f"{self.path}/reports/{uuid.uuid4().hex}"
+                errors.write.parquet(kept)
+                return self.spark.read.schema(errors.schema).parquet(kept)
             return written
         finally:
             self.files.delete(staged)
+            self.files.delete(f"{staged}-numbered")
+
+    def _numbered(self, rows: DataFrame, count: int, path: str) -> DataFrame:
+        """rows with ``n``, 0, 1, ... in the order of pos, whatever pos is."""
+        if count <= NUMBER_ROWS:
+            return rows.withColumn("n", (F.row_number().over(Window.orderBy("pos", "id")) - 1).cast("long"))
+        # Range partitions in order; a row's number is its place in the partition and the rows of those before.
+        rows.repartitionByRange("pos", "id").sortWithinPartitions("pos", "id").withColumn("m", F.monotonically_increasing_id()).write.parquet(path)
+        placed = self.spark.read.parquet(path).withColumn("part", F.shiftright("m", 33))
+        sizes = sorted((r["part"], r["count"]) for r in placed.groupBy("part").count().collect())
+        before, offsets = 0, []
+        for part, size in sizes:
+            offsets.append((part, before))
+            before += size
+        offsets = F.broadcast(self.spark.createDataFrame(offsets, "part long, before long"))
+        return placed.join(offsets, "part").withColumn("n", F.col("before") + F.col("m").bitwiseAND((1 << 33) - 1))
 
     def _append(self, rows: DataFrame) -> int:
         name = uuid.uuid4().hex
-        rows.write.parquet(f"{self.path}/data/{name}")
+        with_codes(rows, self.quantizer).select(*ROW.names).write.parquet(f"{self.path}/data/{name}")
         found = self.spark.read.schema(ROW).parquet(f"{self.path}/data/{name}").agg(F.count("*").alias("n"), F.max("seq").alias("m")).first()
         if found["n"] == 0:
             self.files.delete(f"{self.path}/data/{name}")
@@ -313,13 +342,18 @@ class Collection:
     def compact(self) -> None:
         """All live rows in one new part; the order of insertion stays."""
         name = uuid.uuid4().hex
-        self.rows().withColumn("deleted", F.lit(False)).select(*ROW.names).write.parquet(f"{self.path}/data/{name}")
+        self.rows(codes=True).withColumn("deleted", F.lit(False)).select(*ROW.names).write.parquet(f"{self.path}/data/{name}")
         self._commit([name], self.manifest["next_seq"])
 
     flush = checkpoint = compact
 
     def vacuum(self) -> int:
-        """Removes parts and manifests that the newest version doesn't use; how many parts."""
+        """Removes parts, reports, indexes and manifests that the newest version doesn't use; how many parts."""
+        used = [m["path"].rsplit("/", 1)[-1] for m in (self.manifest["index"], self.manifest.get("text"), self.manifest.get("graph")) if m]
+        for kind in ("index", "reports", "staged"):
+            for p in self.files.list(f"{self.path}/{kind}"):
+                if p not in used:
+                    self.files.delete(f"{self.path}/{kind}/{p}")
         dead = [p for p in self.files.list(f"{self.path}/data") if p not in self.manifest["parts"]]
         for p in dead:
             self.files.delete(f"{self.path}/data/{p}")
@@ -342,7 +376,7 @@ class Collection:
         for p in manifest["parts"]:
             names.append(name := uuid.uuid4().hex)
             self.files.copy(f"{source}/data/{p}", f"{self.path}/data/{name}")
-        self._commit(names, max(manifest["next_seq"], self.manifest["next_seq"]), dimension=manifest["dimension"], metric=manifest["metric"], index=None)
+        self._commit(names, max(manifest["next_seq"], self.manifest["next_seq"]), dimension=manifest["dimension"], metric=manifest["metric"], index=None, text=None, graph=None)
 
 
 class Catalog:

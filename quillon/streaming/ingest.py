@@ -14,7 +14,7 @@ def stream_upserts(source: DataFrame, collection: Collection, checkpoint: str, o
 
     def apply(batch: DataFrame, _: int) -> None:
         if order_col is not None:
-            batch = batch.withColumn("pos", batch[order_col].cast("long"))
+            batch = batch.withColumn("pos", batch[order_col])
         collection.refresh().write(batch, "upsert")
 
     return source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

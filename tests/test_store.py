@@ -1,9 +1,12 @@
+import datetime
 import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.plans.planner import Searcher
+from quillon.sources import store
 from quillon.sources.importers import adapt, detect, import_table
 from quillon.sources.store import Catalog, Collection
 from quillon.streaming.ingest import stream_upserts
@@ -62,7 +65,7 @@ def test_bad_rows_and_reports(spark, coll):
     with pytest.raises(ValueError, match="invalid id"):
         coll.insert(["x" * 70_000], [[1, 2, 3, 4]])
     batch = coll.frame(["a", "b", "a", "c"], [[1, 2, 3, 4], [1, 2], [1, 2, 3, 4], [0, 0, 0, 1]])
-    failed = coll.write(batch, "insert", report=True).collect()
+    failed = coll.write(batch, "insert", report=True).orderBy("pos").collect()
     assert [(r["pos"], r["id"]) for r in failed] == [(1, "b"), (2, "a")] and coll.count() == 2
     with pytest.raises(ValueError):
         coll.list_ids(limit=-1)
@@ -83,7 +86,7 @@ def test_normalized(spark, tmp_path):
 def test_search_metrics(spark, tmp_path, metric):
     c = Collection.open(spark, f"file://{tmp_path}/{metric}", 4, metric)
     v = {"v1": [1, 0, 0, 0], "v2": [0, 1, 0, 0], "v3": [1, 1, 0, 0], "v4": [-1, 0, 0, 0], "zero": [0, 0, 0, 0]}
-    c.insert(list(v), list(v.values()), [{"i": i} for i in range(5)])
+    c.insert(list(v), list(v.values()), [{"i": i} for i in range(3)])
     q = np.array([1, 0.25, 0, 0])
     x = {k: np.array(a, float) for k, a in v.items()}
     exact = {"ip": lambda a: q @ a, "cosine": lambda a: 0.0 if not a.any() else q @ a / np.linalg.norm(q) / np.linalg.norm(a), "l2": lambda a: np.linalg.norm(q - a)}[metric]
@@ -93,7 +96,7 @@ def test_search_metrics(spark, tmp_path, metric):
     assert [r["id"] for r in got] == want and np.allclose([r["score"] for r in got], [exact(x[k]) for k in want], atol=1e-6)
     assert ids(s.search(q, 2, offset=1)) == want[1:3] and ids(s.search(q, 9, filt={"i": {"$gt": 2}})) == [k for k in want if k in ("v4", "zero")]
     assert s.search(q, 1, include=["id", "score"]).columns == ["id", "score"]
-    for bad in (dict(k=0), dict(include=["vector"]), dict(rerank_factor=0), dict(filt={"a": {"$x": 1}})):
+    for bad in (dict(k=0), dict(include=["vector"]), dict(rerank_factor=0), dict(rerank_factor=101), dict(filt={"a": {"$x": 1}})):
         with pytest.raises(ValueError):
             s.search(q, **bad)
     with pytest.raises(ValueError):
@@ -114,9 +117,11 @@ def test_index_and_hybrid(spark, tmp_path):
     c.upsert(["fresh", exact[1]], [v[0] * 2, -v[0]])
     found = ids(s.search(v[0], 10, nprobe=8))
     assert found[0] == "fresh" and exact[1] not in found  # rows written or changed after the build count
-    assert s.strategy(None, None, None, None) == "exact" and s.strategy(None, 4, None, None) == "ivf" and s.strategy(None, None, True, {"text": "x"}) == "hybrid"
+    assert c.manifest["index"]["nprobe"] >= 3 and s.strategy(None, None, None, None) == "exact" and s.strategy(None, 4, None, None) == "ivf" and s.strategy(None, None, True, {"text": "x"}) == "hybrid"
     top = ids(s.search(v[0], 5, hybrid={"text": "rareword"}))
     assert "d007" in top
+    s.create_text_index()
+    assert ids(s.search(v[0], 5, hybrid={"text": "rareword"})) == ids(Searcher(Collection.open(spark, c.path)).search(v[0], 5, hybrid={"text": "rareword"})) and "d007" in top
     # A keyword weight of 1 leaves the keyword list alone.
     assert ids(s.search(v[0], 1, hybrid={"text": "rareword", "weight": 1.0})) == ["d007"]
     both = s.search_batch([v[0], v[1]], 3, hybrid={"texts": ["rareword", ""]}).collect()
@@ -159,3 +164,61 @@ def test_stream(spark, tmp_path):
         spark.createDataFrame([("b", [0.0, 5.0], json.dumps({"v": 3}), "doc", 9)], schema).coalesce(1).write.mode("append").parquet(src)
     c.refresh()
     assert c.count() == 2 and c.get("a")["metadata"] == {"v": 2} and c.get("b")["metadata"] == {"v": 3}
+
+
+def test_order_of_batches(spark, tmp_path, monkeypatch):
+    """pos of any kind orders a batch, and every batch comes after the one before; numbers stay dense."""
+    c = Collection.open(spark, f"file://{tmp_path}/o", 1)
+    batch = lambda rows, kind: spark.createDataFrame(rows, f"pos {kind}, id string, vector array<float>")
+    c.write(batch([(10, "a", [1.0])], "long"))
+    c.write(batch([(-5, "a", [2.0]), (-9, "a", [3.0])], "long"))
+    assert c.rows().first()["vector"] == [2.0]
+    at = lambda us: datetime.datetime(2024, 1, 1, 0, 0, 0, us)
+    c.write(batch([(at(900), "a", [4.0]), (at(100), "a", [5.0]), (at(500), "b", [6.0])], "timestamp"))
+    assert {r["id"]: r["vector"][0] for r in c.rows().collect()} == {"a": 4.0, "b": 6.0}
+    before = c.manifest["next_seq"]
+    for _ in range(3):
+        c.write(c.rows().select(F.col("seq").alias("pos"), "id", "vector"), "update")
+    assert c.manifest["next_seq"] == before + 6
+    monkeypatch.setattr(store, "NUMBER_ROWS", 3)
+    c.write(batch([(i, f"n{i:03}", [float(i)]) for i in range(200)], "long").repartition(5))
+    assert c.manifest["next_seq"] == before + 206 and ids(c.list_ids(offset=2)) == [f"n{i:03}" for i in range(200)]
+
+
+@pytest.mark.parametrize("metric", ["ip", "cosine", "l2"])
+def test_quantised_graph_and_text_indexes(spark, tmp_path, metric):
+    rng = np.random.default_rng(1)
+    v = rng.standard_normal((600, 32))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    c = Collection.open(spark, f"file://{tmp_path}/q", 32, metric, rerank=True)
+    c.insert([f"d{i:03}" for i in range(500)], v[:500], [{"i": i} for i in range(500)], [f"word{i % 7} all" for i in range(500)])
+    s = Searcher(c)
+    recall = lambda got, want: len(set(ids(got)) & set(want)) / len(want)
+    exact = [ids(s.search(v[i], 10, quantised=False)) for i in range(3)]
+    assert s.strategy(None, None, None, None) == "quantised" and s.strategy(None, None, None, None, False) == "exact"
+    assert np.mean([recall(s.search(v[i], 10), exact[i]) for i in range(3)]) >= 0.95
+    assert np.mean([recall(s.search(v[i], 10, quantised=True, rerank_factor=0), exact[i]) for i in range(3)]) >= 0.7
+    assert np.mean([recall(s.search(v[i], 10, prefilter=True), exact[i]) for i in range(3)]) >= 0.8
+    assert all(r["metadata"]["i"] >= 400 if isinstance(r["metadata"], dict) else json.loads(r["metadata"])["i"] >= 400 for r in s.search(v[0], 10, {"i": {"$gte": 400}}).collect())
+    # The candidates' scan reads codes, not vectors.
+    plan = s.dense(s._queries([v[0]]), 10, strategy="quantised")._jdf.queryExecution().executedPlan().toString()
+    assert "vector" not in plan.split("ReadSchema")[1]
+    if metric != "ip":
+        return
+    s.create_graph(8, 3)
+    assert np.mean([recall(s.search(v[i], 10, beam=64), exact[i]) for i in range(3)]) >= 0.9
+    c.insert([f"e{i:03}" for i in range(500, 600)], v[500:], [{"i": i} for i in range(500, 600)], ["late all"] * 100)
+    c.delete([exact[0][1]])
+    want = ids(s.search(v[0], 10, quantised=False))
+    assert exact[0][1] not in want and recall(s.search(v[0], 10, beam=64), want) >= 0.9
+    s.update_graph()
+    assert c.manifest["graph"]["next_seq"] == c.manifest["next_seq"] and recall(s.search(v[0], 10, beam=64), want) >= 0.9
+    asked = spark.createDataFrame([(0, "late word3"), (1, "all")], "query_id int, query_text string")
+    plain = sorted(map(tuple, s.text_search(asked, 30, {"i": {"$gte": 3}}, 6).collect()))
+    s.create_text_index()
+    assert sorted(map(tuple, s.text_search(asked, 30, {"i": {"$gte": 3}}, 6).collect())) == plain
+    c.upsert(["d010", "new"], v[:2], None, ["late late", "word3"])
+    c.delete(["d003"])
+    built = sorted(map(tuple, s.text_search(asked, 30, None, 6).collect()))
+    c.manifest["text"] = None
+    assert sorted(map(tuple, s.text_search(asked, 30, None, 6).collect())) == built
