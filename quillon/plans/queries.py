@@ -486,10 +486,15 @@ def fnv_hash(spark, d):
 
 @register("ordered_bits", "SELECT event_id, rank() OVER (ORDER BY value - 50) AS place FROM events")
 def ordered_bits(spark, d):
-    """Doubles as keys whose byte order is their order, negative ones included."""
-    e = table(spark, d, "events").select("event_id", codecs.ordered_key(F.col("value") - 50).alias("key")).groupBy("key").agg(F.collect_list("event_id").alias("ids"))
-    first = F.sum(F.size("ids")).over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
-    return e.select(F.explode("ids").alias("event_id"), (F.coalesce(first, F.lit(0)) + 1).alias("place"))
+    """Doubles as keys whose byte order is their order, negative ones included. A key's first two bytes are its bucket: places
+    are counted in each bucket and over the buckets, of which there are 65,536 at most."""
+    e = table(spark, d, "events").select("event_id", codecs.ordered_key(F.col("value") - 50).alias("key"))
+    keys = e.groupBy("key").agg(F.count("*").alias("n")).withColumn("head", F.substring("key", 1, 2))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    heads = keys.groupBy("head").agg(F.sum("n").alias("m")).select("head", F.coalesce(F.sum("m").over(before.orderBy("head")), F.lit(0)).alias("base"))
+    inside = keys.select("key", "head", F.coalesce(F.sum("n").over(before.partitionBy("head").orderBy("key")), F.lit(0)).alias("own"))
+    places = inside.join(F.broadcast(heads), "head").select("key", (F.col("base") + F.col("own") + 1).alias("place"))
+    return e.join(places, "key").select("event_id", "place")
 
 
 # inverted file, multi-vector, graph
