@@ -86,7 +86,7 @@ def test_normalized(spark, tmp_path):
 def test_search_metrics(spark, tmp_path, metric):
     c = Collection.open(spark, f"file://{tmp_path}/{metric}", 4, metric)
     v = {"v1": [1, 0, 0, 0], "v2": [0, 1, 0, 0], "v3": [1, 1, 0, 0], "v4": [-1, 0, 0, 0], "zero": [0, 0, 0, 0]}
-    c.insert(list(v), list(v.values()), [{"i": i} for i in range(3)])
+    c.insert(list(v), list(v.values()), [{"i": i} for i in range(len(v))])
     q = np.array([1, 0.25, 0, 0])
     x = {k: np.array(a, float) for k, a in v.items()}
     exact = {"ip": lambda a: q @ a, "cosine": lambda a: 0.0 if not a.any() else q @ a / np.linalg.norm(q) / np.linalg.norm(a), "l2": lambda a: np.linalg.norm(q - a)}[metric]
