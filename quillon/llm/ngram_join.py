@@ -19,6 +19,11 @@ words than n has one gram, all its words). The result is exact but for collision
 4. Each block receives its sets once (a large group is cut in a grid of blocks), bounds the overlaps
    by bit counts and intersects the sorted sets of the pairs that are left exactly: one set's grams, as
    ranks in the block's vocabulary, are marked and looked up for all its partners together.
+5. Groups of near copies grow with the corpus, and their pairs as the square. Where min-hash bands show such a group,
+   the grams of most of a sample of it are its centre C. By the triangle inequality A and B make a pair for certain if
+   |A ^ C| + |B ^ C| <= (1 - t) / (1 + t) (|A| + |B|): if their slacks sum to 0 or more. Such pairs are counted by
+   sorting the slacks, never listed; all others go through steps 2 to 4. Bands, centres and their limits decide only
+   which pairs are spared the comparison, never the result.
 
 Documents with equal sets are one set for all of this, so a group of thousands of copies costs one.
 ``duplicate_classes`` has a row for every document: the class it is in (documents connected by pairs; its smallest id)
@@ -35,13 +40,14 @@ empty results; columns other than id and text don't count.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.bytetext import Hasher, U, buffers, fold, mix, slices, words
@@ -58,6 +64,8 @@ DENSE = 64
 HOT_SHARE = 1 / 4096
 #: Postings that a tile, documents that a block, and pairs that a block of one group are meant to hold.
 TILE_POSTINGS, BLOCK_DOCS, GRID_PAIRS = 1_200_000, 1000, 400_000
+#: Min-hash bands of a set and rows of a band; distinct sets of one band that make a centre, the most centres, their sample, and their grams altogether.
+BANDS, BAND_ROWS, CENTRE_SETS, MAX_CENTRES, CENTRE_SAMPLE, CENTRE_GRAMS = 4, 3, 64, 1024, 48, 2_000_000
 _GRAM_BITS, _LEVEL_BITS, _DOC_BITS = 44, 7, 13
 _GRAM = U((1 << _GRAM_BITS) - 1)
 _SLICE = 1 << 19
@@ -117,6 +125,99 @@ def _set_ids(g: np.ndarray, at: np.ndarray) -> np.ndarray:
     return sid
 
 
+def band_keys(g: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each set that isn't empty one key for each band: similar sets often share one."""
+    first = at[:-1][np.diff(at) > 0]
+    h, out = mix(g + U(0x3C6EF372)), np.zeros((len(first), BANDS), U)
+    for k in range(BANDS * BAND_ROWS if len(first) else 0):
+        low = np.minimum.reduceat(h * U(0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF), first)
+        out[:, k // BAND_ROWS] = mix(out[:, k // BAND_ROWS] * U(0x9E3779B97F4A7C15) + low + U(k))
+    return out
+
+
+def slack(size: np.ndarray, away: np.ndarray, threshold: float) -> np.ndarray:
+    """16 times what a set's distance from its centre leaves of its share of the distance allowed in a pair, rounded down."""
+    return np.floor((1 - threshold) / (1 + threshold) * size * 16 - 1e-6).astype(np.int64) - 16 * away
+
+
+class Centres:
+    """Centres of groups of near copies, by the keys of bands."""
+
+    def __init__(self, keys: np.ndarray, which: np.ndarray, sets: list[np.ndarray]):
+        order = np.argsort(keys)
+        self.keys, self.which, self.sets = keys[order], which[order], sets
+
+    def nearest(self, g: np.ndarray, at: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """(centre from 1 on, slack) of each set; 0, 0 for sets that have none near."""
+        size = np.diff(at)
+        centre, left = np.zeros(len(size), np.uint16), np.zeros(len(size), np.int64)
+        has, keys = np.flatnonzero(size > 0), band_keys(g, at)
+        if not len(has) or not len(self.keys):
+            return centre, left
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        row, band = np.nonzero(self.keys[place] == keys)
+        best: dict[int, tuple[int, int]] = {}
+        for d, c in sorted(set(zip(has[row].tolist(), self.which[place[row, band]].tolist()))):
+            x, own = self.sets[c], g[at[d] : at[d + 1]]
+            i = np.minimum(np.searchsorted(x, own), len(x) - 1)
+            best[d] = min(best.get(d, (1 << 60, 0)), (len(own) + len(x) - 2 * int((x[i] == own).sum()), c))
+        for d, (away, c) in best.items():
+            if away <= 2 * (1 - threshold) / (1 + threshold) * size[d]:
+                centre[d], left[d] = c + 1, slack(size[d], away, threshold)
+        return centre, left
+
+
+def find_centres(own: DataFrame, known: DataFrame, n: int, least: int) -> Centres | None:
+    """Centres of the largest groups of at least so many distinct sets that share a band."""
+    banded = known.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")).select("doc_id", F.explode("keys").alias("key"))
+    banded = written(banded, "join-bands")
+    hot = banded.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= least).orderBy(F.desc("c"), "key").limit(MAX_CENTRES)
+    hot = written(hot, "join-hot")
+    count = {r["key"]: r["c"] for r in hot.collect()}
+    if not count:
+        return None
+    order = Window.partitionBy("key").orderBy(F.xxhash64("doc_id"), "doc_id")
+    sample = banded.join(F.broadcast(hot.select("key")), "key").withColumn("i", F.row_number().over(order)).where(F.col("i") <= CENTRE_SAMPLE).select("key", "doc_id")
+    sample = written(sample, "join-sample")
+    most = CENTRE_GRAMS // len(count)
+
+    def centre(rows: pd.DataFrame) -> pd.DataFrame:
+        batch = pa.RecordBatch.from_pydict({"text": pa.array(list(rows["text"]), pa.string())})
+        held = [sets(data, offsets, n)[1] for _, _, _, data, offsets in _each([batch])]
+        g, c = np.unique(np.concatenate(held), return_counts=True)
+        g = g[2 * c > len(rows)]
+        return pd.DataFrame({"key": [rows["key"].iloc[0]], "g": [_packed(g)]})[: int(0 < len(g) <= most)]
+
+    got = own.join(F.broadcast(sample), "doc_id").groupBy("key").applyInPandas(centre, "key long, g binary").collect()
+    # Bands of one group have about the same centre, and must have one and the same for their pairs to be counted.
+    at: dict[int, list[int]] = {}
+    kept: list[np.ndarray] = []
+    keys, which = [], []
+    for key, blob in sorted(got, key=lambda r: (-count[r[0]], r[0])):
+        g = _unpacked(bytes(blob))
+        met = Counter(k for x in g.tolist() for k in at.get(x, ()))
+        c, o = max(met.items(), key=lambda x: (x[1], -x[0]), default=(0, 0))
+        if not o or o < 0.6 * (len(g) + len(kept[c]) - o):
+            c = len(kept)
+            kept.append(g)
+            for x in g.tolist():
+                at.setdefault(x, []).append(c)
+        keys.append(key)
+        which.append(c)
+    return Centres(np.array(keys, np.int64).view(U), np.array(which, np.int64), kept) if keys else None
+
+
+def certain_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """(u, v, links) of the sets of one centre: with how many documents each makes a pair for certain, and the set of the most slack, which is one of them."""
+    left, docs, rep = (rows[x].to_numpy() for x in ("slack", "docs", "rep"))
+    order = np.argsort(left, kind="stable")
+    left, docs, rep = left[order], docs[order], rep[order]
+    after = np.concatenate([np.cumsum(docs[::-1])[::-1], [0]])
+    links = after[np.searchsorted(left, -left, side="left")] - np.where(left >= 0, docs, 0)
+    has = links > 0
+    return pd.DataFrame({"u": rep[has], "v": np.full(int(has.sum()), rep[-1]), "links": links[has].astype(np.int64)})
+
+
 def _packed(g: np.ndarray) -> bytes:
     return (g & U(0xFFFFFFFF)).astype(np.uint32).tobytes() + (g >> U(32)).astype(np.uint16).tobytes()
 
@@ -197,27 +298,29 @@ def _prefix(size: np.ndarray, share: float) -> np.ndarray:
     return (size - np.ceil(share * size - 1e-9) + 1).astype(np.int64)
 
 
-_RECORD = (("sid", U), ("before", np.uint32), ("mark", np.uint32), ("size", np.uint32), ("count", np.uint16))
+_RECORD = (("sid", U), ("before", np.uint32), ("mark", np.uint32), ("size", np.uint32), ("centre", np.uint16), ("slack", np.int32), ("count", np.uint16))
 
 
 def _mark_value(tile: np.ndarray, gram: np.ndarray) -> np.ndarray:
     return (mix((tile << U(32)) | gram) >> U(32)).astype(np.uint32)
 
 
-def _emit(n: int, threshold: float, tiles: int, levels):
+def _emit(n: int, threshold: float, tiles: int, levels, centres=None):
     """Prefix postings of a partition, one blob for each tile. A blob has a record for every document (set id, size,
-    number of grams, the gram that precedes its first one anywhere, the mark) and then the grams, 31 bits and whether an index gram."""
+    number of grams, the gram that precedes its first one anywhere, the mark, its centre and slack) and then the grams, 31 bits and
+    whether an index gram. Tile -1 - x has the set ids, centres and slacks of sets that have a centre."""
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        tile, sid, before, mark, size, count, gram = (np.concatenate(x) for x in zip(*held))
+        tile, *fields, count, gram = (np.concatenate(x) for x in zip(*held))
         first = np.cumsum(count, dtype=np.int64) - count
         order = np.argsort(tile, kind="stable")
-        tile, sid, before, mark, size, first, count = (x[order] for x in (tile, sid, before, mark, size, first, count))
+        tile, first, count = tile[order], first[order], count[order]
+        fields = [*(x[order] for x in fields), count]
         to = np.cumsum(count, dtype=np.int64)
         gram = gram[np.repeat(first - (to - count), count) + np.arange(len(gram))]
         cut = np.concatenate([[0], np.flatnonzero(tile[1:] != tile[:-1]) + 1, [len(tile)]])
         at = np.concatenate([[0], to])
-        blobs = [np.uint32(y - x).tobytes() + sid[x:y].tobytes() + before[x:y].tobytes() + mark[x:y].tobytes() + size[x:y].tobytes() + count[x:y].tobytes() + gram[at[x] : at[y]].tobytes() for x, y in zip(cut[:-1], cut[1:])]
+        blobs = [np.uint32(y - x).tobytes() + b"".join(f[x:y].tobytes() for f in fields) + gram[at[x] : at[y]].tobytes() for x, y in zip(cut[:-1], cut[1:])]
         return pa.RecordBatch.from_pydict({"tile": pa.array([int(tile[x]) for x in cut[:-1]], pa.int32()), "p": pa.array(blobs, pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,6 +331,11 @@ def _emit(n: int, threshold: float, tiles: int, levels):
                 continue
             at = _bounds(doc, len(own) - 1)
             sid, size = _set_ids(g, at), np.diff(at)
+            centre, left = centres.value.nearest(g, at, threshold) if centres else (np.zeros(len(size), np.uint16), np.zeros(len(size), np.int64))
+            near = np.flatnonzero(centre)
+            if len(near):
+                blob = np.concatenate([sid[near], centre[near].astype(U), left[near].view(U)]).tobytes()
+                yield pa.RecordBatch.from_pydict({"tile": pa.array([-1 - int(sid[near[0]] % U(64))], pa.int32()), "p": pa.array([blob], pa.binary())})
             take = np.where(size > 0, _prefix(size, threshold), 0)
             index = np.where(size > 0, _prefix(size, 2 * threshold / (1 + threshold)), 0)
             rank = np.arange(len(g)) - at[doc]
@@ -250,7 +358,7 @@ def _emit(n: int, threshold: float, tiles: int, levels):
             inside = np.arange(len(use)) - np.maximum.accumulate(np.where(new, np.arange(len(use)), 0))
             head = np.flatnonzero(new | (inside % 65535 == 0))
             r = d[head]
-            held.append((tile[head], sid[r], before[use[head]], mark[r], size[r].astype(np.uint32), np.diff(np.concatenate([head, [len(use)]])).astype(np.uint16), gram))
+            held.append((tile[head], sid[r], before[use[head]], mark[r], size[r].astype(np.uint32), centre[r], left[r].astype(np.int32), np.diff(np.concatenate([head, [len(use)]])).astype(np.uint16), gram))
             held_size += len(use)
             if held_size > 300_000:
                 yield flush(held)
@@ -262,22 +370,22 @@ def _emit(n: int, threshold: float, tiles: int, levels):
 
 
 def _decoded(blobs) -> tuple[np.ndarray, ...]:
-    """(gram, is an index gram, set id, size, predecessor, mark) of every posting. The predecessor is the document's gram before
+    """(gram, is an index gram, set id, size, predecessor, mark, centre, slack) of every posting. The predecessor is the document's gram before
     in the tile, or for its first the one before anywhere; 0 if there is none. Both kinds differ in their high bits."""
-    parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+    parts: list[list[np.ndarray]] = [[] for _ in range(8)]
     for b in blobs:
         n, at = int(np.frombuffer(b, np.uint32, 1)[0]), 4
         fields = []
         for _, t in _RECORD:
             fields.append(np.frombuffer(b, t, n, at))
             at += np.dtype(t).itemsize * n
-        sid, before, mark, size, count = fields
+        sid, before, mark, size, centre, left, count = fields
         packed = np.frombuffer(b, np.uint32, -1, at)
         gram = packed >> np.uint32(1)
         previous = np.empty(len(gram), U)
         previous[1:] = gram[:-1].astype(U) | U(1 << 41)
         previous[np.cumsum(count, dtype=np.int64) - count] = np.where(before > 0, before.astype(U) | U(1 << 40), U(0))
-        for held, x in zip(parts, (gram, (packed & np.uint32(1)).astype(bool), np.repeat(sid, count), np.repeat(size, count), previous, np.repeat(mark, count))):
+        for held, x in zip(parts, (gram, (packed & np.uint32(1)).astype(bool), np.repeat(sid, count), np.repeat(size, count), previous, np.repeat(mark, count), np.repeat(centre, count), np.repeat(left, count))):
             held.append(x)
     return tuple(np.concatenate(x) for x in parts)
 
@@ -290,32 +398,78 @@ def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return a[new], b[new]
 
 
+def _runs(gram: np.ndarray, lo: np.ndarray, centre: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(i, start, number, place): posting i is to meet the postings place[start : start + number]. Postings of one gram meet within
+    their bands of sizes; those of one centre only where their slacks leave it open, whatever their sizes."""
+    every = np.arange(len(gram))
+    if not centre.any():
+        return every, lo, np.maximum(every - lo, 0), every
+    # Few grams have postings with a centre; only these need the rest.
+    heads = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    special = np.repeat(np.logical_or.reduceat(centre > 0, heads), np.diff(np.concatenate([heads, [len(gram)]])))
+    plain, special = np.flatnonzero(~special & (every > lo)), np.flatnonzero(special)
+    i, start, many, place = _centred_runs(gram[special], np.searchsorted(special, lo[special]), centre[special], left[special])
+    use = many > 0
+    i, start, many = special[i[use]], start[use] + len(every), many[use]
+    return np.concatenate([plain, i]), np.concatenate([lo[plain], start]), np.concatenate([(plain - lo[plain]), many]), np.concatenate([every, special[place]])
+
+
+def _centred_runs(gram: np.ndarray, lo: np.ndarray, centre: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
+    every = np.arange(len(gram))
+    by = np.lexsort((every, centre, gram))
+    new = np.ones(len(by), bool)
+    new[1:] = (gram[by][1:] != gram[by][:-1]) | (centre[by][1:] != centre[by][:-1])
+    part = np.empty(len(by), np.int64)
+    part[by] = np.cumsum(new) - 1
+    heads = by[new]
+    # The parts of a posting's gram are numbered one after another.
+    first, last = np.searchsorted(gram[heads], gram, side="left"), np.searchsorted(gram[heads], gram, side="right")
+    n = last - first
+    i = np.repeat(every, n)
+    p = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(len(i))
+    meets = (p != part[i]) | (centre[i] == 0)
+    i, p = i[meets], p[meets]
+    key, m = part[by] * (len(by) + 1) + by, len(by) + 1
+    start = np.searchsorted(key, p * m + lo[i])
+    many = np.maximum(np.searchsorted(key, p * m + i) - start, 0)
+    # Within a part of one centre, by slack: each posting and those before it that its slack doesn't make up for.
+    order = np.lexsort((left, part))
+    values, level = np.unique(np.concatenate([left, -left]), return_inverse=True)
+    key = part[order] * (len(values) + 1) + level[: len(left)][order]
+    head = np.searchsorted(part[order], part[order])
+    open_to = np.minimum(np.searchsorted(key, part[order] * (len(values) + 1) + level[len(left) :][order]), every)
+    own = centre[order] > 0
+    return np.concatenate([i, order[own]]), np.concatenate([start, len(by) + head[own]]), np.concatenate([many, np.maximum(open_to - head, 0)[own]]), np.concatenate([by, order])
+
+
 def tile_pairs(blobs, tile: int, threshold: float, step: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs (smaller set id, larger set id) of a tile's postings. Within a gram, documents are sorted by size,
     and each meets the band of shorter ones that can reach the threshold at their index grams. A pair of equal marks counts
-    at the marked gram only; of others, a pair whose predecessors are equal has met at these."""
-    gram, index, sid, size, before, mark = _decoded(blobs)
+    at the marked gram only; of others, a pair whose predecessors are equal has met at these. Pairs that are certain by their
+    centre aren't candidates, and aren't looked at."""
+    gram, index, sid, size, before, mark, centre, left = _decoded(blobs)
     order = np.lexsort((sid, size, gram))
     gram, sid, size = gram[order], sid[order], size[order]
     new = np.ones(len(gram), bool)
     new[1:] = (gram[1:] != gram[:-1]) | (sid[1:] != sid[:-1])
     order = order[new]
-    gram, sid, size, index, before, mark = gram[new].astype(U), sid[new], size[new].astype(U), index[order], before[order], mark[order]
+    gram, sid, size, index, before, mark, centre, left = gram[new].astype(U), sid[new], size[new].astype(U), index[order], before[order], mark[order], centre[order], left[order]
     marked = _mark_value(U(tile), gram) == mark
     gram <<= U(32)
     lo = np.searchsorted(gram | size, gram | np.ceil(threshold * size - 1e-9).astype(U), side="left")
-    many = np.maximum(np.arange(len(gram)) - lo, 0)
+    one, start, many, place = _runs(gram >> U(32), lo, centre, left)
     ends = np.cumsum(many)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     at = 0
-    while at < len(gram):
+    while at < len(one):
         base = ends[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(ends, base + step, side="right")))
         m = many[at:to]
         if m.sum():
-            i = np.repeat(np.arange(at, to), m)
-            j = lo[i] + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
-            ok = index[j] & np.where(mark[i] == mark[j], marked[i], (before[i] != before[j]) | (before[i] == 0)) & (sid[i] != sid[j])
+            i = np.repeat(one[at:to], m)
+            j = place[np.repeat(start[at:to] - (np.cumsum(m) - m), m) + np.arange(len(i))]
+            i, j = np.maximum(i, j), np.minimum(i, j)
+            ok = (j >= lo[i]) & index[j] & np.where(mark[i] == mark[j], marked[i], (before[i] != before[j]) | (before[i] == 0)) & (sid[i] != sid[j])
             i, j = i[ok], j[ok]
             if len(i):
                 x, y = sid[i], sid[j]
@@ -460,7 +614,7 @@ def _block_components(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarr
         least = new
 
 
-def _near(docs: DataFrame, threshold: float, n: int, pairs_out: bool, sketch: int | None = None, id_col: str = "doc_id", text_col: str = "text", tile_postings: int = TILE_POSTINGS, block_docs: int = BLOCK_DOCS, grid_pairs: int = GRID_PAIRS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _near(docs: DataFrame, threshold: float, n: int, pairs_out: bool, sketch: int | None = None, id_col: str = "doc_id", text_col: str = "text", tile_postings: int = TILE_POSTINGS, block_docs: int = BLOCK_DOCS, grid_pairs: int = GRID_PAIRS, centre_sets: int = CENTRE_SETS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents with their sets (doc_id, sid), the sets (sid, rep, size, docs), and between sets either the pairs
     (doc_a, doc_b, jaccard) or for each block and set (u, v, links): the smallest id connected in the block, and how many documents make a pair with it there."""
     spark = docs.sparkSession
@@ -477,22 +631,33 @@ def _near(docs: DataFrame, threshold: float, n: int, pairs_out: bool, sketch: in
             at = _bounds(doc, hi - lo)
             sid, size = _set_ids(g, at), np.diff(at)
             has = size > 0
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).filter(pa.array(has)), pa.array(sid[has].view(np.int64)), pa.array(size[has].astype(np.int64)), pa.array(list(compress(signatures(g, at), has)), pa.binary())], ["doc_id", "sid", "size", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).filter(pa.array(has)), pa.array(sid[has].view(np.int64)), pa.array(size[has].astype(np.int64)), pa.array(list(compress(signatures(g, at), has)), pa.binary()), pa.array(list(band_keys(g, at).view(np.int64)), pa.list_(pa.int64()))], ["doc_id", "sid", "size", "sig", "keys"])
 
-    known = written(own.mapInArrow(ids, "doc_id long, sid long, size long, sig binary"), "join-ids")
+    known = written(own.mapInArrow(ids, "doc_id long, sid long, size long, sig binary, keys array<long>"), "join-ids")
     grams = known.agg(F.sum("size")).first()[0] or 0
     # Repeated rows count once: ids are few bytes, so a set's are made distinct before they are counted.
     groups = written(known.groupBy("sid", "doc_id").agg(F.max("size").alias("size")).groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"), F.count("*").alias("docs")), "join-sets")
     tiles = max(MIN_TILES, -(-int(grams * (1 - threshold)) // tile_postings))
 
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = tile_pairs(rows["p"], int(rows["tile"].iloc[0]), threshold)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+    # The pairs themselves are listed all.
+    centres = None if pairs_out else find_centres(own, known, n, centre_sets)
+    centres = centres and spark.sparkContext.broadcast(centres)
 
-    postings = texts.mapInArrow(_emit(n, threshold, tiles, levels), "tile int, p binary")
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        tile = int(rows["tile"].iloc[0])
+        if tile < 0:
+            a, c, b = np.concatenate([np.frombuffer(x, U).reshape(3, -1) for x in rows["p"]], axis=1)
+        else:
+            a, b = tile_pairs(rows["p"], tile, threshold)
+            c = np.zeros(len(a), U)
+        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64), "centre": c.astype(np.int64)})
+
+    postings = texts.mapInArrow(_emit(n, threshold, tiles, levels, centres), "tile int, p binary")
     # Several tiles a task, so that a pair that meets in many tiles is mostly made one before it is shuffled.
     postings = postings.repartition(max(8, tiles // 4), "tile")
-    met = written(postings.groupBy("tile").applyInPandas(meet, "a long, b long").distinct(), "join-met")
+    met = written(postings.groupBy("tile").applyInPandas(meet, "a long, b long, centre long").distinct(), "join-met")
+    near = met.where("centre > 0").select(F.col("a").alias("sid"), F.col("b").alias("slack"), "centre")
+    met = met.where("centre = 0").select("a", "b")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -566,7 +731,10 @@ def _near(docs: DataFrame, threshold: float, n: int, pairs_out: bool, sketch: in
         least, has = _block_components(a, b, ids), np.flatnonzero(links > 0)
         return pd.DataFrame({"u": ids[has], "v": least[has], "links": links[has].astype(np.int64)})
 
-    return known, groups, pairs.groupBy("k").cogroup(sent.groupBy("block")).applyInPandas(verify, shape)
+    out = pairs.groupBy("k").cogroup(sent.groupBy("block")).applyInPandas(verify, shape)
+    if centres:
+        out = out.unionByName(near.join(groups.select("sid", "rep", "docs"), "sid").groupBy("centre").applyInPandas(certain_links, shape))
+    return known, groups, out
 
 
 def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFrame:

@@ -89,6 +89,43 @@ def test_nested_sets_beyond_16_bits(spark, make_docs):
     assert got == brute(rows, J.THRESHOLD, J.N) and len(got) == 4
 
 
+def test_certain_pairs_of_near_copies_are_counted_and_not_listed(spark, make_docs, prose, monkeypatch):
+    """Two groups of near copies, of which some are at the threshold's edge, copies of copies and documents alone."""
+    rows = []
+    for g in range(2):
+        base = prose(g, words=150)
+        rows += [(1000 * g + j, near(base, (0.0, 0.01, 0.03, 0.05, 0.09, 0.14)[j % 6], 1000 * g + j)) for j in range(120)]
+        rows += [(1000 * g + 500 + j, rows[-1 - 7 * j][1]) for j in range(8)]
+        rows += [(1000 * g + 600 + j, " ".join(base.split(" ")[: 100 + 4 * j])) for j in range(12)]
+    rows += [(5000 + j, prose(50 + j, words=80)) for j in range(30)]
+    seen, written = {}, J.written
+
+    def noted(df, name):
+        seen[name] = written(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(J, "written", noted)
+    got = [tuple(r) for r in J.duplicate_classes(make_docs(rows), J.THRESHOLD, 2).collect()]
+    expected = brute_classes(rows, J.THRESHOLD, 2)
+    assert sorted(got) == sorted(expected)
+    assert seen["join-met"].count() < 0.25 * sum(x[2] for x in expected)
+
+
+def test_runs_leave_out_certain_pairs_only():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        gram = np.sort(rng.integers(0, 6, 80)).astype(np.uint64)
+        first = np.searchsorted(gram, gram)
+        lo = np.minimum(first + rng.integers(0, 5, 80), np.arange(80))
+        centre = rng.integers(0, 3, 80).astype(np.uint16)
+        left = np.where(centre > 0, rng.integers(-9, 9, 80), 0)
+        one, start, many, place = J._runs(gram, lo, centre, left)
+        met = [tuple(sorted((int(i), int(j)))) for i, s, m in zip(one, start, many) for j in place[s : s + m]]
+        met = [(j, i) for j, i in met if j >= lo[i]]
+        assert len(met) == len(set(met))
+        assert set(met) == {(j, i) for i in range(80) for j in range(lo[i], i) if centre[i] != centre[j] or centre[i] == 0 or left[i] + left[j] < 0}
+
+
 def test_empty(spark, make_docs):
     for rows in ([], [(1, None)], [(1, "alone here")]):
         assert J.jaccard_pairs(make_docs(rows)).count() == 0
