@@ -1,10 +1,13 @@
 """Layouts and sizes of larger tables, in small: empty splits, many blocks, many chunks."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import ivf
+from quillon.operators import ivf, topk
 
 
 def frame(spark, v, kind="long"):
@@ -26,3 +29,65 @@ def test_training_with_empty_partitions(shipped):
     c = ivf.train(split, 4, rounds=1, seed_order=F.col("id"))
     at = (v @ v[:4].T).argmax(axis=1)
     assert np.allclose(c, [v[at == i].mean(axis=0) for i in range(4)])
+
+
+def brute(metric, q, v, ids, k):
+    """(query, id, score) by sorting all pairs."""
+    s = q @ v.T
+    if metric == "l2":
+        s = np.sqrt(((q[:, None] - v[None]) ** 2).sum(axis=2))
+    if metric == "cosine":
+        size = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None]
+        s = np.divide(s, size, out=np.zeros_like(s), where=size > 0)
+    s = np.round(s, 6) + 0.0
+    order = np.lexsort((np.broadcast_to(topk.place_of(ids), s.shape), s if metric == "l2" else -s), axis=1)[:, :k]
+    return [(i, ids[int(j)].as_py(), round(float(s[i, j]), 6)) for i in range(len(q)) for j in order[i]]
+
+
+@pytest.mark.parametrize("metric", ["ip", "cosine", "l2"])
+@pytest.mark.parametrize("case", ["random", "ties", "few", "zero", "rising"])
+def test_best_of_blocks(metric, case, monkeypatch):
+    for name, value in (("TILE", 7), ("STRIP", 50), ("CANDIDATES", 64)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(1)
+    v, q = rng.standard_normal((400, 6)), rng.standard_normal((30, 6))
+    if case == "ties":
+        v, q = np.sign(v), np.sign(q)
+    elif case == "few":
+        v = v[:3]
+    elif case == "zero":
+        v[::3], q[::4] = 0, 0
+    elif case == "rising":
+        v = v * np.arange(1, 401)[:, None]
+    own = rng.permutation(len(v))
+    for ids in (pa.array(own), pa.array([f"x{i}" for i in own])):
+        for blocks, k in ((1, 1), (1, 10), (3, 10)):
+            best = topk.Best(metric, topk.directed(metric, q), k, 6)
+            for p in np.array_split(np.arange(len(v)), blocks):
+                best.add(ids.take(pa.array(p)), topk.directed(metric, v[p]))
+            r, found, s, _ = best.found()
+            assert [(a, b, round(c, 6)) for a, b, c in zip(r.tolist(), found.to_pylist(), s.tolist())] == brute(metric, q, v, ids, k)
+
+
+def test_memory_of_many_queries():
+    rng = np.random.default_rng(2)
+    q, v = rng.standard_normal((20_000, 8)), rng.standard_normal((10_000, 8))
+    tracemalloc.start()
+    try:
+        topk.block_best("ip", v, pa.array(np.arange(len(v))), q, 5, 6)
+        assert tracemalloc.get_traced_memory()[1] < 100e6  # all pairs have 1,600 MB
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("vectors, queries", [(300, 200), (300, 20)])
+def test_search_in_blocks(shipped, vectors, queries, monkeypatch):
+    """Vectors broadcast and queries dealt, and the other way round, in several blocks each."""
+    monkeypatch.setattr(topk, "SMALL_PAIRS", 1000)
+    rng = np.random.default_rng(4)
+    v = np.round(rng.standard_normal((vectors, 4)), 1)  # with ties
+    df = frame(shipped, v, "string")
+    q = frame(shipped, v[:queries]).select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    got = topk.search_blocks(df, q, 6, "l2", broadcast_bytes=2000, offset=2).collect()
+    want = brute("l2", v[:queries], v, pa.array([str(i) for i in range(vectors)]), 8)
+    assert sorted((r["query_id"], r["rank"], r["id"], round(r["score"], 6)) for r in got) == sorted((a, i % 8 + 1, b, c) for i, (a, b, c) in enumerate(want) if i % 8 >= 2)
