@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 _BREAK = r"[^\p{IsAlphabetic}\p{N}]+"
 
 
+def pieces(text: Column | str) -> Column:
+    """The tokens, and empty texts before and after them where the text begins or ends with something else."""
+    return F.split(F.lower(text), _BREAK)
+
+
 def tokenize(text: Column | str) -> Column:
-    return F.filter(F.split(F.lower(text), _BREAK), lambda t: t != "")
+    return F.filter(pieces(text), lambda t: t != "")
 
 
 def token_count(text: Column | str) -> Column:

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import ivf, maxsim, topk
+from quillon.operators import bm25, filters, ivf, maxsim, topk
 
 
 def frame(spark, v, kind="long"):
@@ -116,3 +116,28 @@ def test_maxsim_in_blocks(shipped, vectors, queries, block, oversample, monkeypa
         best = sorted((-round(float(rows[:, doc == x].max(axis=1).sum()), 6), x) for x in found)[:3]
         want |= {(a, i + 1): (x, -t) for i, (t, x) in enumerate(best)}
     assert got == want
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_facets_parse_once_and_keep_their_form(spark):
+    texts = ['{"a": 1}', '{"a": 1.0}', '{"a": "1"}', '{"a": null}', '{"a": true}', '{"a": [1, {"b": 2}]}', '{"a": {"c": 1}}', "{}", None, "not json", '{"a": ""}']
+    df = spark.createDataFrame([(t,) for t in texts], "metadata string")
+    out = filters.facet(df, "a")
+    old = df.select(filters.field_text("metadata", "a").alias("value")).where("value is not null").groupBy("value").count()
+    assert {tuple(r) for r in out.collect()} == {tuple(r) for r in old.collect()}
+    parses = lambda df: plan(df.select("*")).lower().count("parsejson")
+    assert 0 < parses(filters.facet(df, "a")) <= 2 < parses(df.select(filters.field_text("metadata", "a").alias("value")))
+
+
+def test_texts_are_split_once(spark):
+    texts = ["", "...", " A b, a! ", "b b b c", "c", None, "-x-", "Éa é"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, document string")
+    asked = spark.createDataFrame([(0, "a B"), (1, "é nothing x"), (2, "")], "query_id int, query_text string")
+    index = bm25.Bm25.build(docs)
+    plain = bm25.Bm25(index.table, index.stats, "id")
+    got, want = index.search_many(asked, 5, digits=6), plain.search_many(asked, 5, digits=6)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count()
+    assert "document" not in plan(got)  # what was found is kept; the texts aren't read again
