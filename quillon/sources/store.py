@@ -204,8 +204,7 @@ class Collection:
 
     def facet(self, field: str, filt: dict | None = None) -> DataFrame:
         """(value, count) of a field; other values than strings as JSON text, missing ones left out."""
-        value = filters.field_text("metadata", field)
-        return self._filtered(filt).select(value.alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("count"))
+        return filters.facet(self._filtered(filt), field)
 
     def stats(self) -> dict:
         live = self.count()
