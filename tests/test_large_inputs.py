@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import bm25, filters, ivf, maxsim, topk
+from quillon.operators import bm25, filters, graph, ivf, maxsim, topk
 
 
 def frame(spark, v, kind="long"):
@@ -141,3 +141,21 @@ def test_texts_are_split_once(spark):
     got, want = index.search_many(asked, 5, digits=6), plain.search_many(asked, 5, digits=6)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count()
     assert "document" not in plan(got)  # what was found is kept; the texts aren't read again
+
+
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_graph_in_blocks_is_the_joined_one(shipped, metric, monkeypatch):
+    v = np.round(np.random.default_rng(6).standard_normal((120, 4)), 2)
+    df = frame(shipped, v, "string")
+    q = df.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+
+    def made():
+        edges = graph.build(df, 6, 1, metric)
+        walked = graph.search(df, edges, q, 5, beam=8, hops=2, metric=metric)
+        return [sorted((*r[:2], round(r[2], 6), *r[3:]) for r in x.collect()) for x in (edges.select("node", "neighbor", "score"), walked.select("query_id", "id", "score", "rank"))]
+
+    monkeypatch.setattr(graph, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(graph, "ROWS", 50)
+    blocked = made()
+    monkeypatch.setattr(graph, "BLOCK_NODES", 0)
+    assert blocked == made() and len(blocked[0]) == 720 and len(blocked[1]) == 600
