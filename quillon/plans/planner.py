@@ -24,6 +24,8 @@ SELECTIVE = 20
 
 #: Postings are dealt to so many folders by the hash of the token; a search reads those of its tokens.
 TOKEN_BUCKETS = 64
+#: Documents whose share of a bucket one task writes, and documents that one task splits.
+BUCKET_DOCUMENTS, TASK_DOCUMENTS = 50_000, 5_000
 
 
 class Searcher:
@@ -93,11 +95,19 @@ class Searcher:
     def create_text_index(self) -> None:
         """Stores the postings and lengths of all documents; later writes are added at search until the next build."""
         rows, path = self.collection.rows().select("id", "seq", "document"), self._path()
-        own = bm25.postings(rows, "id", "document", "seq").withColumn("bucket", self._bucket("token"))
-        own.repartition("bucket").sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/postings")
+        own = bm25.postings(self._dealt(rows, n := rows.count()), "id", "document", "seq").withColumn("bucket", self._bucket("token"))
+        # A task writes the share of a bucket of at most so many documents, a bucket in several files if there are more.
+        shares = -(-n // BUCKET_DOCUMENTS)
+        dealt = own.repartition("bucket") if shares <= 1 else own.repartition(TOKEN_BUCKETS * shares, "bucket", F.pmod(F.xxhash64("id"), F.lit(shares)))
+        dealt.sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/postings")
         bm25.tokenized(rows, "document", "id", "seq").select("id", "seq", F.size("ts").alias("dl")).write.parquet(f"{path}/lengths")
         self._keep("text", {"path": path})
 
+    @staticmethod
+    def _dealt(rows: DataFrame, n: int) -> DataFrame:
+        """n documents by the hash of the id, so few a task that their tokens are counted in memory, without another shuffle."""
+        return rows if n <= TASK_DOCUMENTS else rows.repartition(-(-n // TASK_DOCUMENTS), "id")
+
     @staticmethod
     def _bucket(token: str):
         return F.pmod(F.xxhash64(token), F.lit(TOKEN_BUCKETS)).cast("int")
@@ -115,7 +125,7 @@ class Searcher:
         if c.manifest["next_seq"] != meta["next_seq"]:
             rows = c.rows().select("id", "seq", "document")
             live, since = rows.select("id", "seq").where(F.col("seq") < meta["next_seq"]), rows.where(F.col("seq") >= meta["next_seq"])
-            own = own.join(live, ["id", "seq"], "left_semi").select("token", "id", "dl", "tf").unionByName(bm25.postings(since, "id", "document"))
+            own = own.join(live, ["id", "seq"], "left_semi").select("token", "id", "dl", "tf").unionByName(bm25.postings(self._dealt(since, since.count()), "id", "document"))
             lengths = lengths.join(live, ["id", "seq"], "left_semi").select("dl").unionByName(bm25.tokenized(since, "document").select(F.size("ts").alias("dl")))
         return bm25.Bm25(own.select("token", "id", "dl", "tf"), bm25.statistics(lengths), "id")
 

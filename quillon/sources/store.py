@@ -31,7 +31,7 @@ MODES = ("insert", "update", "upsert")
 MAX_ID_BYTES = 65_535
 AUTO_COMPACT = 64
 #: Batches up to so many rows are numbered by one task; larger ones by range partitions.
-NUMBER_ROWS = 1_000_000
+NUMBER_ROWS = 100_000
 
 
 class Files:
@@ -273,11 +273,14 @@ class Collection:
             self.files.delete(f"{staged}-numbered")
 
     def _numbered(self, rows: DataFrame, count: int, path: str) -> DataFrame:
-        """rows with ``n``, 0, 1, ... in the order of pos, whatever pos is."""
+        """rows with ``n``, 0, 1, ... in the order of pos, whatever pos is. Only pos and id are put in order; vectors and
+        documents are joined by id, which is unique among the rows that are written."""
+        keys = rows.select("pos", "id")
         if count <= NUMBER_ROWS:
-            return rows.withColumn("n", (F.row_number().over(Window.orderBy("pos", "id")) - 1).cast("long"))
+            numbered = keys.withColumn("n", (F.row_number().over(Window.orderBy("pos", "id")) - 1).cast("long")).select("id", "n")
+            return rows.join(numbered, "id")
         # Range partitions in order; a row's number is its place in the partition and the rows of those before.
-        rows.repartitionByRange("pos", "id").sortWithinPartitions("pos", "id").withColumn("m", F.monotonically_increasing_id()).write.parquet(path)
+        keys.repartitionByRange("pos", "id").sortWithinPartitions("pos", "id").withColumn("m", F.monotonically_increasing_id()).write.parquet(path)
         placed = self.spark.read.parquet(path).withColumn("part", F.shiftright("m", 33))
         sizes = sorted((r["part"], r["count"]) for r in placed.groupBy("part").count().collect())
         before, offsets = 0, []
@@ -285,7 +288,8 @@ class Collection:
             offsets.append((part, before))
             before += size
         offsets = F.broadcast(self.spark.createDataFrame(offsets, "part long, before long"))
-        return placed.join(offsets, "part").withColumn("n", F.col("before") + F.col("m").bitwiseAND((1 << 33) - 1))
+        numbered = placed.join(offsets, "part").select("id", (F.col("before") + F.col("m").bitwiseAND((1 << 33) - 1)).alias("n"))
+        return rows.join(numbered, "id")
 
     def _append(self, rows: DataFrame) -> int:
         name = uuid.uuid4().hex

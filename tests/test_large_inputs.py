@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import bm25, filters, graph, ivf, maxsim, topk
+from quillon.plans import planner
+from quillon.sources import store
 
 
 def frame(spark, v, kind="long"):
@@ -159,3 +161,33 @@ def test_graph_in_blocks_is_the_joined_one(shipped, metric, monkeypatch):
     blocked = made()
     monkeypatch.setattr(graph, "BLOCK_NODES", 0)
     assert blocked == made() and len(blocked[0]) == 720 and len(blocked[1]) == 600
+
+
+def test_large_batches_are_numbered_by_keys_and_postings_dealt(shipped, tmp_path, monkeypatch):
+    """No window over rows with their documents; postings of a bucket in several tasks, searched as before."""
+    texts = [f"w{i % 7} w{i % 5} common" for i in range(40)]
+    frames = []
+    numbered = store.Collection._numbered
+
+    def kept(self, rows, count, path):
+        frames.append(out := numbered(self, rows, count, path))
+        return out
+
+    monkeypatch.setattr(store.Collection, "_numbered", kept)
+    found = []
+    for name, few in (("plain", False), ("dealt", True)):
+        if few:
+            monkeypatch.setattr(planner, "BUCKET_DOCUMENTS", 10)
+            monkeypatch.setattr(planner, "TASK_DOCUMENTS", 8)
+        c = store.Collection.open(shipped, str(tmp_path / name), 1)
+        c.insert([f"d{i}" for i in range(40)], [[1.0]] * 40, None, texts)
+        windows = [x for x in frames[-1]._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [" in x]
+        s = planner.Searcher(c)
+        s.create_text_index()
+        q = shipped.createDataFrame([(0, "w3 common")], "query_id int, query_text string")
+        found.append(sorted(map(tuple, s.text_search(q, 10, digits=6).collect())))
+        rows = {r["id"]: r["seq"] for r in c.rows().collect()}
+        assert windows and rows == {f"d{i}": i for i in range(40)}
+        below = frames[-1]._jdf.queryExecution().optimizedPlan().toString().split("Window [")[1]
+        assert "document" not in below.split("Relation")[0]
+    assert found[0] == found[1] and len(found[0]) == 10
